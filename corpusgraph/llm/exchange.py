@@ -56,12 +56,13 @@ def unrice(n: int, k: int, code: bytes) -> np.ndarray:
 class Sender:
     """Gathers rows of one task (key, document, payload fields) and yields blocks; at most FLUSH_ROWS rows are held."""
 
-    def __init__(self, owners: int, kinds: list[tuple[str, str]]) -> None:
+    def __init__(self, owners: int, kinds: list[tuple[str, str]], settle: Callable[[np.ndarray, dict], dict] | None = None) -> None:
+        """settle(keys, fields) gives further fields from all rows of a flush."""
         from pyspark import TaskContext
 
         context = TaskContext.get()
         self.name, self.flushes = f"{context.partitionId() if context else 0}", 0
-        self.shift, self.kinds, self.held, self.rows = 64 - (owners.bit_length() - 1), kinds, [], 0
+        self.shift, self.kinds, self.held, self.rows, self.settle = 64 - (owners.bit_length() - 1), kinds, [], 0, settle
 
     def add(self, key: np.ndarray, who: np.ndarray, **fields: np.ndarray) -> Iterator[dict]:
         """who: equal numbers for rows of one document, whose keys don't count as shared among themselves."""
@@ -75,7 +76,9 @@ class Sender:
         if not sum(len(x[0]) for x in held):
             return
         key, who = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-        fields = {name: np.concatenate([x[2][name] for x in held]) for name, _ in self.kinds}
+        fields = {name: np.concatenate([x[2][name] for x in held]) for name in held[0][2]}
+        if self.settle:
+            fields |= self.settle(key, fields)
         order = np.argsort(key, kind="stable")
         key, who, fields = key[order], who[order], {name: x[order] for name, x in fields.items()}
         new = np.r_[True, key[1:] != key[:-1]]

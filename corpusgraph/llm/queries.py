@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import secrets
+from corpusgraph.llm import language_id, pieces, quality, secrets, warc
 from corpusgraph.llm.exact_dedup import exact_dedup
+from corpusgraph.llm.jaccard_join import near_classes
 from corpusgraph.llm.mixing import mix_sources
 from corpusgraph.llm.sharding import assign_shards
+from corpusgraph.llm.substring_dedup import substring_dedup
 from corpusgraph.plans.session import table
 
 SHARDS, SOURCE_WEIGHTS = 24, (5, 2, 1)
@@ -64,5 +66,104 @@ p AS (SELECT d.doc_id, d.source, d.size, e.source_size, e.target, e.epochs, e.wh
 SELECT doc_id, source, size, source_size, target, (epochs * size + greatest(0, least(size, rest - start)))::BIGINT AS taken FROM p
 """
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_rendezvous_sharding, op4_secret_scan, op5_source_mixing)}
-ORACLES = {"op1_exact_dedup": OP1, "op5_source_mixing": OP5}
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP3 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) AS least FROM v GROUP BY h),
+c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 50)) AS i FROM (SELECT v.doc_id, v.i FROM v JOIN f USING (h) WHERE v.doc_id > f.least)),
+g AS (SELECT doc_id, list(i) AS cut FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, len(w) AS n, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM g)),
+x AS (SELECT doc_id, count(*) AS kept, string_agg(w[i], ' ' ORDER BY i) AS t FROM k ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, CASE WHEN g.doc_id IS NULL THEN 0 ELSE len(g.cut) END::BIGINT AS n_removed,
+  sha256(CASE WHEN g.doc_id IS NULL THEN array_to_string(w, ' ') ELSE coalesce(x.t, '') END) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP6 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n + y.n - both)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT u AS node, v AS seen FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.seen)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce((SELECT min(seen) FROM r WHERE r.node = d.doc_id), d.doc_id)) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op8() -> str:
+    tests = " UNION ALL ".join(f"SELECT '{r.name}' AS rule, {c}::DOUBLE AS cutoff" for r in quality.RULES for c in r.cutoffs)
+    feature = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {r.feature}" for r in quality.RULES) + " END"
+    number, p = sum(len(r.cutoffs) for r in quality.RULES), 0.05 / len(quality.RULES)
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+      list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+v AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM v) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM a, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+f AS (SELECT d.doc_id, lang, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+      length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+      (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+g AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+c AS (SELECT lang, rule, cutoff, count(*) AS n, count(*) FILTER (({feature}) > cutoff) AS k FROM b JOIN g USING (doc_id), ({tests}) WHERE NOT base_failed GROUP BY ALL),
+q AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM range(0, k + 1) AS t(i)) AS chance FROM c WHERE k < n * {p}),
+s AS (SELECT lang, rule, min(cutoff) AS cutoff FROM q WHERE chance <= 0.05 / {number} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM b)) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT EXISTS (SELECT 1 FROM s WHERE s.lang IS NOT DISTINCT FROM b.lang AND ({feature}) > s.cutoff) AS kept FROM b
+"""
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP9 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS last FROM p)
+SELECT page_id, payload_bytes, sha1(body) AS payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to FROM q
+"""
+
+
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_rendezvous_sharding,
+        op3_substring_dedup,
+        op4_secret_scan,
+        op5_source_mixing,
+        op6_jaccard_join,
+        op7_language_id,
+        op8_quality_rules,
+        op9_warc_round_trip,
+        op10_piece_sampling,
+    )
+}
+ORACLES = {"op1_exact_dedup": OP1, "op3_substring_dedup": OP3, "op5_source_mixing": OP5, "op6_jaccard_join": OP6, "op8_quality_rules": _op8(), "op9_warc_round_trip": OP9}
