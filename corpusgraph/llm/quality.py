@@ -35,11 +35,8 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, f"{BLANK}+"), lambda w: w != "")
 
 
-def _repeat_words(words: Column, hashes: Column) -> Column:
-    """Words in 3-word windows that occur twice or more: windows sorted by hash, those equal to a neighbour taken by place."""
-    ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    again = F.filter(ordered, lambda x, i: F.coalesce(x["h"] == F.get(ordered, i - 1)["h"], F.lit(False)) | F.coalesce(x["h"] == F.get(ordered, i + 1)["h"], F.lit(False)))
-    places = F.sort_array(F.transform(again, lambda x: x["i"]))
+def _covered(places: Column) -> Column:
+    """Words that windows of three at the given places cover; places are in order."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("upto"))
     step = lambda acc, p: F.struct((acc["n"] + F.lit(3) - F.greatest(F.lit(0), acc["upto"] - p + 1)).cast("long").alias("n"), (p + 2).cast("int").alias("upto"))
     return F.aggregate(places, start, step, lambda acc: acc["n"])
@@ -54,15 +51,19 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     windows = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
     d = d.withColumn("windows", F.when(n >= 3, F.slice(windows, F.lit(1), n - 2)))
     unique = F.coalesce(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(True))
-    d = d.select(
+    # A column of its own for each step: inside a lambda, an expression would be evaluated anew for each element.
+    d = d.withColumn("ordered", F.when(~unique, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    like = lambda x, i: F.coalesce(x["h"] == F.get("ordered", i)["h"], F.lit(False))
+    d = d.withColumn("again", F.filter("ordered", lambda x, i: like(x, i - 1) | like(x, i + 1)))
+    d = d.withColumn("places", F.sort_array(F.transform("again", lambda x: x["i"])))
+    return d.select(
         "doc_id", "stratum", n.cast("long").alias("n_words"),
         F.char_length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.char_length(body) - F.char_length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(unique, F.lit(0)).otherwise(_repeat_words(F.col("words"), F.col("windows"))).cast("long").alias("n_repeat_words"),
-    )
-    return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        F.coalesce(_covered(F.col("places")), F.lit(0)).cast("long").alias("n_repeat_words"),
+    ).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def log_gamma(x: Column) -> Column:
