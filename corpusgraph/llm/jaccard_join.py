@@ -225,6 +225,21 @@ def _tile(num: int, den: int):  # noqa: ANN202
     return run
 
 
+def _by_sketch(num: int, den: int):  # noqa: ANN202
+    """Pairs that sizes and sketches don't prove dissimilar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n_a, n_b = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n_a), -1) for c in ("sketch_a", "sketch_b"))
+                apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+                fits = (apart * (den + num) <= (n_a + n_b) * (den - num)) & (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fits))
+
+    return run
+
+
 def exact_set(text: str | None, gram: int) -> set[tuple[bytes, ...]]:
     words = (text or "").encode().translate(_ASCII_LOWER).split()
     if len(words) < gram:
@@ -280,25 +295,27 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
     blocks = plain.mapInArrow(_index(gram, num, den, owners), exchange.BLOCKS).drop("sender", "many")
     found = scratch.save(blocks.groupBy("owner").applyInArrow(_gather, _FOUND), "found")
     reps = scratch.save(rows.where("doc_id IS NOT NULL").join(classes, "digest").select("doc_id", "rep", "n_shingles", "sketch"), "reps")
-    short = reps.select("doc_id", "rep")
 
     def of_classes(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs of class representatives."""
-        mapped = pairs.distinct().join(short.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(short.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
-        return mapped.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.save(pairs, f"pairs{name}")
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = scratch.save(plain.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"texts{name}")
-        wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        out = scratch.save(wide.mapInArrow(_verify(gram, num, den), "a long, b long"), f"links{name}")
-        scratch.free(f"texts{name}")
-        return out
+        """Distinct pairs of class representatives that may be similar."""
+        sides = [reps.select(*[F.col(c).alias(f"{to}_{side}") for c, to in (("doc_id", "doc"), ("rep", "rep"), ("n_shingles", "n"), ("sketch", "sketch"))]) for side in "ab"]
+        mapped = pairs.distinct().join(sides[0], F.col("x") == F.col("doc_a")).join(sides[1], F.col("y") == F.col("doc_b")).where("rep_a != rep_b")
+        mapped = mapped.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b")
+        return mapped.mapInArrow(_by_sketch(num, den), "a long, b long").distinct()
 
-    links = linked(of_classes(found.where("kind = 0").select(F.col("x").alias("a"), F.col("y").alias("b"))), "1")
+    def linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+        wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        return scratch.save(wide.mapInArrow(_verify(gram, num, den), "a long, b long"), f"links{name}")
+
+    pairs = scratch.save(of_classes(found.where("kind = 0").select("x", "y")), "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    if large := bool(found.where("kind = 1").take(1)):
+        crowd = found.where("kind = 1").select(F.col("y").alias("doc_id")).distinct().join(reps, "doc_id").select(F.col("rep").alias("doc_id"))
+        needed = needed.unionAll(crowd)
+    texts = scratch.save(plain.join(needed.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    links = linked(pairs, texts, "1")
     roots = components(links)
-    if found.where("kind = 1").take(1):
+    if large:
         members = found.where("kind = 1").select(F.col("x").alias("gid"), F.col("y").alias("doc_id"), "own").distinct().join(reps, "doc_id")
         members = members.groupBy("gid", F.col("rep").alias("doc")).agg(F.max(F.col("own").cast("int")).alias("held"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
         members = members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
@@ -308,10 +325,11 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
         tiled = members.join(apart.select("gid", "g"), "gid").withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
         tiled = tiled.withColumns({"left": F.least("tile", "with"), "right": F.greatest("tile", "with")}).drop("with", "g")
         more = tiled.groupBy("gid", "left", "right").applyInArrow(_tile(num, den), "a long, b long").distinct()
-        more = linked(more.join(scratch.save(links, "seen"), ["a", "b"], "left_anti"), "2")
+        more = linked(more.join(pairs, ["a", "b"], "left_anti"), texts, "2")
         if more.take(1):
             links = scratch.save(links.unionAll(more), "links")
             roots = components(links)
+    scratch.free("texts")
     counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     known = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(counts, "rep", "left")
     known = scratch.save(known.select("digest", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
