@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.plans.session import table
+from corpusgraph.plans import graph_queries, search_queries, text_queries  # noqa: F401
+from corpusgraph.plans.registry import ORACLES, QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang").count()
+    """Flagship: BM25 over all documents for every benchmark passage, with retrieval metrics by exact containment."""
+    return QUERIES["ev_metrics"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
