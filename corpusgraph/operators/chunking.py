@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,33 +16,43 @@ def token_count(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda x: x != ""))
 
 
+def pack(sizes: list[int], most: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """First and last place of each chunk: greedy, and starting anew with the last overlap places if they leave room."""
+    begin, held = 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and held + size > most:
+            yield begin, i - 1
+            back = max(begin, i - overlap)
+            again = sum(sizes[back:i])
+            begin, held = (i, 0) if again + size > most else (back, again)
+        held += size
+    if sizes:
+        yield begin, len(sizes) - 1
+
+
 def pack_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 800, overlap: int = 2) -> DataFrame:
     """key, chunk, first, last, tokens, text: sentences packed greedily up to most tokens.
 
     A sentence that doesn't fit ends the chunk; the next starts with the last overlap sentences, or without
-    them if they leave no room. A sentence of over most tokens makes a chunk of its own. The fold runs over
-    prefix sums, so each step is constant work.
+    them if they leave no room. A sentence of over most tokens makes a chunk of its own. The fold is
+    sequential within a document, so it runs over Arrow batches; nothing is shuffled.
     """
-    d = docs.select(key, cleaning.sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
-    d = d.withColumn("t", F.transform("s", token_count))
-    zero = F.array(F.lit(0))
-    d = d.withColumn("p", F.aggregate("t", zero, lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))))
-    start = F.struct(F.array().cast("array<struct<b:int,e:int>>").alias("done"), F.lit(0).alias("b"))
-
-    def step(acc: Column, i: Column) -> Column:
-        total = lambda b: F.get(F.col("p"), i + 1) - F.get(F.col("p"), b)
-        full = (total(acc["b"]) > most) & (i > acc["b"])
-        back = F.greatest(acc["b"], i - overlap)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.struct(acc["b"].alias("b"), (i - 1).alias("e"))))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.when(total(back) > most, i).otherwise(back)).otherwise(acc["b"]).alias("b"),
-        )
-
-    last = (F.size("s") - 1).cast("int")
-    d = d.withColumn("cuts", F.aggregate(F.sequence(F.lit(0), last), start, step, lambda a: F.concat(a["done"], F.array(F.struct(a["b"].alias("b"), last.alias("e"))))))
-    d = d.select(key, "s", "p", F.posexplode("cuts").alias("chunk", "cut"))
-    body = F.array_join(F.slice("s", F.col("cut.b") + 1, F.col("cut.e") - F.col("cut.b") + 1), " ")
-    return d.select(key, "chunk", F.col("cut.b").alias("first"), F.col("cut.e").alias("last"), (F.get("p", F.col("cut.e") + 1) - F.get("p", F.col("cut.b"))).alias("tokens"), body.alias("text"))
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, rows = [], []
+            for i, s in enumerate(batch.column("s").to_pylist()):
+                sizes = [len(x.split()) for x in s]
+                for n, (lo, hi) in enumerate(pack(sizes, most, overlap)):
+                    source.append(i)
+                    rows.append((n, lo, hi, sum(sizes[lo : hi + 1]), " ".join(s[lo : hi + 1])))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            arrays = [pa.array(list(c), t) for c, t in zip(columns, [pa.int32()] * 4 + [pa.string()], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(source, pa.int64())), *arrays], ["key", "chunk", "first", "last", "tokens", "text"])
+
+    d = docs.select(F.col(key).alias("key"), cleaning.sentences(F.col(text)).alias("s"))
+    return d.mapInArrow(run, f"key {kind}, chunk int, first int, last int, tokens int, text string").withColumnRenamed("key", key)
 
 
 def similarity_breaks(rows: DataFrame, group: str, order: str, vector: str, k: float) -> DataFrame:

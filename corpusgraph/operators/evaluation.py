@@ -17,10 +17,12 @@ STRATEGIES = {"none": (None, "optional", None), "hyde": (1.0, "optional", None),
 
 def grid(spark: SparkSession) -> DataFrame:
     """strategy, collection, alpha, reranking and the first failing check of every combination; '' if valid. The grid is a fixed, small table."""
-    rows = [(s, *STRATEGIES[s]) for s in STRATEGIES]
-    strategies = spark.createDataFrame(rows, "strategy string, fixed_alpha double, rerank_rule string, only string")
-    every = strategies.join(spark.createDataFrame([(c,) for c in (*COLLECTIONS, DEDICATED)], "collection string"))
-    every = every.join(spark.createDataFrame([(a,) for a in ALPHAS], "alpha double")).join(spark.createDataFrame([(True,), (False,)], "reranking boolean"))
+    every = spark.range(1, numPartitions=1)
+    rules = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(a).cast("double").alias("fixed_alpha"), F.lit(r).alias("rerank_rule"), F.lit(o).cast("string").alias("only")) for s, (a, r, o) in STRATEGIES.items()])
+    choices = {"rule": rules, "collection": F.array(*map(F.lit, (*COLLECTIONS, DEDICATED))), "alpha": F.array(*map(F.lit, ALPHAS)), "reranking": F.array(F.lit(True), F.lit(False))}
+    for name, values in choices.items():
+        every = every.withColumn(name, F.explode(values))
+    every = every.select("rule.*", "collection", "alpha", "reranking")
     return every.select("strategy", "collection", "alpha", "reranking", fault(F.col("collection"), F.col("alpha"), F.col("reranking")).alias("fault"))
 
 

@@ -38,7 +38,7 @@ def _vector(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of passage and document that holds it, found by the passage's rarest... first five words, then checked."""
+    """Pairs of passage and document that holds it, an inner join by containment; the passages are a fixed, small set."""
     bench = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
     return bench.join(docs, F.contains(F.col("text"), F.col("passage"))).select("query_id", "item_id")
@@ -49,7 +49,7 @@ def kw_bm25(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d)
 
 
-@query(f"SELECT * FROM ({_VECTOR}) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) <= 0 UNION ALL SELECT query_id, item_id, score FROM ({_VECTOR})")
+@query(_VECTOR)
 def vec_cosine(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
@@ -94,15 +94,15 @@ _NORM = "CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score
 
 
 @query(_BM25 + f""", {_OVER}, x AS (SELECT query_id, item_id, {_NORM} AS d FROM o WINDOW w AS (PARTITION BY query_id)), y AS (SELECT query_id, item_id, {_NORM} AS k FROM h WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, item_id, round(0.5::DOUBLE * coalesce(d, 0) + 0.5::DOUBLE * coalesce(k, 0), 6) AS score FROM x FULL JOIN y USING (query_id, item_id))
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM f QUALIFY rank <= 5""")
+m AS (SELECT query_id, item_id, round(0.5::DOUBLE * coalesce(d, 0) + 0.5::DOUBLE * coalesce(k, 0), 6) AS score FROM x FULL JOIN y USING (query_id, item_id))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM m QUALIFY rank <= 5""")
 def hyb_search(spark: SparkSession, d: str) -> DataFrame:
     return search.relative_fusion(_overlap(spark, d), _bm25(spark, d), 0.5, 5)
 
 
 @query(_BM25 + f""", {_OVER}, r AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank, 'overlap' AS list FROM o UNION ALL SELECT query_id, item_id, rank, 'bm25' FROM h),
-f AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, string_agg(DISTINCT list, ',' ORDER BY list) AS contributions FROM r GROUP BY ALL)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM f QUALIFY rank <= 10""")
+m AS (SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, string_agg(DISTINCT list, ',' ORDER BY list) AS contributions FROM r GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM m QUALIFY rank <= 10""")
 def fus_rrf(spark: SparkSession, d: str) -> DataFrame:
     a = search.top_k(_overlap(spark, d), 10).select("query_id", "item_id", "rank", F.lit("overlap").alias("list"))
     b = _bm25(spark, d).select("query_id", "item_id", "rank", F.lit("bm25").alias("list"))

@@ -64,19 +64,19 @@ def cln_inline_all(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", cleaning.clean_inline(F.col("text")).alias("text"))
 
 
-_PARA = rf"""l AS (SELECT doc_id, generate_subscripts(l, 1) AS at, unnest(l) AS line FROM (SELECT doc_id, {_SPLIT} AS l FROM documents)),
-s AS (SELECT doc_id, at, {_SPACE % 'line'} AS line FROM l),
-w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY at) AS last FROM s WHERE line <> ''),
+_PARA = rf"""l AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, {_SPLIT} AS l FROM documents)),
+s AS (SELECT doc_id, pos, {_SPACE % 'line'} AS line FROM l),
+w AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM s WHERE line <> ''),
 n AS (SELECT *, CASE WHEN last IS NULL OR (regexp_matches(last, '[.!?:;"]$') AND NOT regexp_matches(line, '^\p{{Ll}}')) THEN 1 ELSE 0 END AS new FROM w),
-p AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY at) - 1)::BIGINT AS para FROM n)"""
+p AS (SELECT *, (sum(new) OVER (PARTITION BY doc_id ORDER BY pos) - 1)::BIGINT AS para FROM n)"""
 
 
-@query(f"WITH {_PARA} SELECT doc_id, para, string_agg(line, ' ' ORDER BY at) AS text FROM p GROUP BY doc_id, para")
+@query(f"WITH {_PARA} SELECT doc_id, para, string_agg(line, ' ' ORDER BY pos) AS text FROM p GROUP BY doc_id, para")
 def cln_para(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.consolidate(_docs(spark, d))
 
 
-@query(f"""WITH {_PARA}, g AS (SELECT doc_id, para, string_agg(line, ' ' ORDER BY at) AS text FROM p GROUP BY doc_id, para)
+@query(f"""WITH {_PARA}, g AS (SELECT doc_id, para, string_agg(line, ' ' ORDER BY pos) AS text FROM p GROUP BY doc_id, para)
 SELECT doc_id, para, {_SPACE % (_HYPHEN % (_INLINE % (_SUBST % 'text')))} AS text FROM g AS g(doc_id, para, text) WHERE NOT ({_DROP.replace('(x,', '(text,')})""")
 def cln_pipeline(spark: SparkSession, d: str) -> DataFrame:
     para = cleaning.consolidate(_docs(spark, d)).where(cleaning.artifact(F.col("text")).isNull())
@@ -128,15 +128,15 @@ for _tag in _TAGS.split("|"):
 
 @query(rf"""WITH m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKDOWN}, '(?i)<h1\b[^>]*>', chr(10) || '# ', 'g'), '(?i)<h[2-6]\b[^>]*>', chr(10) || '## ', 'g'),
   '(?i)</(h[1-6]|p|div|li|ul|title|head)>|<br\s*/?>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g') AS text FROM pages),
-l AS (SELECT page_id AS book, generate_subscripts(l, 1) - 1 AS at, unnest(l) AS line FROM (SELECT page_id, {_SPLIT} AS l FROM m)),
-s AS (SELECT book, at, {_SPACE % 'line'} AS line FROM l),
+l AS (SELECT page_id AS book, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT page_id, {_SPLIT} AS l FROM m)),
+s AS (SELECT book, pos, {_SPACE % 'line'} AS line FROM l),
 h AS (SELECT *, CASE WHEN regexp_matches(line, '^#( |$)') THEN {_SPACE % "regexp_replace(line, '^#+', '')"} END AS c, CASE WHEN regexp_matches(line, '^##') THEN {_SPACE % "regexp_replace(line, '^#+', '')"} END AS sec FROM s WHERE line <> ''),
-n AS (SELECT *, count(c) OVER o AS number, coalesce(last_value(c IGNORE NULLS) OVER o, 'Unknown Chapter') AS chapter FROM h WINDOW o AS (PARTITION BY book ORDER BY at ROWS UNBOUNDED PRECEDING)),
-x AS (SELECT *, last_value(sec IGNORE NULLS) OVER (PARTITION BY book, number ORDER BY at ROWS UNBOUNDED PRECEDING) AS section FROM n)
-SELECT book, at, concat_ws(' > ', book::VARCHAR, chapter, section) AS context, line AS text FROM x WHERE NOT regexp_matches(line, '^#')""")
+n AS (SELECT *, count(c) OVER o AS number, coalesce(last_value(c IGNORE NULLS) OVER o, 'Unknown Chapter') AS chapter FROM h WINDOW o AS (PARTITION BY book ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT *, last_value(sec IGNORE NULLS) OVER (PARTITION BY book, number ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM n)
+SELECT book, pos, concat_ws(' > ', book::VARCHAR, chapter, section) AS context, line AS text FROM x WHERE NOT regexp_matches(line, '^#')""")
 def seg_document(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select("page_id", cleaning.markdown_of_html(F.col("html")).alias("text"))
-    return cleaning.segment_document(pages, "page_id", "text").withColumn("at", F.col("at").cast("long"))
+    return cleaning.segment_document(pages, "page_id", "text").withColumn("at", F.col("at").cast("long")).withColumnRenamed("at", "pos")
 
 
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> ''))::INT AS tokens FROM documents")
