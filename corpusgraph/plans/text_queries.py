@@ -167,7 +167,7 @@ def chk_section(spark: SparkSession, d: str) -> DataFrame:
 @query(_PACK + "SELECT count(*) AS chunks, round(avg(tokens), 6) AS mean_tokens, median(tokens)::DOUBLE AS median_tokens, count(*) FILTER (chunk = 0) AS documents FROM x")
 def chk_stats(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
-    return c.agg(F.count("*").alias("chunks"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.percentile("tokens", F.lit(0.5)).alias("median_tokens"), F.count_if("chunk = 0").alias("documents"))
+    return c.agg(F.count("*").alias("chunks"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), F.percentile("tokens", F.lit(0.5)).alias("median_tokens"), F.count_if(F.col("chunk") == 0).alias("documents"))
 
 
 _DOT = "list_sum(list_transform(list_zip(%s, %s), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
