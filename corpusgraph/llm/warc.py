@@ -47,9 +47,7 @@ def segments(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
         {"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "text": F.col("payload").cast("string")}
     )
     body = F.when(F.col("refers_to").isNull(), F.col("text")).otherwise(F.lit(""))
-    parts = F.split(body, VERSION)
-    cut = F.transform(parts, lambda x, i: F.concat(F.when(i > 0, F.lit(VERSION[1:])).otherwise(F.lit("")), x, F.when(i < F.size(parts) - 1, F.lit(VERSION[0])).otherwise(F.lit(""))))
-    whole = F.when(F.contains(body, F.lit(VERSION)), cut).otherwise(F.array(body))
+    whole = F.when(F.contains(body, F.lit(VERSION)), F.split(body, r"(?<=W)(?=ARC/1\.1\r\n)")).otherwise(F.array(body))
     r = r.withColumns({"pieces": whole, "text": F.lit(None).cast("string")})
     r = r.withColumn("sizes", F.transform("pieces", lambda x: F.greatest(F.ceil(F.octet_length(x) / chunk).cast("int"), F.lit(1))))
     r = r.select("*", F.posexplode(F.flatten(F.transform("sizes", lambda n, i: F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("no", "at"))
