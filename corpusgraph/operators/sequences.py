@@ -8,17 +8,17 @@ from pyspark.sql import Window as W
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, at (from 0), line: the lines of each text; null text is one empty line."""
-    return docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("at", "line"))
+    """key, pos (from 0), line: the lines of each text; null text is one empty line."""
+    return docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("pos", "line"))
 
 
-def repeats_previous(rows: DataFrame, value: str, key: str = "doc_id", order: str = "at") -> DataFrame:
+def repeats_previous(rows: DataFrame, value: str, key: str = "doc_id", order: str = "pos") -> DataFrame:
     """rows with repeats: whether the value equals that of the row before."""
     before = F.lag(value).over(W.partitionBy(key).orderBy(order))
     return rows.withColumn("repeats", F.coalesce(F.col(value) == before, F.lit(False)))
 
 
-def islands(rows: DataFrame, context: Column, key: str = "doc_id", order: str = "at") -> DataFrame:
+def islands(rows: DataFrame, context: Column, key: str = "doc_id", order: str = "pos") -> DataFrame:
     """rows with island (from 0): it grows wherever the context changes; null is a context."""
     at = W.partitionBy(key).orderBy(order)
     rows = rows.withColumn("context", context)
@@ -26,12 +26,12 @@ def islands(rows: DataFrame, context: Column, key: str = "doc_id", order: str =
     return rows.withColumn("island", F.sum("changes").over(at)).drop("changes")
 
 
-def carried(rows: DataFrame, header: Column, key: str = "doc_id", order: str = "at") -> DataFrame:
+def carried(rows: DataFrame, header: Column, key: str = "doc_id", order: str = "pos") -> DataFrame:
     """rows with header: the last non-null header at or before the row."""
     return rows.withColumn("header", F.last(header, ignorenulls=True).over(W.partitionBy(key).orderBy(order)))
 
 
-def tail_of_previous(rows: DataFrame, items: str, n: int, key: str = "doc_id", order: str = "at") -> DataFrame:
+def tail_of_previous(rows: DataFrame, items: str, n: int, key: str = "doc_id", order: str = "pos") -> DataFrame:
     """rows with overlap: the last n items of the row before, empty for the first."""
     before = F.lag(items).over(W.partitionBy(key).orderBy(order))
     tail = F.slice(before, F.greatest(F.size(before) - n + 1, F.lit(1)), n)

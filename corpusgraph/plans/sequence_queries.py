@@ -10,47 +10,47 @@ from corpusgraph.operators import search, sequences
 from corpusgraph.plans.registry import query
 from corpusgraph.plans.session import table
 
-_LINES = "SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS at, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
-_AT = "OVER (PARTITION BY doc_id ORDER BY at)"
+_LINES = "SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)"
+_AT = "OVER (PARTITION BY doc_id ORDER BY pos)"
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     return sequences.lines(table(spark, d, "documents"))
 
 
-@query(f"SELECT doc_id, at, coalesce(line = lag(line) {_AT}, false) AS repeats FROM ({_LINES})")
+@query(f"SELECT doc_id, pos, coalesce(line = lag(line) {_AT}, false) AS repeats FROM ({_LINES})")
 def win_prevline(spark: SparkSession, d: str) -> DataFrame:
-    return sequences.repeats_previous(_lines(spark, d), "line").select("doc_id", "at", "repeats")
+    return sequences.repeats_previous(_lines(spark, d), "line").select("doc_id", "pos", "repeats")
 
 
-@query(f"SELECT doc_id, at, context, sum(c) {_AT}::BIGINT AS island FROM (SELECT *, CASE WHEN context <> lag(context) {_AT} THEN 1 ELSE 0 END AS c FROM (SELECT doc_id, at, length(line) // 60 AS context FROM ({_LINES})))")
+@query(f"SELECT doc_id, pos, context, sum(c) {_AT}::BIGINT AS island FROM (SELECT *, CASE WHEN context <> lag(context) {_AT} THEN 1 ELSE 0 END AS c FROM (SELECT doc_id, pos, length(line) // 60 AS context FROM ({_LINES})))")
 def win_island(spark: SparkSession, d: str) -> DataFrame:
     rows = sequences.islands(_lines(spark, d), F.floor(F.char_length("line") / 60).cast("long"))
-    return rows.select("doc_id", "at", "context", "island")
+    return rows.select("doc_id", "pos", "context", "island")
 
 
-@query(f"SELECT doc_id, \"at\", last_value(CASE WHEN length(line) BETWEEN 1 AND 40 THEN line END IGNORE NULLS) {_AT} AS header FROM ({_LINES})")
+@query(f"SELECT doc_id, pos, last_value(CASE WHEN length(line) BETWEEN 1 AND 40 THEN line END IGNORE NULLS) {_AT} AS header FROM ({_LINES})")
 def win_headerfill(spark: SparkSession, d: str) -> DataFrame:
     short = F.when(F.char_length("line").between(1, 40), F.col("line"))
-    return sequences.carried(_lines(spark, d), short).select("doc_id", "at", "header")
+    return sequences.carried(_lines(spark, d), short).select("doc_id", "pos", "header")
 
 
-@query(f"SELECT doc_id, at, 'doc' || doc_id || '::chunk_' || (row_number() {_AT} - 1) AS chunk_id FROM ({_LINES}) WHERE line <> ''")
+@query(f"SELECT doc_id, pos, 'doc' || doc_id || '::chunk_' || (row_number() {_AT} - 1) AS chunk_id FROM ({_LINES}) WHERE line <> ''")
 def win_seq(spark: SparkSession, d: str) -> DataFrame:
-    place = F.row_number().over(W.partitionBy("doc_id").orderBy("at")) - 1
-    return _lines(spark, d).where("line <> ''").select("doc_id", "at", F.concat(F.lit("doc"), "doc_id", F.lit("::chunk_"), place).alias("chunk_id"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("pos")) - 1
+    return _lines(spark, d).where("line <> ''").select("doc_id", "pos", F.concat(F.lit("doc"), "doc_id", F.lit("::chunk_"), place).alias("chunk_id"))
 
 
-@query(f"SELECT doc_id, at, array_to_string(coalesce(lag(w) {_AT}, []), ' ') AS overlap FROM (SELECT doc_id, at, list_slice(w, greatest(len(w) - 1, 1), len(w)) AS w FROM (SELECT doc_id, at, string_split(line, ' ') AS w FROM ({_LINES})))")
+@query(f"SELECT doc_id, pos, array_to_string(coalesce(lag(w) {_AT}, []), ' ') AS overlap FROM (SELECT doc_id, pos, list_slice(w, greatest(len(w) - 1, 1), len(w)) AS w FROM (SELECT doc_id, pos, string_split(line, ' ') AS w FROM ({_LINES})))")
 def win_overlap(spark: SparkSession, d: str) -> DataFrame:
     rows = _lines(spark, d).withColumn("words", F.split("line", " ", -1))
-    return sequences.tail_of_previous(rows, "words", 2).select("doc_id", "at", F.array_join("overlap", " ").alias("overlap"))
+    return sequences.tail_of_previous(rows, "words", 2).select("doc_id", "pos", F.array_join("overlap", " ").alias("overlap"))
 
 
-@query(f"SELECT doc_id, at, round(avg(length(line)) OVER w, 6) AS mean, round(stddev_pop(length(line)) OVER w, 6) AS deviation FROM ({_LINES}) WINDOW w AS (PARTITION BY doc_id)")
+@query(f"SELECT doc_id, pos, round(avg(length(line)) OVER w, 6) AS mean, round(stddev_pop(length(line)) OVER w, 6) AS deviation FROM ({_LINES}) WINDOW w AS (PARTITION BY doc_id)")
 def win_stats(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("doc_id")
-    return _lines(spark, d).select("doc_id", "at", F.round(F.avg(F.char_length("line")).over(w), 6).alias("mean"), F.round(F.stddev_pop(F.char_length("line")).over(w), 6).alias("deviation"))
+    return _lines(spark, d).select("doc_id", "pos", F.round(F.avg(F.char_length("line")).over(w), 6).alias("mean"), F.round(F.stddev_pop(F.char_length("line")).over(w), 6).alias("deviation"))
 
 
 @query("SELECT doc_id, round(10 + CASE WHEN b > a THEN (n_chars - a) / (b - a)::DOUBLE ELSE 0 END * 40, 6) AS size FROM documents, (SELECT min(n_chars) AS a, max(n_chars) AS b FROM documents)")
