@@ -87,3 +87,18 @@ def failure_stage(message: Column) -> Column:
         .when(F.contains(low, F.lit("generation")), "generation")
         .otherwise("evaluation")
     )
+
+
+def corrected(rows: DataFrame, config: str, score: str, single: Column) -> DataFrame:
+    """config, overall, single, crossing, n: means of a score over all questions, single-topic ones and the others."""
+    mean = lambda c: F.round(F.avg(c), 6)
+    return rows.groupBy(config).agg(
+        mean(F.col(score)).alias("overall"), mean(F.when(single, F.col(score))).alias("single"), mean(F.when(~single, F.col(score))).alias("crossing"), F.count("*").alias("n")
+    )
+
+
+def gaps(means: DataFrame, config: str, most: int) -> DataFrame:
+    """config, gap, percent of the most configurations with the smallest gap between single and crossing means."""
+    rows = means.withColumn("gap", F.round(F.col("single") - F.col("crossing"), 6)).where("gap IS NOT NULL")
+    percent = F.round(F.when(F.col("single") > 0, F.col("gap") / F.col("single") * 100).otherwise(0.0), 6)
+    return rows.orderBy(F.abs("gap"), config).limit(most).select(config, "gap", percent.alias("percent"))

@@ -94,3 +94,168 @@ def top_members(members: DataFrame, k: int) -> DataFrame:
     """The k members of each community of highest pagerank, then degree, then id."""
     order = W.partitionBy("community").orderBy(F.desc("pagerank"), F.desc("degree"), "id")
     return members.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def find_by_names(names: DataFrame, entities: DataFrame) -> DataFrame:
+    """Distinct rows of entities whose normalized_name is the normalised form of a name; unknown names give nothing."""
+    wanted = names.select(normalised_name(F.col("name")).alias("normalized_name")).where("normalized_name <> ''").distinct()
+    return entities.join(wanted, "normalized_name", "left_semi").distinct()
+
+
+def community_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Directed edges with both ends in one community of members (id, community): community, src, dst, type, weight; type and weight have defaults."""
+    a = members.select(F.col("id").alias("src"), "community")
+    b = members.select(F.col("id").alias("dst"), F.col("community").alias("other"))
+    found = edges.join(a, "src").join(b, "dst").where("community = other")
+    return found.select("community", "src", "dst", F.coalesce("type", F.lit("RELATED_TO")).alias("type"), F.coalesce("weight", F.lit(1.0)).alias("weight"))
+
+
+def induced(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Edges with both ends among vertices (id)."""
+    ends = vertices.select("id").distinct()
+    return edges.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+
+
+def members_with_degree(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """members (id, community, pagerank) with degree; isolated members have 0, a missing pagerank is 0."""
+    degree = degrees(members, edges)
+    return members.join(degree, "id").withColumn("pagerank", F.coalesce("pagerank", F.lit(0.0)))
+
+
+def chunk_degrees(paths: DataFrame) -> DataFrame:
+    """chunk, degree from paths (chunks, start_degree, degree): the greatest sum of both degrees over the paths that name the chunk."""
+    each = paths.select(F.explode("chunks").alias("chunk"), (F.col("start_degree") + F.col("degree")).alias("both"))
+    return each.where("chunk IS NOT NULL").groupBy("chunk").agg(F.max("both").alias("degree"))
+
+
+def merge_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Merges rows (normalized_name, entity_type, name, chunk_ids, seq) by name and type.
+
+    A stored node keeps its name; chunk ids are appended in order, repeats kept. Among new rows the first creates the node.
+    """
+    rows = stored.withColumn("late", F.lit(0)).unionByName(new.withColumn("late", F.lit(1)))
+    order = F.struct("late", "seq")
+    parts = F.array_sort(F.collect_list(F.struct("late", "seq", "chunk_ids")))
+    return rows.groupBy("normalized_name", "entity_type").agg(F.min_by("name", order).alias("name"), F.flatten(F.transform(parts, lambda x: x["chunk_ids"])).alias("chunk_ids"))
+
+
+def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """src_id, type, dst_id, weight from edges (src_name, dst_name, type, weight, seq) and nodes (id, normalized_name).
+
+    Ends are found by normalised name alone, so they fan out over types; edges without an end vanish. The first
+    of equal edges gives the weight.
+    """
+    a = nodes.select(F.col("id").alias("src_id"), F.col("normalized_name").alias("src_name"))
+    b = nodes.select(F.col("id").alias("dst_id"), F.col("normalized_name").alias("dst_name"))
+    # Equal edges are merged before they fan out.
+    one = edges.groupBy("src_name", "dst_name", "type").agg(F.min_by(F.struct("weight", "seq"), "seq").alias("first"))
+    found = one.join(a, "src_name").join(b, "dst_name")
+    return found.groupBy("src_id", "type", "dst_id").agg(F.min_by(F.col("first.weight"), F.col("first.seq")).alias("weight"))
+
+
+def hierarchy(assigned: DataFrame, levels: int = 3) -> DataFrame:
+    """level, community, parent, members from (id, communities: finest first); short arrays are padded with their last value.
+
+    The parent is the community of the same members one level up; null at the top.
+    """
+    last = F.element_at("communities", -1)
+    padded = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda i: F.when(i < levels, F.coalesce(F.get("communities", i), last)))
+    rows = assigned.where(F.size("communities") > 0).select("id", padded.alias("c"))
+    each = rows.select("id", "c", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    each = each.select("id", "level", F.get("c", F.col("level")).alias("community"), F.get("c", F.col("level") + 1).alias("parent"))
+    return each.groupBy("level", "community").agg(F.min("parent").alias("parent"), F.count("*").alias("members"))
+
+
+def community_text(members: DataFrame, edges: DataFrame, most: int = 8000) -> DataFrame:
+    """community, context: entities by pagerank, degree and id, then relationships, cut at 4 * most code points.
+
+    members has id, community, name, pagerank, degree; edges has community, src, dst, type. Only as many rows as the cut
+    can show (each takes a line) are gathered, so a huge community does not fill a task.
+    """
+    limit = 4 * most
+    place = F.row_number().over(W.partitionBy("community").orderBy(F.desc("pagerank"), F.desc("degree"), "id"))
+    shown = members.withColumn("place", place).where(F.col("place") <= limit // 4)
+    rank = F.when(F.col("pagerank") > 0, F.concat(F.lit(" (PR "), F.format_number("pagerank", "0.000"), F.lit(")"))).otherwise("")
+    top = shown.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), "name", rank).alias("line")))).alias("m"))
+    nth = F.row_number().over(W.partitionBy("community").orderBy("src", "dst", "type"))
+    some = edges.withColumn("nth", nth).where(F.col("nth") <= limit // 4)
+    rel = some.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("nth", F.concat(F.lit("- "), F.col("src").cast("string"), F.lit(" "), "type", F.lit(" "), F.col("dst").cast("string")).alias("line")))).alias("r"))
+    text = F.concat_ws("\n", F.lit("Entities:"), F.transform("m", lambda x: x["line"]), F.lit("Relationships:"), F.transform("r", lambda x: x["line"]))
+    return top.join(rel, "community", "left").select("community", F.left(text, F.lit(limit)).alias("context"))
+
+
+def _moved(arcs: DataFrame, labels: DataFrame, total: float, gamma: float, turn: int, bound: DataFrame) -> DataFrame:
+    """labels after one round in which vertices whose hash is of this turn move to the neighbouring community of most gain.
+
+    A vertex only moves within its bound (id, bound).
+    """
+    home = labels.join(bound, "id")
+    weight = home.groupBy("community").agg(F.sum("degree").alias("whole"))
+    near = home.select(F.col("id").alias("dst"), F.col("community").alias("to"), F.col("bound").alias("there"))
+    links = arcs.where("src <> dst").join(near, "dst").groupBy("src", "to", "there").agg(F.sum("w").alias("k"))
+    own = home.select(F.col("id").alias("src"), "community", "degree", F.col("bound"))
+    links = links.join(own, "src").where("there = bound").drop("there", "bound")
+    stay = own.select("src", F.col("community").alias("to"), F.lit(0.0).alias("k"), "community", "degree")
+    choices = links.unionByName(stay).join(weight.withColumnRenamed("community", "to"), "to")
+    others = F.col("whole") - F.when(F.col("to") == F.col("community"), F.col("degree")).otherwise(0.0)
+    choices = choices.withColumn("gain", F.round(F.col("k") - F.lit(gamma / total) * F.col("degree") * others, 9))
+    # The own community wins ties, then the smaller one; both directions of a swap never move in one turn.
+    best = choices.groupBy("src").agg(F.max_by("to", F.struct("gain", (F.col("to") == F.col("community")).cast("int"), -F.col("to"))).alias("to"))
+    go = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
+    return labels.join(best, F.col("id") == F.col("src"), "left").select("id", "degree", F.when(go, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community"))
+
+
+def _settle(scratch: Scratch, name: str, arcs: DataFrame, labels: DataFrame, total: float, gamma: float, turns: int, bound: DataFrame) -> DataFrame:
+    quiet = 0
+    for turn in range(turns):
+        new = scratch.save(_moved(arcs, labels, total, gamma, turn, bound), f"{name}_{turn}")
+        was = labels.select("id", F.col("community").alias("was"))
+        moved = new.join(was, "id").where("was <> community").limit(1).count()
+        labels, quiet = new, 0 if moved else quiet + 1
+        if quiet == 2:
+            break
+    return labels
+
+
+def leiden(edges: DataFrame, gamma: float = 1.0, levels: int = 3, turns: int = 10) -> DataFrame:
+    """id, communities (finest first, each named by a vertex in it): hierarchical modularity communities.
+
+    At each level vertices move in parallel turns (half of them, by hash, so neighbours don't swap for ever); the
+    communities are then refined from single vertices moving within them, and split where a refined part is
+    not connected. The refined parts become the vertices of the next level, so every community is connected. All is
+    joins on arcs; the driver holds only the total weight. Runs agree. Vertices without edges don't appear.
+    """
+    scratch = Scratch(edges.sparkSession, "leiden")
+    arcs = both_ways(edges).where("src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    arcs = scratch.save(arcs, "arcs")
+    total = arcs.agg(F.sum("w")).first()[0] or 0.0
+    path = scratch.save(arcs.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("top"), F.array().cast("array<bigint>").alias("communities")), "path")
+    if not total:
+        return path.select("id", "communities")
+    for level in range(levels):
+        single = scratch.save(arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("degree")).withColumn("community", F.col("id")), f"single{level}")
+        free = single.select("id", F.lit(0).cast("bigint").alias("bound"))
+        coarse = _settle(scratch, f"move{level}", arcs, single, total, gamma, turns, free)
+        inside = coarse.select("id", F.col("community").alias("bound"))
+        fine = _settle(scratch, f"fine{level}", arcs, single, total, gamma, turns, inside)
+        ends = fine.select("id", "community")
+        within = arcs.join(ends.toDF("src", "a"), "src").join(ends.toDF("dst", "b"), "dst").where("a = b")
+        parts = scratch.save(connected_components(fine, within).withColumnRenamed("component", "part"), f"parts{level}")
+        renamed = parts.select(F.col("id").alias("top"), "part")
+        path = scratch.save(path.join(renamed, "top").select("id", F.col("part").alias("top"), F.concat("communities", F.array("part")).alias("communities")), f"path{level}")
+        a, b = parts.toDF("src", "a"), parts.toDF("dst", "b")
+        folded = arcs.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w"))
+        before = single.count()
+        arcs = scratch.save(folded, f"arcs{level}")
+        if parts.select("part").distinct().count() == before:
+            break
+    return path.select("id", "communities")
+
+
+def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """One row: modularity of labels (id, community) over undirected edges, parallel ones counted, loops left out."""
+    arcs = both_ways(edges).where("src <> dst")
+    a, b = labels.toDF("src", "a"), labels.toDF("dst", "b")
+    by = arcs.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("community")).agg(F.count("*").alias("d"), F.count_if(F.col("a") == F.col("b")).alias("inner"))
+    sums = by.agg(F.sum("inner").alias("i"), F.sum(F.col("d").cast("double") * F.col("d")).alias("q"), F.sum("d").alias("t"))
+    return sums.select(F.round(F.col("i") / F.col("t") - F.lit(gamma) * F.col("q") / (F.col("t").cast("double") * F.col("t")), 6).alias("modularity"))
