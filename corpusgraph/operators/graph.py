@@ -175,7 +175,7 @@ def community_text(members: DataFrame, edges: DataFrame, most: int = 8000) -> Da
     limit = 4 * most
     place = F.row_number().over(W.partitionBy("community").orderBy(F.desc("pagerank"), F.desc("degree"), "id"))
     shown = members.withColumn("place", place).where(F.col("place") <= limit // 4)
-    rank = F.when(F.col("pagerank") > 0, F.concat(F.lit(" (PR "), F.format_number("pagerank", "0.000"), F.lit(")"))).otherwise("")
+    rank = F.when(F.col("pagerank") > 0, F.concat(F.lit(" (PR "), F.format_string("%.3f", F.col("pagerank")), F.lit(")"))).otherwise("")
     top = shown.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("place", F.concat(F.lit("- "), "name", rank).alias("line")))).alias("m"))
     nth = F.row_number().over(W.partitionBy("community").orderBy("src", "dst", "type"))
     some = edges.withColumn("nth", nth).where(F.col("nth") <= limit // 4)

@@ -203,7 +203,10 @@ def g_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return graph.hierarchy(table(spark, d, "embeddings").select(v.alias("id"), F.array(v % 40, v % 40 % 10, v % 2).alias("communities")))
 
 
-@query()
+@query(f"""WITH l AS ({_LINKS}), b AS (SELECT src AS id FROM l UNION ALL SELECT dst FROM l), n AS (SELECT id, community, name, coalesce(pagerank, 0) AS p, (SELECT count(*) FROM b WHERE b.id = n.id) AS degree FROM ({_NODES}) n),
+m AS (SELECT community, string_agg('- ' || name || CASE WHEN p > 0 THEN printf(' (PR %.3f)', p) ELSE '' END, chr(10) ORDER BY p DESC, degree DESC, id) AS m FROM n GROUP BY community),
+r AS (SELECT a.community, string_agg('- ' || src || ' ' || coalesce(type, 'RELATED_TO') || ' ' || dst, chr(10) ORDER BY src, dst, coalesce(type, 'RELATED_TO')) AS r FROM l JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.community = b.community GROUP BY 1)
+SELECT community, left(concat_ws(chr(10), 'Entities:', m, 'Relationships:', r), 32000) AS context FROM m LEFT JOIN r USING (community)""")
 def g_context(spark: SparkSession, d: str) -> DataFrame:
     members = graph.members_with_degree(_suppliers(spark, d), _links(spark, d))
     return graph.community_text(members, graph.community_edges(_links(spark, d), _suppliers(spark, d)))
