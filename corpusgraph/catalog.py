@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.plans import graph_queries, relation_queries, search_queries, sequence_queries, text_queries  # noqa: F401
+from corpusgraph.plans import graph_queries, relation_queries, search_queries, sequence_queries, text_queries, tree_queries  # noqa: F401
 from corpusgraph.plans.registry import ORACLES, QUERIES
 
 

@@ -68,3 +68,52 @@ def test_grid(spark):
 def test_effect_size(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 3), ("b", 3)], "f string, s int")
     assert evaluation.effect_size(rows, "f", "s").first()["effect"] == 1.5
+
+
+def test_mixture_finds_planted_clusters(spark):
+    import numpy as np
+
+    from corpusgraph.operators import tree
+
+    rng = np.random.default_rng(1)
+    rows = [("a", 30 * c + i, (6.0 * np.eye(12)[c] + 0.3 * rng.normal(size=12)).tolist()) for c in range(3) for i in range(30)]
+    rows += [("small", 1, [0.0] * 12), ("small", 2, [1.0] * 12)]
+    leaves = spark.createDataFrame(rows, "grp string, id long, vector array<double>")
+    models = tree.fit(leaves, dims=3)
+    assert [(m.grp, m.k) for m in models.collect()] == [("a", 3)]
+    found = [m for m in tree.members(leaves, models).collect() if m.hard]
+    assert sorted(m.id for m in found) == list(range(90))
+    assert len({(m.id // 30, m.cluster) for m in found}) == 3
+    nodes, links = tree.build(leaves, sample=60)
+    known = {(n.grp, n.node): n.level for n in nodes.collect()}
+    for link in links.collect():
+        assert known[link.grp, link.parent] == known[link.grp, link.child] + 1
+    assert ("small", "leaf_1") in known and max(v for (g, _), v in known.items() if g == "small") == 0
+
+
+def test_leiden_finds_planted_communities_and_agrees(spark):
+    from corpusgraph.operators import graph
+
+    rows = [(10 * c + i, 10 * c + j) for c in range(3) for i in range(6) for j in range(i)] + [(0, 10), (10, 20), (7, 7)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    once = {r.id: list(r.communities) for r in graph.leiden(edges, levels=2).collect()}
+    assert once == {r.id: list(r.communities) for r in graph.leiden(edges.repartition(3), levels=2).collect()}
+    assert {k: v[-1] for k, v in once.items()} == {10 * c + i: 10 * c for c in range(3) for i in range(6)}
+    assert graph.leiden(edges.where("false")).collect() == []
+
+
+def test_merged_nodes_keep_their_name_and_append_ids(spark):
+    from corpusgraph.operators import graph
+
+    kind = "normalized_name string, entity_type string, name string, chunk_ids array<long>, seq long"
+    stored = spark.createDataFrame([("x", "T", "X", [1, 2], 9)], kind)
+    new = spark.createDataFrame([("x", "T", "x!", [2], 2), ("x", "T", "x?", [3], 1), ("y", "T", "Y", [4], 0)], kind)
+    assert sorted((r.normalized_name, r.name, list(r.chunk_ids)) for r in graph.merge_nodes(stored, new).collect()) == [("x", "X", [1, 2, 3, 2]), ("y", "Y", [4])]
+
+
+def test_budget_cuts_the_crossing_row(spark):
+    from corpusgraph.operators import sequences
+
+    rows = spark.createDataFrame([(1, 1, "a" * 400), (1, 2, "b" * 400), (1, 3, "c" * 8), (2, 1, "d" * 720), (2, 2, "e" * 400)], "conv_id int, turn int, text string")
+    kept = {(r.conv_id, r.turn): r.kept for r in sequences.within_budget(rows, "text", 190).collect()}
+    assert kept == {(1, 1): "a" * 400, (1, 2): "b" * 360 + "...", (2, 1): "d" * 720}
