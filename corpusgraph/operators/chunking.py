@@ -77,3 +77,62 @@ def cosine(a: Column, b: Column) -> Column:
 def contextual(snippet: Column, text: Column) -> Column:
     """[snippet] text; the text alone where there is no snippet."""
     return F.when(F.coalesce(snippet, F.lit("")) == "", text).otherwise(F.concat(F.lit("["), snippet, F.lit("] "), text))
+
+
+#: What an oversized sentence is split at, in order of preference.
+SEPARATORS = ("; ", ": ", ", ")
+
+
+def split_oversized(sentence: str, most: int) -> list[str]:
+    """Parts of a sentence of over most words: at the first separator that gives more than one part, else by words. A longer word stays whole."""
+    if len(sentence.split()) <= most:
+        return [sentence]
+    for separator in SEPARATORS:
+        pieces = sentence.split(separator)
+        pieces = [p + separator.rstrip() for p in pieces[:-1]] + pieces[-1:]
+        parts = [" ".join(pieces[a : b + 1]) for a, b in pack([len(p.split()) for p in pieces], most, 0)]
+        if len(parts) > 1:
+            return [part for p in parts for part in ([p] if len(p.split()) <= most else _by_words(p, most))]
+    return _by_words(sentence, most)
+
+
+def _by_words(text: str, most: int) -> list[str]:
+    words = text.split()
+    return [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
+
+
+def split_sentences(rows: DataFrame, most: int, key: str = "doc_id", sentences: str = "sentences") -> DataFrame:
+    """key, parts: the sentences with oversized ones split, in order. Whole texts, in Arrow batches, without a shuffle."""
+
+    @F.arrow_udf("array<string>")
+    def parts(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else [p for s in x for p in split_oversized(s, most)] for x in column.to_pylist()], pa.list_(pa.string()))
+
+    return rows.select(key, parts(F.col(sentences)).alias("parts"))
+
+
+def batches(rows: DataFrame, most: int, key: str = "doc_id", sizes: str = "sizes") -> DataFrame:
+    """key, batch, first, last, tokens: texts of the given sizes (array<int>) in greedy batches of at most most tokens; a larger text is a batch of its own."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            source, found = [], []
+            for i, s in enumerate(part.column("sizes").to_pylist()):
+                for n, (a, b) in enumerate(pack(s or [], most, 0)):
+                    source.append(i)
+                    found.append((n, a, b, sum(s[a : b + 1])))
+            columns = list(zip(*found, strict=True)) if found else [[]] * 4
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(source, pa.int64())), *[pa.array(list(c), pa.int32()) for c in columns]], ["key", "batch", "first", "last", "tokens"])
+
+    return rows.select(F.col(key).alias("key"), F.col(sizes).alias("sizes")).mapInArrow(run, f"key {kind}, batch int, first int, last int, tokens int").withColumnRenamed("key", key)
+
+
+def semantic_segments(rows: DataFrame, group: str, order: str, vector: str, k: float, overlap: int = 2) -> DataFrame:
+    """group, segment (from 0), members, carried: rows in order, a new segment at each similarity break; carried are the last overlap members of the segment before."""
+    at = W.partitionBy(group).orderBy(order)
+    numbered = similarity_breaks(rows, group, order, vector, k).withColumn("segment", F.sum(F.col("breaks").cast("long")).over(at) - 1)
+    found = numbered.groupBy(group, "segment").agg(F.array_sort(F.collect_list(order)).alias("members"))
+    before = F.lag("members").over(W.partitionBy(group).orderBy("segment"))
+    tail = F.slice(before, F.greatest(F.size(before) - overlap + 1, F.lit(1)), overlap)
+    return found.withColumn("carried", F.coalesce(tail, F.array().cast(dict(found.dtypes)["members"])))

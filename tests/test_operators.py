@@ -117,3 +117,53 @@ def test_budget_cuts_the_crossing_row(spark):
     rows = spark.createDataFrame([(1, 1, "a" * 400), (1, 2, "b" * 400), (1, 3, "c" * 8), (2, 1, "d" * 720), (2, 2, "e" * 400)], "conv_id int, turn int, text string")
     kept = {(r.conv_id, r.turn): r.kept for r in sequences.within_budget(rows, "text", 190).collect()}
     assert kept == {(1, 1): "a" * 400, (1, 2): "b" * 360 + "...", (2, 1): "d" * 720}
+
+
+def test_oversized_sentences_split_without_losing_words():
+    from corpusgraph.operators.chunking import split_oversized
+
+    assert split_oversized("a b c", 3) == ["a b c"]
+    assert split_oversized("a b; c d, e", 3) == ["a b;", "c d, e"]
+    assert split_oversized("a b, c d", 2) == ["a b,", "c d"]
+    assert split_oversized("a b c d e", 2) == ["a b", "c d", "e"]
+    text = "one two: three four five six, seven; eight"
+    assert " ".join(split_oversized(text, 2)) == text
+
+
+def test_chunk_files_of_both_shapes(spark, tmp_path):
+    import json
+
+    from corpusgraph.sources import files
+
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "flat.json").write_text(json.dumps([{"id": 1, "text": "a"}, {"id": 2, "text": None}]))
+    (tmp_path / "sub" / "nested.json").write_text(json.dumps({"chunks": [{"id": 3, "text": "c"}]}))
+    rows = sorted((r.book, r.id, r.text) for r in files.read_chunks(spark, str(tmp_path), "id long, text string").collect())
+    assert rows == [("flat", 1, "a"), ("flat", 2, None), ("nested", 3, "c")]
+    assert files.listing(spark, str(tmp_path), "*.json").count() == 2
+
+
+def test_writing_chunks_respects_the_overwrite_mode(spark, tmp_path):
+    import pytest
+
+    from corpusgraph.sources import files
+
+    one = spark.createDataFrame([("s", "b", 1)], "strategy string, book string, id int")
+    at = str(tmp_path / "t")
+    assert files.write_chunks(one, at)
+    assert not files.write_chunks(one.limit(0), at)
+    assert spark.read.parquet(at).count() == 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        files.write_chunks(one, at, "error")
+    assert files.write_chunks(one.unionAll(one), at, "all")
+    assert spark.read.parquet(at).count() == 2
+
+
+def test_strategy_registry_rejects_unknown_names():
+    import pytest
+
+    from corpusgraph.operators import strategies
+
+    with pytest.raises(ValueError, match="unknown strategy"):
+        strategies.get("other")
+    assert sorted(strategies.REGISTRY) == ["decomposition", "graph", "hyde", "none"]
