@@ -182,3 +182,18 @@ def test_stream_gives_the_closed_windows_of_the_table(spark, tmp_path):
     want = {tuple(r) for r in windows.windowed(rows, "ts", "k", "v").collect()}
     assert got <= want
     assert len(got) >= len(want) - 8
+
+
+def test_averaged_passages_match_brute_force(spark):
+    import numpy as np
+
+    from corpusgraph.operators import strategies
+
+    x = np.random.default_rng(3).normal(size=(40, 6))
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item_id long, vector array<double>")
+    queries = items.where("item_id < 3").toDF("query_id", "query_vector")
+    got = {(r.query_id, r.rank): r.item_id for r in strategies.get("hyde")(queries, items, 5).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(3):
+        mean = np.vstack([x[np.argsort(-(unit @ unit[q]))[:4]], x[q]]).mean(0)
+        assert [got[q, r] for r in range(1, 6)] == np.argsort(-(unit @ mean))[:5].tolist()
