@@ -2,81 +2,106 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from corpusgraph.llm.arrays import _LOWER, pieces
+from corpusgraph.plans.scratch import Scratch
 
-#: Lengths of the n-grams (of UTF-8 bytes, A-Z lowered) and the number of hashed n-grams.
-SPECTRUM, DIMENSIONS = (1, 2, 3, 4), 1 << 14
+#: Lengths of the n-grams (of UTF-8 bytes, A-Z lowered), the number of hashed n-grams and the bytes hashed at once.
+SPECTRUM, SLOTS, CUT = (1, 2, 3, 4), 1 << 22, 1 << 20
+#: The most weights (n-grams times classes) that are kept multiplied out, and the steps of a feature, so that sums are exact.
+DIRECT, STEPS = 1 << 25, 1 << 16
 UNKNOWN = "und"
+_last = np.zeros(SLOTS, np.int32)
 
 
-def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts by hashed n-grams, 1 where a text has the n-gram."""
-    rows, data = len(offsets) - 1, _LOWER[data].astype(np.uint32)
-    out = np.zeros(rows * DIMENSIONS, np.uint8)
-    base = np.repeat(np.arange(rows, dtype=np.int64) * DIMENSIONS, np.diff(offsets))
-    left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(data))
-    h = np.zeros(len(data), np.uint32)
-    for n in range(1, max(SPECTRUM) + 1):
-        h[: len(data) - n + 1] = h[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(1)
+def grams(data: np.ndarray) -> np.ndarray:
+    """The distinct hashed n-grams of one text, as slots; a long text is hashed in cuts that overlap by an n-gram."""
+    if len(data) > CUT:
+        return np.unique(np.concatenate([grams(data[lo : min(lo + CUT, len(data))]) for lo in range(0, len(data), CUT - max(SPECTRUM) + 1)]))
+    data = _LOWER[data].astype(np.uint32)
+    h, every = np.zeros(len(data), np.uint32), []
+    for n in range(1, min(max(SPECTRUM), len(data)) + 1):
+        h = h[: len(data) - n + 1] * np.uint32(0x01000193) + data[n - 1 :] + np.uint32(1)
         if n in SPECTRUM:
-            fits = left >= n
-            slot = ((h * np.uint32(0x9E3779B1)) ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - 14)
-            out[(base + slot)[fits]] = 1
-    return out.reshape(rows, DIMENSIONS)
+            every.append(((h * np.uint32(0x9E3779B1)) ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - 22))
+    if not every:
+        return np.empty(0, np.uint32)
+    slot, place = np.concatenate(every), np.arange(sum(map(len, every)), dtype=np.int32)
+    _last[slot] = place
+    return slot[_last[slot] == place]
+
+
+class Landmarks:
+    """The n-grams of the landmark texts, each with the landmarks that have it."""
+
+    def __init__(self, texts: list[np.ndarray]) -> None:
+        every = np.concatenate([*texts, np.empty(0, np.uint32)])
+        mark = np.repeat(np.arange(len(texts), dtype=np.int32), [len(x) for x in texts])
+        order = np.argsort(every, kind="stable")
+        self.slots, first = np.unique(every[order], return_index=True)
+        self.mark, self.start = mark[order], np.r_[first, len(every)].astype(np.int64)
+        self.scale = 1 / np.sqrt(np.maximum([len(x) for x in texts], 1))
+        self._place: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_place": None}
+
+    def hits(self, slots: np.ndarray) -> np.ndarray:
+        """The places in self.slots of those of a text's n-grams that a landmark has."""
+        if self._place is None:
+            self._place = np.full(SLOTS, -1, np.int32)
+            self._place[self.slots] = np.arange(len(self.slots), dtype=np.int32)
+        found = self._place[slots]
+        return found[found >= 0]
+
+    def kernel(self, slots: np.ndarray) -> np.ndarray:
+        """The kernel values of a text with all landmarks: shared n-grams over the root of both numbers of n-grams."""
+        at = self.hits(slots)
+        size = self.start[at + 1] - self.start[at]
+        each = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.mark[each], minlength=len(self.scale)) * self.scale / np.sqrt(max(len(slots), 1))
 
 
-@dataclass
 class LanguageModel:
-    """classes and, for each n-gram and class, its weight in the class's decision value.
+    """classes and, for each landmark and class, its weight in the class's decision value.
 
-    Kernel values of a text with all landmarks, their whitening and the ridge weights are all linear in the
-    text's presence vector, so their product is kept as one matrix; a batch of texts is one matrix product.
+    Kernel values and weights are both linear in a text's n-grams, so up to DIRECT numbers their product is kept
+    as one matrix (a row of the classes' weights for each n-gram); above, texts meet the landmarks.
     """
 
-    classes: list[str]
-    weights: np.ndarray
-    offset: np.ndarray
-
-    def decide(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.maximum(grams.sum(1, dtype=np.float32), 1)
-        value = grams.astype(np.float32) @ self.weights / np.sqrt(size)[:, None] + self.offset
-        best = value.argmax(1)
-        return best, np.clip((value[np.arange(len(best)), best] + 1) / 2, 0, 1).astype(float)
+    def __init__(self, classes: list[str], marks: Landmarks, weights: np.ndarray, offset: np.ndarray) -> None:
+        self.classes, self.marks, self.weights, self.offset = classes, marks, weights, offset
+        self.direct = None
+        if len(marks.slots) * len(classes) <= DIRECT:
+            each = np.repeat(np.arange(len(marks.slots)), np.diff(marks.start))
+            scaled = marks.scale[:, None] * weights
+            self.direct = np.stack([np.bincount(each, scaled[marks.mark, c], len(marks.slots)) for c in range(len(classes))], 1).astype(np.float32) if len(classes) else None
 
+    def values(self, slots: np.ndarray) -> np.ndarray:
+        if self.direct is None:
+            return self.marks.kernel(slots) @ self.weights + self.offset
+        return self.direct[self.marks.hits(slots)].sum(0, dtype=float) / np.sqrt(max(len(slots), 1)) + self.offset
 
-def _packed(grams: list[bytes]) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(b"".join(grams), np.uint8)).reshape(len(grams), DIMENSIONS)
+    def decide(self, slots: np.ndarray) -> tuple[int, float]:
+        value = self.values(slots)
+        best = int(value.argmax())
+        return best, float(np.clip((value[best] + 1) / 2, 0, 1))
 
 
-def fit(labels: list[str], grams: list[bytes], landmarks: int, ridge: float) -> LanguageModel:
-    """labels and packed presence vectors of the training texts, in a fixed order."""
-    classes = sorted(set(labels))
-    if len(classes) < 2:
-        return LanguageModel(classes, np.zeros((DIMENSIONS, len(classes)), np.float32), np.ones(len(classes), np.float32))
-    each = max(1, landmarks // len(classes))
-    chosen = [i for c in classes for i in [j for j, x in enumerate(labels) if x == c][:each]]
-    marks = _packed([grams[i] for i in chosen]).astype(np.float32)
-    marks /= np.sqrt(np.maximum(marks.sum(1), 1))[:, None]
-    value, vector = np.linalg.eigh((marks @ marks.T).astype(float))
+def whitening(marks: Landmarks, texts: list[np.ndarray]) -> np.ndarray:
+    value, vector = np.linalg.eigh(np.stack([marks.kernel(x) for x in texts]))
     good = value > value[-1] * 1e-6
-    whiten = vector[:, good] / np.sqrt(value[good])
-    to_features = marks.T @ whiten.astype(np.float32)
-    gram, moment = np.zeros((good.sum() + 1,) * 2), np.zeros((good.sum() + 1, len(classes)))
-    for lo in range(0, len(grams), 256):
-        x = _packed(grams[lo : lo + 256]).astype(np.float32)
-        x = (x / np.sqrt(np.maximum(x.sum(1), 1))[:, None]) @ to_features
-        x = np.c_[x, np.ones(len(x))].astype(float)
-        y = np.where(np.array(labels[lo : lo + 256])[:, None] == np.array(classes), 1.0, -1.0)
-        gram, moment = gram + x.T @ x, moment + x.T @ y
-    beta = np.linalg.solve(gram + ridge * np.diag([1.0] * good.sum() + [1e-6]), moment)
-    return LanguageModel(classes, to_features @ beta[:-1].astype(np.float32), beta[-1].astype(np.float32))
+    return vector[:, good] / np.sqrt(value[good])
+
+
+def features(marks: Landmarks, whiten: np.ndarray, texts: list[np.ndarray]) -> np.ndarray:
+    """Nystroem features of texts in whole STEPS, and a constant."""
+    return np.c_[np.rint(np.stack([marks.kernel(x) for x in texts]) @ whiten * STEPS), np.full(len(texts), STEPS)]
 
 
 def fold(key: Column) -> Column:
@@ -87,31 +112,51 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     """Learns from rows with a label whose fold isn't held_out.
 
     The sample is bounded: about per_class texts of each of the most_classes most frequent labels, chosen by
-    hash of the key; executors turn them into bit vectors of DIMENSIONS / 8 bytes, which is all that reaches the driver.
+    hash of the key (of the text where it is null). The n-grams of the landmark texts reach the driver; sums over the
+    texts' features are formed by executors, exactly, so that their order doesn't matter.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("c")).where(F.col("c").isNotNull() & (fold(F.col("k")) != held_out) & F.col("t").isNotNull())
     counts = rows.groupBy("c").count().orderBy(F.desc("count"), "c").limit(most_classes).collect()
-    if not counts:
-        return LanguageModel([], np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.float32))
+    classes = sorted(r["c"] for r in counts)
+    if len(classes) < 2:
+        return LanguageModel(classes, Landmarks([]), np.zeros((0, len(classes))), np.ones(len(classes)))
     each = min(per_class, 24 * per_class // len(counts))
-    draw = F.crc32(F.encode(F.concat(F.lit("sample:"), F.coalesce(F.col("k").cast("string"), F.lit(""))), "UTF-8"))
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["c"]), F.lit(int(min(1.0, each / r["count"]) * 2**32)))])
+    draw = F.crc32(F.encode(F.concat(F.lit("sample:"), F.coalesce(F.col("k").cast("string"), F.col("t"))), "UTF-8"))
+    share = docs.sparkSession.createDataFrame([(r["c"], int(min(1.0, each / r["count"]) * 2**32)) for r in counts], "c string, most long")
 
     def vectors(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column("t"), 1 << 20):
-                packed = np.packbits(presence(data, offsets), axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column("d").slice(lo, hi - lo), batch.column("c").slice(lo, hi - lo), pa.array([x.tobytes() for x in packed], pa.binary())], ["d", "c", "x"])
+                found = [grams(data[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("d").slice(lo, hi - lo), batch.column("c").slice(lo, hi - lo), pa.array(found, pa.large_binary()).cast(pa.binary())], ["d", "c", "x"])
+
+    scratch = Scratch(docs.sparkSession, "language")
+    picked = rows.withColumn("d", draw).join(F.broadcast(share), "c").where(F.col("d") < F.col("most")).select("d", "c", "t")
+    picked = scratch.save(picked.mapInArrow(vectors, "d long, c string, x binary"), "sample")
+    first = F.row_number().over(W.partitionBy("c").orderBy("d", "x"))
+    chosen = sorted((r["c"], r["d"], r["x"]) for r in picked.withColumn("nth", first).where(F.col("nth") <= max(1, landmarks // len(classes))).select("c", "d", "x").collect())
+    texts = [np.frombuffer(x, np.uint32) for _, _, x in chosen]
+    marks = Landmarks(texts)
+    whiten = whitening(marks, texts)
+    sent = docs.sparkSession.sparkContext.broadcast((marks, whiten, classes))
+
+    def sums(batches):  # noqa: ANN001, ANN202
+        marks, whiten, classes = sent.value
+        place, wide = {c: i for i, c in enumerate(classes)}, whiten.shape[1] + 1
+        total = np.zeros((wide, wide + len(classes)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                x = features(marks, whiten, [np.frombuffer(t, np.uint32) for t in batch.column("x").slice(lo, 256).to_pylist()])
+                y = np.full((len(x), len(classes)), -1.0)
+                y[range(len(x)), [place[c] for c in batch.column("c").slice(lo, 256).to_pylist()]] = 1
+                total += x.T @ np.c_[x, y]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["x"])
 
-    picked = rows.withColumn("d", draw).where(F.col("d") < F.try_element_at(share, F.col("c"))).select("d", "c", "t")
-    found = sorted((r["c"], r["d"], r["x"]) for r in picked.mapInArrow(vectors, "d long, c string, x binary").collect())
-    kept: list[tuple] = []
-    count: dict[str, int] = {}
-    for row in found:
-        count[row[0]] = count.get(row[0], 0) + 1
-        if count[row[0]] <= 2 * each:
-            kept.append(row)
-    return fit([r[0] for r in kept], [r[2] for r in kept], landmarks, ridge)
+    total = sum(np.frombuffer(r["x"]) for r in picked.repartition(8, "d").mapInArrow(sums, "x binary").toLocalIterator()).reshape(whiten.shape[1] + 1, -1)
+    gram, moment = total[:, : len(total)] / STEPS**2, total[:, len(total) :] / STEPS
+    beta = np.linalg.solve(gram + ridge * np.diag([1.0] * (len(gram) - 1) + [1e-6]), moment)
+    scratch.free("sample")
+    return LanguageModel(classes, marks, whiten @ beta[:-1], beta[-1])
 
 
 def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", into: str = "language") -> DataFrame:
@@ -127,9 +172,8 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", int
         m = sent.value
         best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for lo, hi, data, offsets in pieces(texts, 1 << 20):
-            for at in range(0, hi - lo, 512):
-                cut = offsets[at : min(at + 512, hi - lo) + 1]
-                best[lo + at : lo + at + len(cut) - 1], score[lo + at : lo + at + len(cut) - 1] = m.decide(presence(data[cut[0] : cut[-1]], cut - cut[0]))
+            for i in range(hi - lo):
+                best[lo + i], score[lo + i] = m.decide(grams(data[offsets[i] : offsets[i + 1]]))
         return pa.StructArray.from_arrays([pa.array(m.classes, pa.string()).take(pa.array(best)), pa.array(score)], ["lang", "score"])
 
     none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))

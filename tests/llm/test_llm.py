@@ -184,6 +184,41 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text", "lang").unionAll(junk)).where("score = 0").collect()} == {"und"}
 
 
+def test_language_of_long_texts(spark):
+    r = random.Random(5)
+    letters = {"aa": "abcdefghijklmnopqrst", "zz": "ghijklmnopqrstuvwxyz"}
+    text = lambda c, n: "".join(r.choice(letters[c] + " ") for _ in range(n))
+    rows = [(i, text(c, 300), c) for i, c in enumerate(["aa", "zz"] * 60)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    long = [(n, text(c, n), c) for c in letters for n in (300, 100_000, 3_000_000)]
+    for x in language_id.with_language(spark.createDataFrame(long, "doc_id long, text string, lang string"), model).collect():
+        assert x["language"]["lang"] == x["lang"], x["doc_id"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    model = language_id.train(docs)
+    for x in docs.where(language_id.fold(F.col("doc_id")) == 1).groupBy("lang").agg(F.concat_ws("\n", F.collect_list("text")).alias("s")).collect():
+        whole = (x["s"] + "\n") * (1 + 2_000_000 // len(x["s"]))
+        for n in (100_000, 2_000_000):
+            assert model.classes[model.decide(language_id.grams(np.frombuffer(whole[:n].encode(), np.uint8)))[0]] == x["lang"]
+
+
+def test_landmark_weights_agree(monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [language_id.grams(r.integers(97, 110, n).astype(np.uint8)) for n in (5, 50, 500, 1, 0)]
+    marks, weights = language_id.Landmarks(texts[:3]), r.normal(size=(3, 4))
+    brute = [[len(set(x.tolist()) & set(m.tolist())) / math.sqrt(max(len(x), 1) * len(m)) for m in texts[:3]] for x in texts]
+    assert np.allclose([marks.kernel(x) for x in texts], brute)
+    one = language_id.LanguageModel(list("abcd"), marks, weights, r.normal(size=4))
+    monkeypatch.setattr(language_id, "DIRECT", 0)
+    other = language_id.LanguageModel(list("abcd"), marks, weights, one.offset)
+    assert one.direct is not None and other.direct is None
+    for x in texts:
+        assert np.allclose(one.values(x), other.values(x), atol=1e-5)
+    data = r.integers(0, 256, 3000).astype(np.uint8)
+    whole = set(language_id.grams(data).tolist())
+    monkeypatch.setattr(language_id, "CUT", 100)
+    assert set(language_id.grams(data).tolist()) == whole
+
+
 def test_binomial(spark):
     for k, n, p in ((0, 600, 0.0125), (3, 900, 0.0125), (40, 5000, 0.0125), (9, 9, 0.5)):
         want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) if k < n * p else 1.0
