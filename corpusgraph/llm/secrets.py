@@ -30,7 +30,6 @@ _WEAK_SECRET = re.compile(_either(r"(?:password|passwd|pwd|passphrase|secret|tok
 _RANDOM = re.compile(r"[A-Za-z0-9+/_-]{20,64}")
 _ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D"'<>]{4,}|""" + _either(r"(?:host|endpoint|server|database_?url)") + _VALUE + r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?")
 _ASSIGN_WORDS = ("passw", "secret", "token", "api")
-_SECRET_WORDS = (*_ASSIGN_WORDS, "pwd", "passphrase", "auth")
 _PLACE_WORDS = ("://", "host", "endpoint", "server", "database", "key", "client", "account", "user", "login")
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -63,8 +62,7 @@ def linked_spans(text: str, low: str, base: list[Span], reach: int) -> list[Span
     (weak, or a base access) if the gap between them is at most reach. Weak parts without a partner are left out.
     """
     strong_places = [x for x in base if x[1] == 1]
-    has_place = bool(strong_places) or any(w in low for w in _PLACE_WORDS)
-    if not has_place or not (any(w in low for w in _SECRET_WORDS) or strong_places or "://" in low or any(x[1] != 1 for x in base)):
+    if not strong_places and not any(w in low for w in _PLACE_WORDS):
         return []
     places = [(m.start(), 3, m.end()) for m in _IDENTIFIER.finditer(text)] + [(m.start(), 5, m.end()) for m in _ENDPOINT.finditer(text)]
     places = sorted(_outside(places, base))

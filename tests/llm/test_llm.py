@@ -127,6 +127,14 @@ def test_secrets():
     assert secrets.scan("login: someone" + " " * 500 + "secret: hunter22", 100) == ([], [])
 
 
+@pytest.mark.parametrize("text", ["login: someone\nZx9kQ2mLw8RtYb4NcV7p", "host: db.example.org Zx9kQ2mLw8RtYb4NcV7p", "Zx9kQ2mLw8RtYb4NcV7p account=alice"])
+def test_links_do_not_hang_on_unrelated_text(text):
+    found = secrets.scan(text, 160)[1]
+    assert {secrets.KINDS[k] for _, k, _ in found} in ({"identifier", "secret"}, {"endpoint", "secret"})
+    for more in ("rapid", "author", "nothing", "https://www.example.org/x"):
+        assert [x for x in secrets.scan(text + " " * 600 + more, 160)[1] if x[2] <= len(text)] == found
+
+
 def test_mixing(edge):
     out = mixing.mix_sources(edge, (5, 2, 1)).collect()
     for source in {r["source"] for r in out}:
