@@ -197,3 +197,54 @@ def test_averaged_passages_match_brute_force(spark):
     for q in range(3):
         mean = np.vstack([x[np.argsort(-(unit @ unit[q]))[:4]], x[q]]).mean(0)
         assert [got[q, r] for r in range(1, 6)] == np.argsort(-(unit @ mean))[:5].tolist()
+
+
+def _bic(y, k):
+    """Expectation maximisation row by row, started from far points in turn."""
+    import numpy as np
+
+    n, d = y.shape
+    seeds = [int((y**2).sum(1).argmax())]
+    while len(seeds) < k:
+        seeds.append(int(np.min([((y - y[s]) ** 2).sum(1) for s in seeds], axis=0).argmax()))
+    share, last = np.eye(k)[np.stack([((y - y[s]) ** 2).sum(1) for s in seeds]).argmin(0)], -np.inf
+    for _ in range(200):
+        log = np.empty((n, k))
+        for c in range(k):
+            size = share[:, c].sum() + 1e-9
+            gap = y - share[:, c] @ y / size
+            cov = (share[:, c, None] * gap).T @ gap / size + 1e-6 * np.eye(d)
+            log[:, c] = np.log(size / n) - 0.5 * ((gap @ np.linalg.inv(cov)) * gap).sum(1) - 0.5 * np.linalg.slogdet(2 * np.pi * cov)[1]
+        whole = np.logaddexp.reduce(log, axis=1)
+        share = np.exp(log - whole[:, None])
+        if whole.sum() - last < 1e-3 * n:
+            break
+        last = whole.sum()
+    return (k - 1 + k * d + k * d * (d + 1) // 2) * np.log(n) - 2 * whole.sum()
+
+
+def test_mixture_counts_all_rows_and_every_k(spark):
+    import numpy as np
+    import pytest
+
+    from corpusgraph.operators import tree
+
+    rng = np.random.default_rng(3)
+    sides = [(0, 2600, 6.0), (1, 2600, 0.0), (2, 12, -9.0)]
+    x = np.concatenate([rng.normal(size=(n, 5)) * [1, 0.8, 0.6, 0.4, 0.2] + at for _, n, at in sides])
+    rows = [(g, i, v.tolist()) for g, part in (("a", x), (None, x[::40]), ("two", x[:2])) for i, v in enumerate(part)]
+    leaves = spark.createDataFrame(rows, "grp string, id long, vector array<double>").repartition(4, "id")
+    once = {m.grp: m for m in tree.fit(leaves, dims=3, most_k=4).collect()}
+    parts = {m.grp: m for m in tree.fit(leaves, dims=3, most_k=4, whole=100).collect()}
+    for grp, part in (("a", x), (None, x[::40])):
+        _, _, v = np.linalg.svd(part - part.mean(0), full_matrices=False)
+        want = [(_bic((part - part.mean(0)) @ v[:3].T, k), k) for k in (2, 3, 4)]
+        for found in (once, parts):
+            assert set(found) == {"a", None}
+            assert found[grp].k == min(want)[1] and found[grp].bic == pytest.approx(min(want)[0], rel=1e-6)
+            assert len(found[grp].mean) == 3 * found[grp].k
+    assert once["a"].k == 3
+    rising = np.concatenate([rng.normal(size=(12, 2)) * 0.01 + [7 * c, c * c % 5] for c in range(16)])
+    best = tree.fit(spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(rising)], "grp string, id long, vector array<double>"), dims=2, most_k=20).first()
+    y = rising - rising.mean(0)
+    assert best.bic == pytest.approx(min(_bic(y @ np.linalg.svd(y, full_matrices=False)[2].T, k) for k in range(2, 21)), rel=1e-6)
