@@ -268,19 +268,21 @@ def _verify(gram: int, num: int, den: int):  # noqa: ANN202
     return run
 
 
-def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, n_links.
+def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = DEN, key: str = "doc_id", text: str = "text", count_links: bool = True) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id and, if count_links, n_links.
 
     A document's set holds its distinct gram-word shingles (A-Z lowered; words are runs of anything but space,
     tab, LF, VT, FF, CR), or all its words as one if there are fewer. Null texts and texts without words have
     empty sets and link with nothing. Two documents link when den * |intersection| >= num * |union|.
     component_id is the smallest doc_id that links lead to; equal sets form one class, whose least document
-    stands for it in all further steps, so copies aren't expanded into pairs. n_links counts the links between
-    different sets that were needed to prove a document's component (of its class), not all that there are.
+    stands for it in all further steps, so copies aren't expanded into pairs. n_links is the number of other rows
+    that a document links with, those of its own set included; all pairs of a key's group are then compared, and
+    the links between different sets are verified one by one, however many there are. Without it, only links that
+    prove components are looked for, which is far less work in large groups.
     Rows without a key take no part and have no component. Other columns are ignored; an empty table gives no rows.
 
     Groups under one key give pairs only up to SMALL_GROUP members. Larger ones give each member's pair with the
-    least member first; groups that this leaves in several components are compared in tiles by sketch, which
+    least member first; groups that this leaves in several components (all, if links are counted) are compared in tiles by sketch, which
     proves most pairs dissimilar, and what is left is verified. So no link is lost, whatever a group's size.
     """
     spark = docs.sparkSession
@@ -288,7 +290,7 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     plain = every.where("doc_id IS NOT NULL")
     rows = scratch.save(every.mapInArrow(_describe(gram), "doc_id long, n_shingles long, digest binary, sketch binary"), "rows")
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     classes = scratch.save(classes, "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     owners = exchange.owners_for(total * 6 // 10, exchange.partitions_of(docs))
@@ -318,7 +320,10 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
     if large:
         members = found.where("kind = 1").select(F.col("x").alias("gid"), F.col("y").alias("doc_id"), "own").distinct().join(reps, "doc_id")
         members = members.groupBy("gid", F.col("rep").alias("doc")).agg(F.max(F.col("own").cast("int")).alias("held"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-        members = members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        if count_links:
+            members = members.withColumn("root", F.col("doc"))
+        else:
+            members = members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
         members = scratch.save(members, "members")
         apart = members.groupBy("gid").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("g")).where("one != other")
         tiles = F.ceil(F.col("g") / TILE).cast("int")
@@ -330,17 +335,21 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
             links = scratch.save(links.unionAll(more), "links")
             roots = components(links)
     scratch.free("texts")
-    counts = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    known = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").join(counts, "rep", "left")
-    known = scratch.save(known.select("digest", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "known")
-    return rows.select("doc_id", "n_shingles", "digest").join(known, "digest", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    known = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left")
+    if count_links:
+        both = links.select("a", "b").unionAll(links.select("b", "a")).toDF("rep", "other")
+        counts = both.join(classes.select(F.col("rep").alias("other"), F.col("copies").alias("more")), "other").groupBy("rep").agg(F.sum("more").alias("others"))
+        known = known.join(counts, "rep", "left")
+    n_links = [(F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")] if count_links else []
+    known = scratch.save(known.select("digest", F.coalesce("root", "rep").alias("root"), *n_links), "known")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
+    told = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")] if count_links else []
+    return rows.select("doc_id", "n_shingles", "digest").join(known, "digest", "left").select("doc_id", "n_shingles", component, *told)
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """One document of each component, the one of smallest key, with all its columns; rows without a key all stay."""
-    found = near_classes(docs, key=key, text=text, **how)
+    found = near_classes(docs, key=key, text=text, count_links=False, **how)
     stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("_stays")).distinct()
     kept = docs.join(stay, F.col(key) == F.col("_stays"), "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull()))

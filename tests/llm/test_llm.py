@@ -172,6 +172,28 @@ def test_jaccard(spark, small, monkeypatch):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in out} == _linked(rows)
 
 
+@pytest.mark.parametrize("tile", [1024, 7])
+def test_jaccard_counts_every_link(spark, tile, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[:30], f"x{i}", *base[30:]])) for i in range(40)]
+    rows += [(40 + i, " ".join([*base[: 10 + i], "y", *base[10 + i :]])) for i in range(12)] + [(60, rows[3][1]), (61, rows[3][1]), (62, ""), (63, None), (64, "alone")]
+    for i in range(70, 110):
+        w = r.choice(rows[:50])[1].split()
+        for _ in range(r.randint(1, 3)):
+            w[r.randrange(len(w))] = f"z{r.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    sets = {d: jaccard_join.exact_set(t, 5) for d, t in rows}
+    links = lambda d: sum(bool(sets[d] & sets[e]) and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e]) for e in sets if e != d)
+    want = {d: (*_linked(rows)[d], links(d)) for d in sets}
+    assert max(n for _, _, n in want.values()) > 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (1, 5):
+        found = jaccard_join.near_classes(docs.repartition(part)).collect()
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in found} == want
+
+
 def test_jaccard_edges(edge):
     out = jaccard_join.near_classes(edge).collect()
     assert len(out) == len(EDGE)
