@@ -108,21 +108,20 @@ def fold(key: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % 3
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 1, per_class: int = 600, most_classes: int = 100, landmarks: int = 320, ridge: float = 0.1) -> LanguageModel:
+def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", held_out: int = 1, per_class: int = 600, landmarks: int = 320, least_landmarks: int = 8, ridge: float = 0.1) -> LanguageModel:
     """Learns from rows with a label whose fold isn't held_out.
 
-    The sample is bounded: about per_class texts of each of the most_classes most frequent labels, chosen by
-    hash of the key (of the text where it is null). The n-grams of the landmark texts reach the driver; sums over the
+    Every label is learnt. The sample is bounded: about per_class texts of each label, chosen by hash of the key (of
+    the text where it is null), and landmarks landmark texts, least_landmarks of each label at least. The n-grams of the landmark texts reach the driver; sums over the
     texts' features are formed by executors, exactly, so that their order doesn't matter.
     """
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("c")).where(F.col("c").isNotNull() & (fold(F.col("k")) != held_out) & F.col("t").isNotNull())
-    counts = rows.groupBy("c").count().orderBy(F.desc("count"), "c").limit(most_classes).collect()
+    counts = rows.groupBy("c").count().collect()
     classes = sorted(r["c"] for r in counts)
     if len(classes) < 2:
         return LanguageModel(classes, Landmarks([]), np.zeros((0, len(classes))), np.ones(len(classes)))
-    each = min(per_class, 24 * per_class // len(counts))
     draw = F.crc32(F.encode(F.concat(F.lit("sample:"), F.coalesce(F.col("k").cast("string"), F.col("t"))), "UTF-8"))
-    share = docs.sparkSession.createDataFrame([(r["c"], int(min(1.0, each / r["count"]) * 2**32)) for r in counts], "c string, most long")
+    share = docs.sparkSession.createDataFrame([(r["c"], int(min(1.0, per_class / r["count"]) * 2**32)) for r in counts], "c string, most long")
 
     def vectors(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -134,7 +133,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     picked = rows.withColumn("d", draw).join(F.broadcast(share), "c").where(F.col("d") < F.col("most")).select("d", "c", "t")
     picked = scratch.save(picked.mapInArrow(vectors, "d long, c string, x binary"), "sample")
     first = F.row_number().over(W.partitionBy("c").orderBy("d", "x"))
-    chosen = sorted((r["c"], r["d"], r["x"]) for r in picked.withColumn("nth", first).where(F.col("nth") <= max(1, landmarks // len(classes))).select("c", "d", "x").collect())
+    chosen = sorted((r["c"], r["d"], r["x"]) for r in picked.withColumn("nth", first).where(F.col("nth") <= max(least_landmarks, landmarks // len(classes))).select("c", "d", "x").collect())
     texts = [np.frombuffer(x, np.uint32) for _, _, x in chosen]
     marks = Landmarks(texts)
     whiten = whitening(marks, texts)

@@ -231,6 +231,17 @@ def test_language_of_long_texts(spark):
             assert model.classes[model.decide(language_id.grams(np.frombuffer(whole[:n].encode(), np.uint8)))[0]] == x["lang"]
 
 
+def test_language_learns_every_label(spark):
+    r = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(360)]
+    text = lambda c: " ".join("".join(r.choice(letters[3 * c : 3 * c + 3]) for _ in range(4)) for _ in range(6))
+    rows = [(120 * i + c, text(c), f"l{c:03}") for c in range(120) for i in range(30 if c else 60)]
+    out = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    by_id = {d: c for d, _, c in rows}
+    wrong = [x for x in out if by_id[x["doc_id"]] != x["lang_pred"]]
+    assert len({by_id[x["doc_id"]] for x in out}) == 120 and not wrong
+
+
 def test_landmark_weights_agree(monkeypatch):
     r = np.random.default_rng(2)
     texts = [language_id.grams(r.integers(97, 110, n).astype(np.uint8)) for n in (5, 50, 500, 1, 0)]
