@@ -192,6 +192,11 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def drop_unknown(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **how: float) -> DataFrame:
-    """The rows of docs whose text has a language, with all their columns; texts without a letter and nulls go."""
-    mark = "_language"
-    return with_language(docs, train(docs, key, text, lang, **how), text, mark).where(F.col(f"{mark}.lang") != UNKNOWN).select(*docs.columns)
+    """The rows of docs whose text has a language, with all their columns; texts without a letter and nulls go.
+
+    If no label could be learnt, texts with a letter stay all the same.
+    """
+    mark, model = "_language", train(docs, key, text, lang, **how)
+    if not model.classes:
+        return docs.where(F.col(text).rlike(r"\p{L}"))
+    return with_language(docs, model, text, mark).where(F.col(f"{mark}.lang") != UNKNOWN).select(*docs.columns)

@@ -322,3 +322,9 @@ def test_pipeline_columns(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns and 0 < out.count()
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").where("lossless").count() > 0
+
+
+def test_unlearnt_language_drops_no_letters(spark):
+    rows = [(i, t, None) for i, t in enumerate(["some words", "123 ..", None, "é"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language_id.drop_unknown(docs).collect()) == [0, 3]
