@@ -328,3 +328,46 @@ def test_unlearnt_language_drops_no_letters(spark):
     rows = [(i, t, None) for i, t in enumerate(["some words", "123 ..", None, "é"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert sorted(r["doc_id"] for r in language_id.drop_unknown(docs).collect()) == [0, 3]
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    import duckdb
+
+    r = random.Random(11)
+    words = {"en": [f"the{c}" for c in "abcdefghijklm"], "xx": [f"qu{c}z" for c in "nopqrstuvwxy"]}
+    rows = [(i, " ".join(r.choice(words[c]) for _ in range(r.randint(20, 60))), c, f"s{i % 3}") for i, c in enumerate(["en", "xx"] * 30)]
+    rows += [(100 + i, rows[i][1].replace(" ", "  ") if i % 2 else rows[i][1], rows[i][2], f"s{i % 3}") for i in range(10)]
+    rows += [(200 + i, rows[i + 20][1] + " more", rows[i + 20][2], "s1") for i in range(10)]
+    rows += [(300, "12 34", "en", "s0"), (301, None, "en", "s1"), (302, "", "xx", "s2")]
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def known(docs):
+        return [x for x in docs if any(c.isalpha() for c in x[1] or "")]
+
+    def single(docs):
+        best: dict = {}
+        for x in sorted(docs, key=lambda x: (-len(x[1]), x[0])):
+            best.setdefault("".join(x[1].split()), x)
+        return list(best.values())
+
+    def apart(docs):
+        root = _linked([(x[0], x[1]) for x in docs])
+        return [x for x in docs if root[x[0]][1] == x[0]]
+
+    def mixed(docs):
+        con = duckdb.connect()
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", docs)
+        taken = {d: (t, n) for d, n, t in con.execute(f"SELECT doc_id, size, taken FROM ({queries.ORACLES['op5_source_mixing']})").fetchall()}
+        return [x for x in docs for _ in range(math.floor(taken[x[0]][0] / taken[x[0]][1] + 0.5))]
+
+    docs = rows
+    for (name, stage), brute in zip(corpus_pipeline.STAGES[:-1], (known, single, apart, mixed), strict=True):
+        want = brute(docs)
+        got = [tuple(x) for x in stage(spark, spark.createDataFrame(docs, schema), str(tmp_path)).collect()]
+        assert sorted(got) == sorted(want) and Counter(want) != Counter(docs), name
+        docs = want
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(x["doc_id"] for x in out) == Counter(x[0] for x in docs) and all(x["lossless"] for x in out)
