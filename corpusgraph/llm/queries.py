@@ -10,7 +10,7 @@ from corpusgraph.llm.exact_dedup import exact_dedup
 from corpusgraph.llm.jaccard_join import near_classes
 from corpusgraph.llm.mixing import mix_sources
 from corpusgraph.llm.sharding import assign_shards
-from corpusgraph.llm.substring_dedup import substring_dedup
+from corpusgraph.llm.substring_dedup import substring_digests
 from corpusgraph.plans.session import table
 
 SHARDS, SOURCE_WEIGHTS = 24, (5, 2, 1)
@@ -68,7 +68,7 @@ SELECT doc_id, source, size, source_size, target, (epochs * size + greatest(0, l
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return substring_digests(table(spark, sf_dir, "documents"))
 
 
 OP3 = r"""

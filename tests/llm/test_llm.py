@@ -102,14 +102,49 @@ def _windows(rows, size):
     return out
 
 
-@pytest.mark.parametrize("block", [2048, 1])
-def test_substrings(spark, block):
-    r = random.Random(3)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_substrings(spark, seed, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HELD", (64 << 20) if seed == 3 else 100)
+    r = random.Random(seed)
     words = [f"v{i}" for i in range(12)]
     rows = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(40)]
     rows += [(i + 40, rows[r.randrange(40)][1] + " x " + rows[r.randrange(40)][1]) for i in range(20)] + [(90, None), (91, "")]
-    out = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=12, block_segments=block).collect()
-    assert {x[0]: tuple(x[1:]) for x in out} == _windows(rows, 12)
+    passage = " ".join(r.choice(words) for _ in range(20))
+    rows += [(100 + i, f"a{i} b{i} {passage}\t\n c{i} d{i} " + "w " * (i % 30)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _windows(rows, 12)
+    assert sum(n > 0 for _, n, _ in want.values()) > 60
+    assert {x[0]: tuple(x[1:]) for x in substring_dedup.substring_dedup(docs.repartition(seed), window=12).collect()} == want
+    digests = {x[0]: tuple(x[1:]) for x in substring_dedup.substring_digests(docs, window=12).collect()}
+    assert digests == {d: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, (n, gone, kept) in want.items()}
+
+
+def test_substrings_of_repeated_ids(spark):
+    """Rows of one id don't make each other lose words; each loses what rows of smaller id hold."""
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("abcdefghijkl") for _ in range(n))
+    p, q, own = text(20), text(20), text(20)
+    rows = [(1, p), (1, p), (1, q), (2, f"{own} {p}"), (2, f"{q} {own}"), (2, f"{q} {own}"), (2, own), (None, p), (3, own), (3, None)]
+    want = Counter()
+    for d, t in rows:
+        words, gone = (t or "").split(), set()
+        seen = {tuple(u.split()[i : i + 12]) for e, u in rows if d is not None and e is not None and e < d and u for i in range(len(u.split()) - 11)}
+        for i in range(len(words) - 11):
+            if tuple(words[i : i + 12]) in seen:
+                gone |= set(range(i, i + 12))
+        want[d, len(words), len(gone), " ".join(w for i, w in enumerate(words) if i not in gone)] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, substring_dedup.substring_dedup(docs, window=12).collect())) == want
+    digests = Counter(map(tuple, substring_dedup.substring_digests(docs, window=12).collect()))
+    assert digests == Counter({(d, n, gone, hashlib.sha256(kept.encode()).hexdigest()): c for (d, n, gone, kept), c in want.items()})
+
+
+def test_block_tells_windows_of_one_hash_apart(monkeypatch):
+    monkeypatch.setattr(substring_dedup.Block, "_keys", lambda self, body, words: iter([7] * (len(words) - self.window + 1)))
+    block = substring_dedup.Block(3)
+    block.add(b"a b c d e")
+    block.add(b"x b c d y")
+    assert block.factors(b"q b c d e") == [(1, 5)] and block.factors(b"x b c d y z") == [(0, 5)] and block.factors(b"a b d c e") == []
 
 
 def test_substring_edges(edge):
