@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,10 +49,20 @@ def _random_looking(s: str) -> bool:
 
 
 def _outside(found: list[Span], taken: list[Span]) -> list[Span]:
-    """found without what overlaps taken; taken is sorted by start and its spans of one kind are apart."""
-    longest = max((e - s for s, _, e in taken), default=0)
-    starts = [s for s, _, _ in taken]
-    return [x for x in found if not any(taken[i][2] > x[0] for i in range(bisect_left(starts, x[0] - longest), bisect_left(starts, x[2])))]
+    """found without what overlaps taken (sorted by start)."""
+    merged: list[list[int]] = []
+    for s, _, e in taken:
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    starts = [s for s, _ in merged]
+
+    def free(x: Span) -> bool:
+        at = bisect_left(starts, x[2])
+        return not at or merged[at - 1][1] <= x[0]
+
+    return [x for x in found if free(x)]
 
 
 def linked_spans(text: str, low: str, base: list[Span], reach: int) -> list[Span]:
@@ -78,8 +88,7 @@ def linked_spans(text: str, low: str, base: list[Span], reach: int) -> list[Span
         if not weak or x[0] >= weak[-1][2]:
             weak.append(x)
     keys = sorted(weak + [x for x in base if x[1] != 1])
-    out = [x for x in places if _meets(x, keys, reach)]
-    return sorted(out + [x for x in weak if _meets(x, anchors, reach)])
+    return sorted(_meeting(places, keys, reach) + _meeting(weak, anchors, reach))
 
 
 def _around(spans: list[Span], reach: int, end: int) -> list[tuple[int, int]]:
@@ -94,14 +103,15 @@ def _around(spans: list[Span], reach: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
-def _meets(x: Span, others: list[Span], reach: int) -> bool:
-    at = bisect_right(others, (x[2] + reach, 9, 0))
-    longest = max((e - s for s, _, e in others), default=0)
-    while at and others[at - 1][0] >= x[0] - reach - longest:
-        at -= 1
-        if others[at][2] >= x[0] - reach:
-            return True
-    return False
+def _meeting(found: list[Span], others: list[Span], reach: int) -> list[Span]:
+    """Those of found with one of others (sorted by start) at most reach away: of all that start in time, the one that ends last decides."""
+    starts, last = [s for s, _, _ in others], list(accumulate((e for _, _, e in others), max))
+
+    def near(x: Span) -> bool:
+        at = bisect_right(starts, x[2] + reach)
+        return at > 0 and last[at - 1] >= x[0] - reach
+
+    return [x for x in found if near(x)]
 
 
 def scan(text: str | None, reach: int) -> tuple[list[Span], list[Span]]:
@@ -111,17 +121,14 @@ def scan(text: str | None, reach: int) -> tuple[list[Span], list[Span]]:
     return base, linked_spans(text, low, base, reach)
 
 
-def told(spans: list[Span]) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
-
-
 def secret_spans(docs: DataFrame, reach: int = 160, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, base_spans and linked_spans, arrays of struct(kind, start, end) in code points.
 
     base_spans holds what the three base patterns find; linked_spans adds weak identifiers, secrets and endpoints,
     only where a secret and an identifier or endpoint stand within reach code points of each other. Spans are
-    ordered by start, then kind as in KINDS. Null text is empty and has no spans. Whole texts are read; a
-    document is scanned alone, so nothing is shuffled. Other columns are ignored; an empty table gives no rows.
+    ordered by start, then kind as in KINDS. Null text is empty and has no spans; null keys and repeated rows are scanned
+    like others. Whole texts are read, in time about linear in their length; a document is scanned alone, so nothing is
+    shuffled. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -136,7 +143,3 @@ def secret_spans(docs: DataFrame, reach: int = 160, key: str = "doc_id", text: s
     spans = "array<struct<kind: string, start: long, end: long>>"
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return plain.mapInArrow(run, f"doc_id long, base_spans {spans}, linked_spans {spans}")
-
-
-def digest(spans: list[Span]) -> str:
-    return hashlib.sha256(told(spans).encode()).hexdigest()
