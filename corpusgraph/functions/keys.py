@@ -16,8 +16,8 @@ def uuid5(name: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
 
 
-def collection_name(strategy: Column, model: str = "embed3large", version: str = "v1") -> Column:
-    return F.concat(F.lit("RAG_"), F.replace(strategy, F.lit("."), F.lit("_")), F.lit(f"_{model}_{version}"))
+def collection_name(strategy: Column, model: str = "embed3large", version: str = "v1", prefix: str = "RAG_") -> Column:
+    return F.concat(F.lit(prefix), F.replace(strategy, F.lit("."), F.lit("_")), F.lit(f"_{model}_{version}"))
 
 
 def strategy_of(collection: Column) -> Column:
@@ -46,3 +46,27 @@ def strip_fences(text: Column) -> Column:
 def valid_score(score: Column) -> Column:
     number = score.try_cast("double")
     return number.isNotNull() & ~F.isnan(number)
+
+
+def semantic_folder(coefficient: Column) -> Column:
+    """semantic_std and the coefficient with at most two decimals, without trailing zeros."""
+    return F.concat(F.lit("semantic_std"), F.regexp_replace(F.format_string("%.2f", coefficient.cast("double")), r"\.?0+$", ""))
+
+
+def safe_name(name: Column) -> Column:
+    """name without what could leave a folder: separators and runs of dots become underscores."""
+    return F.regexp_replace(F.regexp_replace(name, r"[/\\]+", "_"), r"\.{2,}", "_")
+
+
+#: Names of the chunking strategies.
+DISPLAY_NAMES = {"section": "Section-Based Chunking", "contextual": "Contextual Chunking", "raptor": "RAPTOR (Hierarchical)"}
+
+
+def display_name(strategy: Column) -> Column:
+    out = F.when(F.lit(False), "")
+    for key, name in DISPLAY_NAMES.items():
+        out = out.when(strategy == key, name)
+    std = F.regexp_extract(strategy, r"^semantic_std([0-9]+)$", 1)
+    other = F.regexp_extract(strategy, r"^semantic_(.*)$", 1)
+    told = lambda x, unit: F.concat(F.lit("Semantic ("), x, F.lit(f"{unit})"))
+    return out.when(std != "", told(std, " std")).when(F.startswith(strategy, F.lit("semantic_")), told(other, "")).otherwise(F.initcap(F.replace(strategy, F.lit("_"), F.lit(" "))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -136,3 +136,23 @@ def semantic_segments(rows: DataFrame, group: str, order: str, vector: str, k: f
     before = F.lag("members").over(W.partitionBy(group).orderBy("segment"))
     tail = F.slice(before, F.greatest(F.size(before) - overlap + 1, F.lit(1)), overlap)
     return found.withColumn("carried", F.coalesce(tail, F.array().cast(dict(found.dtypes)["members"])))
+
+
+def _by_lines(docs: DataFrame, most: int) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(cleaning.lines(F.col("text"))).alias("chunk", "text"))
+
+
+CHUNKERS: dict[str, Callable[[DataFrame, int], DataFrame]] = {"section": lambda docs, most: pack_sentences(docs, most=most), "lines": _by_lines}
+
+
+def run(docs: DataFrame, book: str, strategies: Sequence[str], most: int = 800) -> DataFrame:
+    """book, strategy, chunks: the number of chunks that each strategy makes of each book; unknown strategies raise."""
+    out = None
+    for name in strategies:
+        if name not in CHUNKERS:
+            raise ValueError(f"unknown chunking strategy {name}; known are {', '.join(sorted(CHUNKERS))}")
+        # Chunkers keep documents apart, so a book's chunks are counted by document first and no text is shuffled.
+        counts = CHUNKERS[name](docs, most).groupBy("doc_id").agg(F.count("*").alias("n"))
+        one = docs.select("doc_id", F.col(book).alias("book")).join(counts, "doc_id").groupBy("book").agg(F.sum("n").alias("chunks")).select("book", F.lit(name).alias("strategy"), "chunks")
+        out = one if out is None else out.unionAll(one)
+    return out

@@ -129,3 +129,9 @@ def segment_document(docs: DataFrame, book: str, text: str) -> DataFrame:
     inner = W.partitionBy("book", "number").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("section", F.last("section", True).over(inner)).where(~F.col("line").rlike("^#"))
     return rows.select("book", "at", context_of(F.col("book").cast("string"), F.col("chapter"), F.col("section")).alias("context"), F.col("line").alias("text"))
+
+
+def split_at_headers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos, is_header, headers: each line, whether it is a header ('#' and more, then white space), and the headers up to it."""
+    rows = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("is_header", F.col("line").rlike(r"^#+\s+"))
+    return rows.select(key, "pos", "is_header", F.sum(F.col("is_header").cast("long")).over(W.partitionBy(key).orderBy("pos")).alias("headers"))

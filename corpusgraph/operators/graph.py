@@ -259,3 +259,14 @@ def modularity(edges: DataFrame, labels: DataFrame, gamma: float = 1.0) -> DataF
     by = arcs.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("community")).agg(F.count("*").alias("d"), F.count_if(F.col("a") == F.col("b")).alias("inner"))
     sums = by.agg(F.sum("inner").alias("i"), F.sum(F.col("d").cast("double") * F.col("d")).alias("q"), F.sum("d").alias("t"))
     return sums.select(F.round(F.col("i") / F.col("t") - F.lit(gamma) * F.col("q") / (F.col("t").cast("double") * F.col("t")), 6).alias("modularity"))
+
+
+def drawing(vertices: DataFrame, edges: DataFrame, longest: int = 150) -> tuple[DataFrame, DataFrame]:
+    """vertices (id, name) with size 30 to 90 by degree, and edges (src, dst, weight, description) with width 0.5 to 5 and a tooltip of longest characters."""
+    degree = degrees(vertices, edges)
+    span = degree.agg(F.min("degree").alias("low"), F.max("degree").alias("high"))
+    size = 30 + 60 * (F.col("degree") - F.col("low")) / F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(1)
+    nodes = vertices.join(degree, "id").join(F.broadcast(span)).select("id", "name", size.alias("size"))
+    tip = F.when(F.char_length("description") > longest, F.concat(F.left("description", F.lit(longest)), F.lit("..."))).otherwise(F.col("description"))
+    width = F.greatest(F.lit(0.5), F.least(F.coalesce("weight", F.lit(1.0)), F.lit(5.0)))
+    return nodes, edges.select("src", "dst", width.alias("width"), tip.alias("tooltip"))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusgraph.operators.chunking import cosine
+from corpusgraph.plans.scratch import Scratch
+
+_WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
 def tokens(text: Column) -> Column:
@@ -19,23 +28,132 @@ def top_k(hits: DataFrame, k: int, query: str = "query_id", item: str = "item_id
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Bytes of query vectors, or number of query terms, that are sent to the tasks at once; more go in several passes over the items.
+SENT_BYTES, SENT_TERMS = 64 << 20, 1 << 20
+
+
+def _blocks(rows: DataFrame, per_block: int) -> Iterator[list[Row]]:
+    """rows in lists of at most per_block, so that the driver never holds more."""
+    block: list[Row] = []
+    for row in rows.toLocalIterator():
+        block.append(row)
+        if len(block) == per_block:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def vector_search(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """query_id, item_id, score, rank: exact cosine neighbours of (query_id, query_vector) among (item_id, vector)."""
-    scored = items.join(queries).select("query_id", "item_id", F.round(cosine(F.col("vector"), F.col("query_vector")), 6).alias("score"))
-    return top_k(scored, k)
+    """query_id, item_id, score, rank: exact cosine neighbours of (query_id, query_vector) among (item_id, vector).
+
+    Queries are sent to the items in blocks of SENT_BYTES. A batch of items meets a block in one matrix product and
+    hands on the k best of each query only (and what ties with them), so pairs don't cross the network. Rows
+    with a null vector take no part; a vector of zeros has score 0 with all.
+    """
+    queries = queries.where("query_vector IS NOT NULL")
+    first = queries.select(F.size("query_vector").alias("n")).first()
+    kinds = {"query_id": dict(queries.dtypes)["query_id"], "item_id": dict(items.dtypes)["item_id"]}
+    schema = f"at int, item_id {kinds['item_id']}, score double"
+    spark, found = queries.sparkSession, None
+    if first is None:
+        return spark.createDataFrame([], f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double, rank int")
+
+    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.sqrt((x * x).sum(1))
+        return x, size
+
+    plain = items.where("vector IS NOT NULL").select("item_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    for block in _blocks(queries.select("query_id", "query_vector"), max(1, SENT_BYTES // (8 * max(1, first["n"])))):
+        wanted, norm = unit(np.array([r["query_vector"] for r in block], float))
+
+        def nearest(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted, norm: np.ndarray = norm) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 2048):
+                    batch = whole.slice(lo, 2048)
+                    rows, size = unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                    scale = norm[:, None] * size[None, :]
+                    score = (wanted @ rows.T) / np.where(scale == 0, 1.0, scale)
+                    least = np.partition(score, -k, axis=1)[:, -k] if k < batch.num_rows else np.full(len(score), -np.inf)
+                    at, item = np.nonzero(score >= least[:, None] - 2e-6)
+                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column("item_id").take(pa.array(item)), pa.array(score[at, item])], ["at", "item_id", "score"])
+
+        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(block)], f"at int, query_id {kinds['query_id']}")
+        one = plain.mapInArrow(nearest, schema).join(F.broadcast(names), "at").select("query_id", "item_id", F.round("score", 6).alias("score"))
+        found = one if found is None else found.unionAll(one)
+    return top_k(found, k)
+
+
+def containing(passages: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, item_id: the items (item_id, text) whose text holds a passage (query_id, passage).
+
+    Passages go to the items in blocks as one automaton, which reads each text once, however many passages
+    there are. Null and empty passages are in no text.
+    """
+    some = passages.where("passage <> ''")
+    kinds = {"q": dict(passages.dtypes)["query_id"], "i": dict(items.dtypes)["item_id"]}
+    spark, found = passages.sparkSession, None
+    longest = some.agg(F.max(F.octet_length("passage")).alias("n")).first()["n"]
+    if longest is None:
+        return spark.createDataFrame([], f"query_id {kinds['q']}, item_id {kinds['i']}")
+    for block in _blocks(some.select("query_id", "passage"), max(1, SENT_BYTES // (64 * longest))):
+        texts = sorted({r["passage"] for r in block})
+
+        def hold(batches: Iterator[pa.RecordBatch], texts: list[str] = texts) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for i, t in enumerate(texts):
+                automaton.add_word(t, i)
+            automaton.make_automaton()
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 512):
+                    batch = whole.slice(lo, 512)
+                    pairs = [(i, p) for i, t in enumerate(batch.column("text").to_pylist()) if t for p in sorted({p for _, p in automaton.iter(t)})]
+                    yield pa.RecordBatch.from_arrays([pa.array([p for _, p in pairs], pa.int32()), batch.column("item_id").take(pa.array([i for i, _ in pairs], pa.int64()))], ["at", "item_id"])
+
+        place = {t: i for i, t in enumerate(texts)}
+        names = spark.createDataFrame([(place[r["passage"]], r["query_id"]) for r in block], f"at int, query_id {kinds['q']}")
+        one = items.select("item_id", "text").mapInArrow(hold, f"at int, item_id {kinds['i']}").join(F.broadcast(names), "at").select("query_id", "item_id")
+        found = one if found is None else found.unionAll(one)
+    return found
 
 
 def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, item_id, score, rank for (query_id, query) among (item_id, text).
 
-    Only terms that queries hold are counted for the postings; document lengths and numbers cover all items.
+    Each text is cut into words once; only words that queries hold leave the task, counted, together with the text's
+    length. Document lengths and numbers cover all items. The queries' words are sent in blocks of SENT_TERMS.
     """
-    words = items.select("item_id", tokens(F.col("text")).alias("words"))
-    sizes = words.select("item_id", F.size("words").alias("dl"))
-    totals = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    postings = words.select("item_id", F.size("words").alias("dl"), F.explode("words").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("item_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    scratch = Scratch(queries.sparkSession, "bm25")
+    terms = scratch.save(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "terms")
+    kind, counted = dict(items.dtypes)["item_id"], None
+    for at, block in enumerate(_blocks(terms.select("term").distinct(), SENT_TERMS)):
+        wanted = frozenset(r["term"] for r in block)
+
+        def count(batches: Iterator[pa.RecordBatch], wanted: frozenset = wanted, at: int = at) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 512):
+                    batch = whole.slice(lo, 512)
+                    place, dl, term, tf = [], [], [], []
+                    for i, text in enumerate(batch.column("text").to_pylist()):
+                        words = _WORD.findall(text)
+                        mine = Counter(w for w in words if w in wanted)
+                        # A text's length comes once, in a row without a term.
+                        for w, n in ([(None, None)] if at == 0 else []) + sorted(mine.items()):
+                            place.append(i)
+                            dl.append(len(words))
+                            term.append(w)
+                            tf.append(n)
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(place, pa.int64())), pa.array(dl, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], ["item_id", "dl", "term", "tf"])
+
+        one = items.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(count, f"item_id {kind}, dl int, term string, tf long")
+        counted = one if counted is None else counted.unionAll(one)
+    if counted is None:
+        counted = items.select("item_id", F.lit(0).alias("dl"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")).limit(0)
+    counted = scratch.save(counted, "counted")
+    totals = counted.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    postings = counted.where("term IS NOT NULL")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -69,3 +187,13 @@ def overlap_score(query: Column, text: Column) -> Column:
     """Share of the query's distinct tokens that the text holds; the offline stand-in for a cross-encoder."""
     mine = F.array_distinct(tokens(query))
     return F.round(F.size(F.array_intersect(mine, tokens(text))) / F.greatest(F.size(mine), F.lit(1)), 6)
+
+
+def parsed_hits(raw: DataFrame) -> DataFrame:
+    """raw with score from its distance (1 - distance) where there is one, else its score, else 0, and defaults for what is missing."""
+    score = F.coalesce(1 - F.col("distance"), "score", F.lit(0.0))
+    given = set(raw.columns)
+    filled = {"section": F.coalesce("section", F.lit("")) if "section" in given else F.lit("")}
+    for name, default in (("tree_level", F.lit(0)), ("is_summary", F.lit(False))):
+        filled[name] = F.coalesce(name, default) if name in given else default
+    return raw.withColumns({"score": score} | filled).drop("distance")

@@ -38,10 +38,10 @@ def _vector(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 
 
 def _relevant(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of passage and document that holds it, an inner join by containment; the passages are a fixed, small set."""
+    """Pairs of passage and document that holds it."""
     bench = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text")
-    return bench.join(docs, F.contains(F.col("text"), F.col("passage"))).select("query_id", "item_id")
+    return search.containing(bench, docs)
 
 
 @query(_BM25 + "SELECT query_id, item_id, score, rank FROM h")
@@ -49,11 +49,16 @@ def kw_bm25(spark: SparkSession, d: str) -> DataFrame:
     return _bm25(spark, d)
 
 
-@query(_VECTOR)
+_MEANS = "SELECT label, list(m ORDER BY pos) AS v FROM (SELECT label, pos, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY ALL) GROUP BY label"
+
+
+@query(f"SELECT vec_id, label, round({_DOT % ('embedding', 'v')} / (sqrt({_DOT % ('embedding', 'embedding')}) * sqrt({_DOT % ('v', 'v')})), 6) AS score FROM embeddings JOIN ({_MEANS}) USING (label)")
 def vec_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine of each vector and the mean of its label's vectors."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return e.join(q).select("query_id", F.col("vec_id").alias("item_id"), F.round(search.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    each = e.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    means = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("v"))
+    return e.join(means, "label").select("vec_id", "label", F.round(search.cosine(F.col("embedding"), F.col("v")), 6).alias("score"))
 
 
 @query(f"SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM ({_VECTOR}) QUALIFY rank <= 10")
@@ -129,11 +134,6 @@ def idx_uuid(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", keys.uuid5(F.concat("source", F.lit("::chunk_"), "doc_id")).alias("uuid"))
 
 
-@query("SELECT source AS key, arg_max(doc_id, doc_id) AS doc_id, max_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY source")
-def idx_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").groupBy(F.col("source").alias("key")).agg(F.max("doc_id").alias("doc_id"), F.max_by("n_chars", "doc_id").alias("n_chars"))
-
-
 @query("SELECT count(*) AS n FROM documents")
 def idx_count(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").agg(F.count("*").alias("n"))
@@ -144,11 +144,6 @@ def idx_books(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("source").alias("book_id")).distinct()
 
 
-@query("SELECT DISTINCT label AS community FROM embeddings")
-def idx_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "embeddings").select(F.col("label").alias("community")).distinct()
-
-
 @query(r"""WITH c AS (SELECT s, 'RAG_' || replace(s, '.', '_') || '_embed3large_v1' AS name FROM (SELECT DISTINCT CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN 'semantic_std' || (doc_id % 7) WHEN 2 THEN 'semantic_0.' || (doc_id % 9) ELSE lang END AS s FROM documents))
 SELECT s AS strategy, name, CASE WHEN regexp_matches(name, '^RAG_semantic_std\d+_') THEN regexp_extract(name, '^RAG_(semantic_std\d+)_', 1) WHEN regexp_matches(name, '^RAG_semantic_\d+_\d+_') THEN 'semantic_' || replace(regexp_extract(name, '^RAG_semantic_(\d+_\d+)_', 1), '_', '.') ELSE string_split(name[5:], '_')[1] END AS parsed FROM c""")
 def idx_list(spark: SparkSession, d: str) -> DataFrame:
