@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -270,3 +270,22 @@ def drawing(vertices: DataFrame, edges: DataFrame, longest: int = 150) -> tuple[
     tip = F.when(F.char_length("description") > longest, F.concat(F.left("description", F.lit(longest)), F.lit("..."))).otherwise(F.col("description"))
     width = F.greatest(F.lit(0.5), F.least(F.coalesce("weight", F.lit(1.0)), F.lit(5.0)))
     return nodes, edges.select("src", "dst", width.alias("width"), tip.alias("tooltip"))
+
+
+def save_assignments(assigned: DataFrame, folder: str, seed: int) -> None:
+    """Saves community assignments (id, community) under their seed."""
+    assigned.select("id", "community").write.mode("overwrite").parquet(f"{folder}/seed={seed}")
+
+
+def load_assignments(spark: SparkSession, folder: str, seed: int) -> DataFrame | None:
+    """Assignments that were saved under a seed as a whole; None if there are none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/seed={seed}/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return None
+    return spark.read.parquet(f"{folder}/seed={seed}")
+
+
+def written_back(nodes: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """nodes with a column taken from values (id, column) where they have the node's id; others keep theirs."""
+    new = values.select("id", F.col(column).alias("_new"))
+    return nodes.join(new, "id", "left").withColumn(column, F.coalesce("_new", column)).drop("_new")

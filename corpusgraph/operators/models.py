@@ -27,7 +27,7 @@ PROMPTS = {
     "background": "Themes of the corpus:\n{background}\n\nPassages:\n{context}\n\nQuestion: {query}\n\nAnswer from the passages, cite them as [1], [2] and so on, and use the themes for the wider view.",
     "decompose": "Split this question into simpler ones, one a line:\n{query}",
     "hyde": "Write a short passage on {domain} that answers this question:\n{query}",
-    "summary": "Sum up these passages in one paragraph:\n{context}",
+    "summary": "Sum these passages up in one paragraph.\n\nPassages:\n{context}",
     "fold": "Question: {query}\n\nReports:\n{context}\n\nBegin with [Score: N/10], then answer.",
 }
 #: The two domains that hypothetical passages are written for.
