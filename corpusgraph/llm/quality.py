@@ -51,9 +51,11 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     windows = F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
     d = d.withColumn("windows", F.when(n >= 3, F.slice(windows, F.lit(1), n - 2)))
     unique = F.coalesce(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(True))
+    # Hashes tell that no window repeats; where some do, windows are compared by their words (which hold no blanks).
     # A column of its own for each step: inside a lambda, an expression would be evaluated anew for each element.
-    d = d.withColumn("ordered", F.when(~unique, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    like = lambda x, i: F.coalesce(x["h"] == F.get("ordered", i)["h"], F.lit(False))
+    told = lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
+    d = d.withColumn("ordered", F.when(~unique, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), told(i).alias("w"), i.alias("i"))))))
+    like = lambda x, i: F.coalesce((x["h"] == F.get("ordered", i)["h"]) & (x["w"] == F.get("ordered", i)["w"]), F.lit(False))
     d = d.withColumn("again", F.filter("ordered", lambda x, i: like(x, i - 1) | like(x, i + 1)))
     d = d.withColumn("places", F.sort_array(F.transform("again", lambda x: x["i"])))
     return d.select(
@@ -76,15 +78,16 @@ def log_gamma(x: Column) -> Column:
     return (y - 0.5) * F.ln(y) - y + F.lit(0.9189385332046727) + series - shift
 
 
-def binomial_tail(k: Column, n: Column, p: float, terms: int = 20_000) -> Column:
-    """Probability of k or fewer in n draws of probability p, never understated.
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """Probability of k or fewer in n draws of probability p, exact to double precision for every k; 1 where k isn't below n * p.
 
-    Summed from k downwards; past terms terms, what is left is bounded by a geometric series. 1 where k isn't below n * p.
+    Summed from k downwards. The i-th term before is at most exp(-(i - 1) ** 2 / 2 / k) of the first, so 12 * sqrt(k) + 64
+    terms leave under 1e-30 of it; that rest is added as a geometric series, which is never too small.
     """
     k, n = k.cast("double"), n.cast("double")
     log = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1) + k * F.log(F.lit(p)) + (n - k) * F.log1p(F.lit(-p))
     odds = (1 - p) / p
-    last = F.least(k, F.lit(float(terms)))
+    last = F.least(k, F.floor(12 * F.sqrt(k) + 64).cast("double"))
     ratio = lambda i: (k - i + 1) / (n - k + i) * F.lit(odds)
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 

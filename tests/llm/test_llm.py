@@ -349,6 +349,17 @@ def test_binomial(spark):
         assert got == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize(("k", "n"), [(99_000, 8_000_000), (2_490_000, 200_000_000), (2_499_000, 200_000_000)])
+def test_binomial_of_many_draws(spark, k, n):
+    """Against all k + 1 terms, far past what a fixed number of terms would reach."""
+    p = 0.0125
+    i = np.arange(1, k + 1, dtype=float)
+    terms = np.cumsum(np.log((k - i + 1) / (n - k + i)) + math.log((1 - p) / p))
+    log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    got = spark.range(1).select(quality.binomial_tail(F.lit(k), F.lit(n), p).alias("x")).first()["x"]
+    assert got == pytest.approx(math.exp(log) * (1 + np.exp(terms).sum()), rel=1e-5)
+
+
 def test_quality_edges(edge, spark):
     out = quality.judge(edge, spark.createDataFrame([(5, 1)], "doc_id long, quality int")).collect()
     assert len(out) == len(EDGE) and all(r["base_failed"] and not r["kept"] for r in out if r["n_words"] < 50)
