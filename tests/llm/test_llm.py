@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import math
@@ -368,7 +369,7 @@ def test_quality_edges(edge, spark):
 
 def test_warc(spark):
     line = "WARC/1.1\r\n"
-    html = ["x" * 5000, "x" * 5000, None, "", line, "\r\n\r\n" + line * 3 + "\r\n\r\n", "é" * 999, "\r\n", "y" * 3000 + line]
+    html = ["x" * 5000, "x" * 5000, None, "", line, "\r\n\r\n" + line * 3 + "\r\n\r\n", "é" * 999, "\r\n", "y" * 3000 + line, "z\r\n\r\nWARC/1.1", "WARC/1.1" * 200, "u" * 70_000, "HTTP/1.1 x" + "v" * 700]
     rows = [(i, f"http://h/{i}\r\nX: 1" if i % 2 else None, h) for i, h in enumerate(html)]
     out = {r["page_id"]: r for r in warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), chunk=700).collect()}
     assert len(out) == len(rows)
@@ -378,6 +379,59 @@ def test_warc(spark):
     assert (out[0]["record_type"], out[0]["refers_to"], out[1]["record_type"]) == ("revisit", 1, "response")
 
 
+def test_warc_of_repeated_rows(spark, tmp_path):
+    big, small = "b" * 40_000, "s"
+    rows = [(1, "u", big, "x", 1), (1, "u", big, "x", 1), (7, None, big, "x", 1), (7, None, big, "x", 2), (None, "u", big, None, 3), (None, None, small, None, 3), (None, None, small, None, 3), (8, "u", None, None, 3)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, refers_to string, record int")
+    out = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_round_trip(docs, f"{tmp_path}/w").collect())
+    want = Counter()
+    for page, _, html, *_ in rows:
+        again = html == big and page is not None and page < 7
+        want[page, len(html or ""), "revisit" if again else "response", 7 if again else None] += 1
+    assert out == want
+    ids = [x["id"] for x in spark.read.option("lineSep", warc.GAP).text(f"{tmp_path}/w").select(F.regexp_extract("value", r"WARC-Record-ID: ([^\r\n]+)", 1).alias("id")).where("id <> ''").collect()]
+    assert len(ids) == len(set(ids)) == 5 + 3 * 3
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    body = [b"<html>one</html>", b"", b"two\r\n\r\nthree"]
+    out = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x:0>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
+    for i, b in enumerate(body):
+        block = b"HTTP/1.0 200 OK\r\nServer: s\r\n\r\n" + b
+        told = b"sha1:" + (hashlib.sha1(b).hexdigest().encode() if i else b"3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ")
+        out += b"WARC/1.1\r\nwarc-type: response\r\nWARC-Record-ID: <urn:x:%d>\r\nWARC-Target-URI: http://h/%d\r\nWARC-Payload-Digest: %s\r\nContent-Length:%d\r\n\r\n" % (i + 1, i, told, len(block)) + block + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(out[:300]) + gzip.compress(out[300:]))
+    got = {r["url"]: (r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in warc.read_archives(spark, f"{tmp_path}/a.warc.gz").collect()}
+    assert got == {f"http://h/{i}": (None, len(b), hashlib.sha1(b).hexdigest()) for i, b in enumerate(body)}
+
+
+def test_warc_chunks_carry_running_digests(spark):
+    payload = bytes(range(256)) * 900 + b"WARC/1.1" + b"e" * 10
+    rows = warc.chunks(spark.createDataFrame([(1, None, payload, None), (2, "u", b"", None), (3, "u", payload, 1)], "page_id long, url string, payload binary, refers_to long"), 50_000).collect()
+    mine, seen = sorted((r for r in rows if r["page_id"] == 1), key=lambda r: r["no"]), b""
+    for r in mine:
+        seen += bytes(r["data"])
+        assert r["digest"] == hashlib.sha1(seen).hexdigest() and r["last"] == (len(seen) == len(payload)) and warc.MARK.encode() not in bytes(r["data"])
+    assert seen == payload and len(mine) == 6 and [len(r["data"]) for r in rows if r["page_id"] != 1] == [0, 0]
+
+
+def test_warc_damage_is_noticed(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "u", "a" * 1000)], "page_id long, url string, payload string").select("page_id", "url", F.encode("payload", "UTF-8").alias("payload"), F.lit(None).cast("long").alias("refers_to"))
+    lines = [r["value"] for r in warc.segments(docs, 300).collect()]
+    for name, bad in (("changed", [x[:-1] + "b" if i == 2 else x for i, x in enumerate(lines)]), ("lost", lines[:1] + lines[2:]), ("short", lines[:-1])):
+        spark.createDataFrame([(x,) for x in bad], "value string").coalesce(1).write.option("lineSep", warc.GAP).text(f"{tmp_path}/{name}")
+        with pytest.raises(Exception, match="segment"):
+            warc.read_archives(spark, f"{tmp_path}/{name}").collect()
+
+
+def test_warc_of_a_large_page(spark):
+    """64 MB in 4,096 chunks and a bounded time, which copies of the payload for each chunk would exceed by far."""
+    docs = spark.range(1).select(F.lit(1).alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789abcdef"), F.lit(4 << 20)).alias("html"))
+    began = time.monotonic()
+    row = warc.archive_round_trip(docs).first()
+    assert row["payload_bytes"] == 64 << 20 and row["payload_digest"] == hashlib.sha1(b"0123456789abcdef" * (4 << 20)).hexdigest() and time.monotonic() - began < 60
+
+
 def test_pieces_lossless(spark, edge):
     texts = ["a  b\n\n c", "▁▁ mark ▁", "日本 \t\x00 é", " lead", "trail ", "<s> </s>", "\n", "x" * 3000, "", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
