@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusgraph.plans import community_queries, extraction_queries, graph_queries, index_queries, model_queries, relation_queries, search_queries, sequence_queries, strategy_queries, text_queries, tree_queries  # noqa: F401
+from corpusgraph.plans import community_queries, evaluation_queries, extraction_queries, graph_queries, index_queries, model_queries, relation_queries, search_queries, sequence_queries, strategy_queries, text_queries, tree_queries  # noqa: F401
 from corpusgraph.plans.registry import ORACLES, QUERIES
 
 

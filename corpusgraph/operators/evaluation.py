@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusgraph.operators import chunking, search
+from corpusgraph.plans.scratch import Scratch
+
 #: Collections, the alpha grid, and what each strategy allows (alphas, reranking, collections).
 COLLECTIONS = ("section", "semantic_std2", "semantic_std3", "contextual", "raptor")
 DEDICATED = "graph_chunks"
@@ -68,12 +71,21 @@ def effect_size(rows: DataFrame, factor: str, score: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """rho: correlation of average ranks, from counts by value, so equal values share a rank without a window over all rows."""
+    """rho: correlation of average ranks, from counts by value, so equal values share a rank.
+
+    Values are sorted in ranges, and a running sum over the ranges' totals gives each its offset, so no task sorts all values.
+    """
+    scratch = Scratch(rows.sparkSession, "spearman")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def ranked(of: str, name: str) -> DataFrame:
         counts = rows.groupBy(F.col(of).alias(f"v_{name}")).agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(W.orderBy(f"v_{name}"))
-        return counts.select(f"v_{name}", (upto - (F.col("c") - 1) / 2).alias(name))
+        # A table, so that ranges of values are the same wherever they are read.
+        counts = scratch.save(counts.repartitionByRange(parts, f"v_{name}").withColumn("range", F.spark_partition_id()), name)
+        before = F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+        offsets = counts.groupBy("range").agg(F.sum("c").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("offset"))
+        upto = F.col("offset") + F.sum("c").over(W.partitionBy("range").orderBy(f"v_{name}"))
+        return counts.join(F.broadcast(offsets), "range").select(f"v_{name}", (upto - (F.col("c") - 1) / 2).alias(name))
 
     both = rows.join(ranked(a, "ra"), F.col(a) == F.col("v_ra")).join(ranked(b, "rb"), F.col(b) == F.col("v_rb"))
     return both.agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
@@ -102,3 +114,58 @@ def gaps(means: DataFrame, config: str, most: int) -> DataFrame:
     rows = means.withColumn("gap", F.round(F.col("single") - F.col("crossing"), 6)).where("gap IS NOT NULL")
     percent = F.round(F.when(F.col("single") > 0, F.col("gap") / F.col("single") * 100).otherwise(0.0), 6)
     return rows.orderBy(F.abs("gap"), config).limit(most).select(config, "gap", percent.alias("percent"))
+
+
+def served(hits: DataFrame, ks: Sequence[int], folder: str) -> DataFrame:
+    """k, query_id, item_id, rank: hits kept once as a table in folder, and cut at each of ks from there, so that nothing is searched twice."""
+    hits.write.mode("overwrite").parquet(folder)
+    kept = hits.sparkSession.read.schema(hits.schema).parquet(folder)
+    each = kept.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+    return each.where("rank <= k").select("k", "query_id", "item_id", "rank")
+
+
+def correctness(answer: Column, reference: Column, a: Column, b: Column) -> Column:
+    """0.75 of the F1 of distinct words of answer and reference, 0.25 of the cosine of their vectors a and b."""
+    mine, wanted = F.array_distinct(search.tokens(answer)), F.array_distinct(search.tokens(reference))
+    both = F.size(F.array_intersect(mine, wanted))
+    f1 = F.when(both > 0, 2 * both / (F.size(mine) + F.size(wanted))).otherwise(0.0)
+    return F.round(F.lit(0.75) * f1 + F.lit(0.25) * chunking.cosine(a, b), 6)
+
+
+def run(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """config, the means of all retrieval metrics, n: results is (config, query_id, item_id, rank); queries without a relevant item aren't scored."""
+    named = relevant.join(results.select("config").distinct()).select(F.struct("config", "query_id").alias("query_id"), "item_id")
+    scores = retrieval_metrics(results.select(F.struct("config", "query_id").alias("query_id"), "item_id", "rank"), named, k)
+    mean = [F.round(F.avg(c), 6).alias(c) for c in ("hit", "mrr", "ndcg", "precision", "recall")]
+    return scores.groupBy(F.col("query_id.config").alias("config")).agg(*mean, F.count("*").alias("n"))
+
+
+def retried(first: DataFrame, again: DataFrame) -> DataFrame:
+    """id, tries, stage, answer: what a second run (id, text) made of the failures of the first (id, text, error); stage tells where the first failed."""
+    both = first.join(again.select("id", F.col("text").alias("second")), "id", "left")
+    failed = F.col("error").isNotNull()
+    return both.select("id", F.when(failed, 2).otherwise(1).alias("tries"), F.when(failed, failure_stage(F.col("error"))).alias("stage"), F.coalesce("text", "second").alias("answer"))
+
+
+def report(means: DataFrame, title: str) -> DataFrame:
+    """pos, line: a report in markdown of means (config, score, n): a table of all configurations, best first. One row per configuration is all that is ordered."""
+    order = W.orderBy(F.desc("score"), "config")
+    row = F.format_string("| %d | %s | %.4f | %d |", F.row_number().over(order), "config", "score", "n")
+    body = means.select((F.row_number().over(order) + 3).alias("pos"), row.alias("line"))
+    spark = means.sparkSession
+    head = spark.createDataFrame([(0, f"# {title}"), (1, ""), (2, "| Place | Configuration | Score | Questions |"), (3, "|---|---|---|---|")], "pos int, line string")
+    return head.unionAll(body)
+
+
+def analyzed(rows: DataFrame, factors: Sequence[str], score: str, single: Column) -> DataFrame:
+    """type, factor, level, mean, deviation, n, effect for all questions, single-topic ones and the others; effect is the factor's, as in effect_size()."""
+    out = None
+    for name, mine in (("overall", rows), ("single", rows.where(single)), ("cross", rows.where(~single))):
+        effects = None
+        for f in factors:
+            one = effect_size(mine, f, score)
+            effects = one if effects is None else effects.unionAll(one)
+        stats = factor_stats(mine, factors, score).select("factor", "level", "mean", "deviation", "n").join(F.broadcast(effects), "factor")
+        stats = stats.select(F.lit(name).alias("type"), "factor", "level", "mean", "deviation", "n", "effect")
+        out = stats if out is None else out.unionAll(stats)
+    return out

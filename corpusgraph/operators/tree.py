@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from corpusgraph.operators import sequences
 from corpusgraph.plans.scratch import Scratch
 
 _MODEL = "grp {kind}, k int, bic double, centre array<double>, axes array<double>, weight array<double>, mean array<double>, root array<double>"
@@ -301,3 +302,62 @@ def build(leaves: DataFrame, levels: int = 4, fewest: int = 3, sample: int | Non
 def level_counts(nodes: DataFrame) -> DataFrame:
     """grp, level, n."""
     return nodes.groupBy("grp", "level").agg(F.count("*").alias("n"))
+
+
+def of_clusters(found: DataFrame, least: float | None = None) -> DataFrame:
+    """The rows of found (share, hard) that count as members: the likeliest cluster alone, or every one of at least that share, so that a row may be in several or none."""
+    return found.where("hard") if least is None else found.where(F.col("share") >= least)
+
+
+def reduced(rows: DataFrame, dims: int = 10) -> DataFrame:
+    """grp, id, coordinates of rows (grp, id, vector) on their group's axes of most variance, at most one less than its rows.
+
+    Groups' moments are summed up by all tasks, and only those (one matrix a group) meet in one; rows stay where they are.
+    """
+    kinds = dict(rows.dtypes)
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[object, np.ndarray] = {}
+        for batch in batches:
+            for grp, mine in batch.groupby("grp", dropna=False):
+                total[grp] = total.get(grp, 0) + spread(np.array(mine["vector"].tolist(), float))
+        yield pd.DataFrame([(g, x.tobytes()) for g, x in total.items()], columns=["grp", "x"])
+
+    def axes(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(x) for x in sorted(frame["x"])], axis=0)
+        centre, to = principal(total, max(1, min(dims, int(total[0]) - 1)))
+        return pd.DataFrame([(frame["grp"].iloc[0], centre.tolist(), to.ravel().tolist())], columns=["grp", "centre", "axes"])
+
+    def turned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, mine in batch.groupby("grp", dropna=False):
+                centre = np.asarray(mine["centre"].iloc[0])
+                y = (np.array(mine["vector"].tolist(), float) - centre) @ np.asarray(mine["axes"].iloc[0]).reshape(len(centre), -1)
+                yield mine.assign(coordinates=list(y))[["grp", "id", "coordinates"]]
+
+    models = rows.select("grp", "vector").mapInPandas(part, f"grp {kinds['grp']}, x binary").groupBy("grp").applyInPandas(axes, f"grp {kinds['grp']}, centre array<double>, axes array<double>")
+    return rows.select("grp", "id", "vector").join(models, "grp").mapInPandas(turned, f"grp {kinds['grp']}, id {kinds['id']}, coordinates array<double>")
+
+
+def summary_nodes(links: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """node, grp, cluster, children, vector, context, section: a summary node for each cluster of two or more of links (grp, cluster, id).
+
+    nodes is (grp, id, vector, section). The vector is the mean of the members'; the context names up to three sections
+    in order, or their number. Children are in the order of their ids.
+    """
+    joined = links.join(nodes, ["grp", "id"])
+    base = joined.groupBy("grp", "cluster").agg(F.array_sort(F.collect_set("id")).alias("children"), F.array_sort(F.collect_set(F.when(F.col("section") != "", F.col("section")))).alias("sections"))
+    each = joined.select("grp", "cluster", F.posexplode("vector").alias("pos", "x")).groupBy("grp", "cluster", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = each.groupBy("grp", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda v: v["x"]).alias("vector"))
+    book = F.col("grp").cast("string")
+    told = F.when(F.size("sections") <= 3, F.array_join("sections", ", ")).otherwise(F.concat(F.size("sections").cast("string"), F.lit(" sections")))
+    return base.where(F.size("children") >= 2).join(mean, ["grp", "cluster"]).select(
+        F.concat(book, F.lit(f"::L{level}_cluster_"), F.col("cluster").cast("string")).alias("node"), "grp", "cluster", "children", "vector",
+        F.concat(book, F.lit(f" > Level {level} Summary ("), told, F.lit(")")).alias("context"), F.concat(F.lit(f"Level {level} Cluster "), F.col("cluster").cast("string"), F.lit(" Summary")).alias("section"),
+    )
+
+
+def summary_context(nodes: DataFrame, most: int = 8000, key: str = "cluster", order: str = "id", text: str = "text") -> DataFrame:
+    """key, context: the texts of each cluster's nodes in order, as many as most tokens (4 characters each) hold, the last one cut; what a summary is written from."""
+    kept = sequences.within_budget(nodes.select(key, order, F.trim(F.coalesce(text, F.lit(""))).alias("text")), "text", most, key=key, order=order)
+    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "kept"))), lambda x: x["kept"]), "\n\n---\n\n").alias("context"))

@@ -271,9 +271,3 @@ def api_struct(spark: SparkSession, d: str) -> DataFrame:
 def flt_valid(spark: SparkSession, d: str) -> DataFrame:
     ok = keys.valid_score(F.col("value"))
     return table(spark, d, "events").groupBy("event_type").agg(F.count_if(ok).alias("valid"), F.round(F.avg(F.when(ok, F.col("value"))), 6).alias("mean"))
-
-
-@query("SELECT event_id, CASE WHEN contains(m, 'preprocessing') THEN 'preprocessing' WHEN contains(m, 'retrieval') THEN 'retrieval' WHEN contains(m, 'generation') THEN 'generation' ELSE 'evaluation' END AS stage FROM (SELECT event_id, ['Preprocessing failed', 'retrieval: timeout', 'Generation 429', 'other'][(event_id % 4 + 1)::INT].lower() AS m FROM events)")
-def ev_retryfailed(spark: SparkSession, d: str) -> DataFrame:
-    message = F.get(F.array(*[F.lit(x) for x in ("Preprocessing failed", "retrieval: timeout", "Generation 429", "other")]), (F.col("event_id") % 4).cast("int"))
-    return table(spark, d, "events").select("event_id", evaluation.failure_stage(message).alias("stage"))
