@@ -91,42 +91,53 @@ def segment_keys(s: np.ndarray, k: int, top: int, num: int, den: int) -> np.ndar
     return np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0]
 
 
-def _sets(batch: pa.RecordBatch, gram: int) -> Iterator[tuple[int, np.ndarray]]:
+def words_digest(body: bytes) -> bytes:
+    """16 bytes that texts share if their lowered words are the same."""
+    return hashlib.blake2b(b" ".join(body.translate(_ASCII_LOWER).split()), digest_size=16).digest()
+
+
+def node_of(digest: bytes) -> int:
+    """The number that stands for all texts of the same words while candidates are searched; should two kinds share it, both are tried."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def _described(batch: pa.RecordBatch, gram: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """Row, set and digest of the words of each text."""
     for lo, _, data, offsets in pieces(batch.column("text")):
-        yield from enumerate(shingle_sets(Words(data, offsets, lower=True), gram), lo)
+        for i, s in enumerate(shingle_sets(Words(data, offsets, lower=True), gram)):
+            yield lo + i, s, words_digest(data[offsets[i] : offsets[i + 1]].tobytes())
 
 
 def _describe(gram: int):  # noqa: ANN202
-    """doc_id, size of the set, its digest and the parity sketch of SKETCH_BITS."""
+    """doc_id, text_hash, size of the set, digest of the words, its node and the set's parity sketch of SKETCH_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, sketch = [], [], []
-            for _, s in _sets(batch, gram):
+            for _, s, d in _described(batch, gram):
                 n.append(len(s))
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                digest.append(d)
                 sketch.append(np.packbits((np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes())
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "digest", "sketch"])
+            columns = [batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array([node_of(d) for d in digest], pa.int64()), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "n_shingles", "digest", "node", "sketch"])
 
     return run
 
 
-_KINDS = [("doc_id", "<i8"), ("own", "u1")]
+_KINDS = [("node", "<i8"), ("own", "u1")]
 
 
 def _index(gram: int, num: int, den: int, owners: int):  # noqa: ANN202
-    """Blocks of (key, document): each set under its own band's keys, and under those of the band below, where it only seeks.
+    """Blocks of (key, node): each set under its own band's keys, and under those of the band below, where it only seeks.
 
-    A task files one of its documents of the same set.
+    A task files texts of the same words once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, seen = exchange.Sender(owners, _KINDS), set()
         for batch in batches:
-            doc = np.asarray(batch.column("doc_id"))
-            for i, s in _sets(batch, gram):
-                if not len(s) or (d := hashlib.blake2b(s.tobytes(), digest_size=16).digest()) in seen:
+            for _, s, d in _described(batch, gram):
+                if not len(s) or d in seen:
                     continue
                 seen.add(d)
                 k, lo, top = band_of(len(s), num, den)
@@ -134,8 +145,8 @@ def _index(gram: int, num: int, den: int, owners: int):  # noqa: ANN202
                     if most < 1:
                         continue
                     keys = segment_keys(s, band, most, num, den)
-                    who = np.full(len(keys), doc[i])
-                    for block in out.add(keys, who, doc_id=who, own=np.full(len(keys), band == k, np.uint8)):
+                    who = np.full(len(keys), node_of(d))
+                    for block in out.add(keys, who, node=who, own=np.full(len(keys), band == k, np.uint8)):
                         yield exchange.batch_of(block)
             if len(seen) > 1 << 20:
                 seen.clear()
@@ -149,7 +160,7 @@ _FOUND = "kind int, x long, y long, own boolean"
 
 
 def _gather(blocks: pa.Table) -> pa.Table:
-    """At an owner: pairs (kind 0) of small groups and of each large group's least document with the others; members (kind 1) of large groups."""
+    """At an owner: pairs (kind 0) of nodes of small groups and of each large group's least node with the others; members (kind 1) of large groups."""
     keys, docs, own = [], [], []
     for b in blocks.to_pylist():
         place = np.cumsum(np.unpackbits(np.frombuffer(b["place"], np.uint8))[: b["rows"]]) - 1
@@ -202,25 +213,29 @@ def _gather(blocks: pa.Table) -> pa.Table:
     )
 
 
+_PAIR = "a struct<doc_id: long, text_hash: long>, b struct<doc_id: long, text_hash: long>"
+
+
 def _tile(num: int, den: int):  # noqa: ANN202
     """Pairs of a tile that may be similar by size and sketch and aren't linked yet: differing sketch bits never exceed differing shingles."""
 
     def run(rows: pa.Table) -> pa.Table:
-        doc, root, n, own = (np.asarray(rows[c].combine_chunks()) for c in ("doc", "root", "n_shingles", "held"))
-        tile = np.asarray(rows["tile"].combine_chunks())
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(doc), -1)
+        n, own, tile = (np.asarray(rows[c].combine_chunks()) for c in ("n_shingles", "held", "tile"))
+        root = np.stack([np.asarray(rows["root"].combine_chunks().field(c)) for c in ("doc_id", "text_hash")], 1)
+        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(n), -1)
         left, right = rows["left"][0].as_py(), rows["right"][0].as_py()
-        a, b = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
+        x, y = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
         out = [np.empty((0, 2), np.int64)]
-        for i in a:
-            js = b[b > i] if left == right else b
-            fits = (root[js] != root[i]) & ((own[js] > 0) | (own[i] > 0)) & (np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num)
+        for i in x:
+            js = y[y > i] if left == right else y
+            fits = (root[js] != root[i]).any(1) & ((own[js] > 0) | (own[i] > 0)) & (np.minimum(n[js], n[i]) * den >= np.maximum(n[js], n[i]) * num)
             js = js[fits]
             apart = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1, dtype=np.int64)
             js = js[apart * (den + num) <= (n[js] + n[i]) * (den - num)]
-            out.append(np.stack([np.minimum(doc[js], doc[i]), np.maximum(doc[js], doc[i])], 1))
+            out.append(np.stack([np.full(len(js), i), js], 1))
         pair = np.concatenate(out)
-        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+        rep = rows["rep"].combine_chunks()
+        return pa.table({"a": rep.take(pa.array(pair[:, 0])), "b": rep.take(pa.array(pair[:, 1]))})
 
     return run
 
@@ -274,62 +289,78 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
     A document's set holds its distinct gram-word shingles (A-Z lowered; words are runs of anything but space,
     tab, LF, VT, FF, CR), or all its words as one if there are fewer. Null texts and texts without words have
     empty sets and link with nothing. Two documents link when den * |intersection| >= num * |union|.
-    component_id is the smallest doc_id that links lead to; equal sets form one class, whose least document
+    component_id is the smallest doc_id that links lead to; texts of the same words form one class, whose least row
     stands for it in all further steps, so copies aren't expanded into pairs. n_links is the number of other rows
-    that a document links with, those of its own set included; all pairs of a key's group are then compared, and
-    the links between different sets are verified one by one, however many there are. Without it, only links that
+    that a row links with, those of its own class included; all pairs of a key's group are then compared, and
+    the links between different classes are verified one by one, however many there are. Without it, only links that
     prove components are looked for, which is far less work in large groups.
-    Rows without a key take no part and have no component. Other columns are ignored; an empty table gives no rows.
+    Rows without a key take no part and have no component. Rows of one key with unlike texts are judged each by its
+    own text, and so may have unlike components. Other columns are ignored; an empty table gives no rows.
+
+    Candidates and n_shingles go by 64-bit hashes of shingles (two of a text's n shingles share one with a chance of
+    n * n / 2**65); classes go by a digest of the words, and every link is verified on the words themselves.
 
     Groups under one key give pairs only up to SMALL_GROUP members. Larger ones give each member's pair with the
     least member first; groups that this leaves in several components (all, if links are counted) are compared in tiles by sketch, which
     proves most pairs dissimilar, and what is left is verified. So no link is lost, whatever a group's size.
     """
+    rows = _near(docs, gram, num, den, key, text, count_links)
+    there = F.col("doc_id").isNotNull()
+    component = F.when(there, F.coalesce("root.doc_id", "doc_id")).alias("component_id")
+    told = [F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")] if count_links else []
+    return rows.select("doc_id", "n_shingles", component, *told)
+
+
+def _near(docs: DataFrame, gram: int, num: int, den: int, key: str, text: str, count_links: bool) -> DataFrame:
+    """Rows (doc_id, text_hash, n_shingles, root, n_links): root is the least (doc_id, text_hash) of the component; null without words or key."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     plain = every.where("doc_id IS NOT NULL")
-    rows = scratch.save(every.mapInArrow(_describe(gram), "doc_id long, n_shingles long, digest binary, sketch binary"), "rows")
-    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    rows = scratch.save(every.mapInArrow(_describe(gram), "doc_id long, text_hash long, n_shingles long, digest binary, node long, sketch binary"), "rows")
+    classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
+        F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    )
     classes = scratch.save(classes, "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     owners = exchange.owners_for(total * 6 // 10, exchange.partitions_of(docs))
-    blocks = plain.mapInArrow(_index(gram, num, den, owners), exchange.BLOCKS).drop("sender", "many")
+    blocks = plain.select("text").mapInArrow(_index(gram, num, den, owners), exchange.BLOCKS).drop("sender", "many")
     found = scratch.save(blocks.groupBy("owner").applyInArrow(_gather, _FOUND), "found")
-    reps = scratch.save(rows.where("doc_id IS NOT NULL").join(classes, "digest").select("doc_id", "rep", "n_shingles", "sketch"), "reps")
+
+    def ordered(pairs: DataFrame, *more: str) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *more)
 
     def of_classes(pairs: DataFrame) -> DataFrame:
         """Distinct pairs of class representatives that may be similar."""
-        sides = [reps.select(*[F.col(c).alias(f"{to}_{side}") for c, to in (("doc_id", "doc"), ("rep", "rep"), ("n_shingles", "n"), ("sketch", "sketch"))]) for side in "ab"]
-        mapped = pairs.distinct().join(sides[0], F.col("x") == F.col("doc_a")).join(sides[1], F.col("y") == F.col("doc_b")).where("rep_a != rep_b")
-        mapped = mapped.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b")
-        return mapped.mapInArrow(_by_sketch(num, den), "a long, b long").distinct()
+        sides = [classes.select(F.col("node").alias(at), F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")) for at, side in (("x", "a"), ("y", "b"))]
+        mapped = ordered(pairs.distinct().join(sides[0], "x").join(sides[1], "y").where("a != b"), "n_a", "n_b", "sketch_a", "sketch_b")
+        return mapped.mapInArrow(_by_sketch(num, den), _PAIR).distinct()
 
     def linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-        wide = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return scratch.save(wide.mapInArrow(_verify(gram, num, den), "a long, b long"), f"links{name}")
+        wide = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
+        return scratch.save(wide.mapInArrow(_verify(gram, num, den), _PAIR), f"links{name}")
 
     pairs = scratch.save(of_classes(found.where("kind = 0").select("x", "y")), "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    crowd = found.where("kind = 1").select(F.col("x").alias("gid"), F.col("y").alias("node"), "own").distinct().join(classes, "node")
     if large := bool(found.where("kind = 1").take(1)):
-        crowd = found.where("kind = 1").select(F.col("y").alias("doc_id")).distinct().join(reps, "doc_id").select(F.col("rep").alias("doc_id"))
-        needed = needed.unionAll(crowd)
-    texts = scratch.save(plain.join(needed.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        needed = needed.unionAll(crowd.select("rep"))
+    needed = needed.distinct().select("rep", "rep.doc_id", "rep.text_hash")
+    texts = scratch.save(plain.join(needed, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("rep", "text"), "texts")
     links = linked(pairs, texts, "1")
     roots = components(links)
     if large:
-        members = found.where("kind = 1").select(F.col("x").alias("gid"), F.col("y").alias("doc_id"), "own").distinct().join(reps, "doc_id")
-        members = members.groupBy("gid", F.col("rep").alias("doc")).agg(F.max(F.col("own").cast("int")).alias("held"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        members = crowd.groupBy("gid", "rep").agg(F.max(F.col("own").cast("int")).alias("held"), F.first("n").alias("n_shingles"), F.first("sketch").alias("sketch"))
         if count_links:
-            members = members.withColumn("root", F.col("doc"))
+            members = members.withColumn("root", F.col("rep"))
         else:
-            members = members.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+            members = members.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         members = scratch.save(members, "members")
         apart = members.groupBy("gid").agg(F.min("root").alias("one"), F.max("root").alias("other"), F.count("*").alias("g")).where("one != other")
         tiles = F.ceil(F.col("g") / TILE).cast("int")
-        tiled = members.join(apart.select("gid", "g"), "gid").withColumn("tile", F.pmod(F.xxhash64("doc"), tiles).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
+        tiled = members.join(apart.select("gid", "g"), "gid").withColumn("tile", F.pmod(F.xxhash64("rep"), tiles).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), tiles - 1)))
         tiled = tiled.withColumns({"left": F.least("tile", "with"), "right": F.greatest("tile", "with")}).drop("with", "g")
-        more = tiled.groupBy("gid", "left", "right").applyInArrow(_tile(num, den), "a long, b long").distinct()
+        more = ordered(tiled.groupBy("gid", "left", "right").applyInArrow(_tile(num, den), _PAIR)).distinct()
         more = linked(more.join(pairs, ["a", "b"], "left_anti"), texts, "2")
         if more.take(1):
             links = scratch.save(links.unionAll(more), "links")
@@ -342,14 +373,23 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
         known = known.join(counts, "rep", "left")
     n_links = [(F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")] if count_links else []
     known = scratch.save(known.select("digest", F.coalesce("root", "rep").alias("root"), *n_links), "known")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id")
-    told = [F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links")] if count_links else []
-    return rows.select("doc_id", "n_shingles", "digest").join(known, "digest", "left").select("doc_id", "n_shingles", component, *told)
+    mine = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "text_hash", "n_shingles", "digest").join(known, "digest").drop("digest")
+    none = {"root": F.lit(None).cast("struct<doc_id: long, text_hash: long>")} | ({"n_links": F.lit(0).cast("long")} if count_links else {})
+    return mine.unionByName(rows.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "text_hash", "n_shingles").withColumns(none))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
-    """One document of each component, the one of smallest key, with all its columns; rows without a key all stay."""
-    found = near_classes(docs, key=key, text=text, count_links=False, **how)
-    stay = found.where("component_id = doc_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stay, F.col(key) == F.col("_stays"), "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    """One row of each component, the one of smallest key, with all its columns, whatever their names.
+
+    Rows without a key and rows without words link with nothing and all stay. Rows of one key are judged each by its own
+    text; of rows that agree in key and text one stays, and of unlike texts of that key in one component one,
+    whichever. An empty table gives no rows. Whole rows cross the network once.
+    """
+    how = {"gram": GRAM, "num": NUM, "den": DEN} | how
+    found = _near(docs, key=key, text=text, count_links=False, **how)
+    stay = found.where(F.col("root") == F.struct("doc_id", "text_hash")).select("doc_id", "text_hash").distinct()
+    mine = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    on = ["doc_id", "text_hash"]
+    kept = mine.where(~alone).drop("text").join(stay, on, "left_semi").dropDuplicates(on)
+    return kept.select("row.*").unionAll(mine.where(alone).select("row.*"))

@@ -277,6 +277,35 @@ def test_jaccard_counts_every_link(spark, tile, monkeypatch):
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"], x["n_links"]) for x in found} == want
 
 
+def _near_rows(rows):
+    """n_shingles, the least doc_id linked with, and the least row linked with, of each row by comparing all pairs of rows."""
+    sets = [jaccard_join.exact_set(t, 5) for _, t in rows]
+    root = list(range(len(rows)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in itertools.combinations([i for i, (d, _) in enumerate(rows) if d is not None and sets[i]], 2):
+        if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            root[find(j)] = find(i)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d) if d is not None else None
+    return [(d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows)], find
+
+
+def _repeated_rows():
+    r = random.Random(4)
+    text = lambda: [r.choice("abcdefghijklmnop") for _ in range(40)]
+    a, b, c = text(), text(), text()
+    changed = lambda w: " ".join(["changed", *w[1:]])
+    return [(1, " ".join(a)), (1, " ".join(b)), (1, " ".join(c)), (1, " ".join(a)), (2, changed(b)), (3, changed(c)), (3, "A  B"), (4, "a b"), (5, ""), (5, ""), (6, None), (None, " ".join(a)), (None, "x"),
+            (7, " ".join(text())), (7, " ".join(text())), (8, changed(a)), (8, changed(b)), (9, "same words"), (9, "same\nWORDS")]
+
+
+def test_jaccard_of_repeated_ids(spark):
+    rows = _repeated_rows()
+    out = jaccard_join.near_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out.collect()) == Counter(_near_rows(rows)[0])
+
+
 def test_jaccard_edges(edge):
     out = jaccard_join.near_classes(edge).collect()
     assert len(out) == len(EDGE)
