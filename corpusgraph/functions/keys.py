@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the DNS namespace of RFC 4122.
@@ -70,3 +70,24 @@ def display_name(strategy: Column) -> Column:
     other = F.regexp_extract(strategy, r"^semantic_(.*)$", 1)
     told = lambda x, unit: F.concat(F.lit("Semantic ("), x, F.lit(f"{unit})"))
     return out.when(std != "", told(std, " std")).when(F.startswith(strategy, F.lit("semantic_")), told(other, "")).otherwise(F.initcap(F.replace(strategy, F.lit("_"), F.lit(" "))))
+
+
+def stamp(time: Column) -> Column:
+    """ISO string of a time, to the second."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def stamped(text: Column) -> Column:
+    """The time of an ISO string; null for other strings."""
+    return F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+
+
+def elapsed_seconds(begin: Column, end: Column) -> Column:
+    """Seconds between two ISO strings."""
+    return F.unix_timestamp(stamped(end)) - F.unix_timestamp(stamped(begin))
+
+
+def merged_counts(rows: DataFrame, key: str, counts: str) -> DataFrame:
+    """key and a map with the sums of all its maps' values, which are added before the shuffle."""
+    each = rows.select(key, F.explode(counts).alias("name", "n")).groupBy(key, "name").agg(F.sum("n").alias("n"))
+    return each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("name", "n"))).alias(counts))

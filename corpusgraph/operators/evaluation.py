@@ -132,9 +132,13 @@ def correctness(answer: Column, reference: Column, a: Column, b: Column) -> Colu
     return F.round(F.lit(0.75) * f1 + F.lit(0.25) * chunking.cosine(a, b), 6)
 
 
-def run(results: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """config, the means of all retrieval metrics, n: results is (config, query_id, item_id, rank); queries without a relevant item aren't scored."""
-    named = relevant.join(results.select("config").distinct()).select(F.struct("config", "query_id").alias("query_id"), "item_id")
+def run(results: DataFrame, relevant: DataFrame, k: int, configs: DataFrame | None = None) -> DataFrame:
+    """config, the means of all retrieval metrics, n: results is (config, query_id, item_id, rank); queries without a relevant item aren't scored.
+
+    configs (config) are scored even if they have no results; without it, those that results hold.
+    """
+    configs = results.select("config").distinct() if configs is None else configs
+    named = relevant.join(F.broadcast(configs)).select(F.struct("config", "query_id").alias("query_id"), "item_id")
     scores = retrieval_metrics(results.select(F.struct("config", "query_id").alias("query_id"), "item_id", "rank"), named, k)
     mean = [F.round(F.avg(c), 6).alias(c) for c in ("hit", "mrr", "ndcg", "precision", "recall")]
     return scores.groupBy(F.col("query_id.config").alias("config")).agg(*mean, F.count("*").alias("n"))

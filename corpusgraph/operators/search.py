@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -22,9 +23,9 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def top_k(hits: DataFrame, k: int, query: str = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
+def top_k(hits: DataFrame, k: int, query: str | Sequence[str] = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
     """hits with rank up to k; ties go to the smaller item. Spark limits each group before the shuffle."""
-    rank = F.row_number().over(W.partitionBy(query).orderBy(F.desc(score), F.col(item)))
+    rank = F.row_number().over(W.partitionBy(*([query] if isinstance(query, str) else query)).orderBy(F.desc(score), F.col(item)))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -44,44 +45,47 @@ def _blocks(rows: DataFrame, per_block: int) -> Iterator[list[Row]]:
         yield block
 
 
-def vector_search(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+def vector_search(queries: DataFrame, items: DataFrame, k: int, part: str | None = None) -> DataFrame:
     """query_id, item_id, score, rank: exact cosine neighbours of (query_id, query_vector) among (item_id, vector).
 
-    Queries are sent to the items in blocks of SENT_BYTES. A batch of items meets a block in one matrix product and
+    With part, a string column of items, each part is searched by itself, and it is a column of the hits. Queries are sent to the items in blocks of SENT_BYTES. A batch of items meets a block in one matrix product and
     hands on the k best of each query only (and what ties with them), so pairs don't cross the network. Rows
     with a null vector take no part; a vector of zeros has score 0 with all.
     """
     queries = queries.where("query_vector IS NOT NULL")
     first = queries.select(F.size("query_vector").alias("n")).first()
     kinds = {"query_id": dict(queries.dtypes)["query_id"], "item_id": dict(items.dtypes)["item_id"]}
-    schema = f"at int, item_id {kinds['item_id']}, score double"
-    spark, found = queries.sparkSession, None
+    schema = f"at int, part string, item_id {kinds['item_id']}, score double"
+    spark, found, more = queries.sparkSession, None, [part] if part else []
     if first is None:
-        return spark.createDataFrame([], f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double, rank int")
+        return spark.createDataFrame([], f"query_id {kinds['query_id']}, {f'{part} string, ' if part else ''}item_id {kinds['item_id']}, score double, rank int")
 
     def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.sqrt((x * x).sum(1))
         return x, size
 
-    plain = items.where("vector IS NOT NULL").select("item_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    plain = items.where("vector IS NOT NULL").select("item_id", (F.col(part) if part else F.lit("")).alias("part"), F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     for block in _blocks(queries.select("query_id", "query_vector"), max(1, SENT_BYTES // (8 * max(1, first["n"])))):
         wanted, norm = unit(np.array([r["query_vector"] for r in block], float))
 
         def nearest(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted, norm: np.ndarray = norm) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for lo in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(lo, 2048)
-                    rows, size = unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-                    scale = norm[:, None] * size[None, :]
-                    score = (wanted @ rows.T) / np.where(scale == 0, 1.0, scale)
-                    least = np.partition(score, -k, axis=1)[:, -k] if k < batch.num_rows else np.full(len(score), -np.inf)
-                    at, item = np.nonzero(score >= least[:, None] - 2e-6)
-                    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column("item_id").take(pa.array(item)), pa.array(score[at, item])], ["at", "item_id", "score"])
+                    every = whole.slice(lo, 2048)
+                    for name in every.column("part").unique():
+                        batch = every.filter(pc.equal(every.column("part"), name))
+                        rows, size = unit(batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
+                        scale = norm[:, None] * size[None, :]
+                        score = (wanted @ rows.T) / np.where(scale == 0, 1.0, scale)
+                        least = np.partition(score, -k, axis=1)[:, -k] if k < batch.num_rows else np.full(len(score), -np.inf)
+                        at, item = np.nonzero(score >= least[:, None] - 2e-6)
+                        columns = [pa.array(at, pa.int32()), batch.column("part").take(pa.array(item)), batch.column("item_id").take(pa.array(item)), pa.array(score[at, item])]
+                        yield pa.RecordBatch.from_arrays(columns, ["at", "part", "item_id", "score"])
 
         names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(block)], f"at int, query_id {kinds['query_id']}")
-        one = plain.mapInArrow(nearest, schema).join(F.broadcast(names), "at").select("query_id", "item_id", F.round("score", 6).alias("score"))
+        one = plain.mapInArrow(nearest, schema).join(F.broadcast(names), "at").select("query_id", *[F.col("part").alias(c) for c in more], "item_id", F.round("score", 6).alias("score"))
         found = one if found is None else found.unionAll(one)
-    return top_k(found, k)
+    return top_k(found, k, [*more, "query_id"])
 
 
 def containing(passages: DataFrame, items: DataFrame) -> DataFrame:
@@ -119,15 +123,16 @@ def containing(passages: DataFrame, items: DataFrame) -> DataFrame:
     return found
 
 
-def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, part: str | None = None) -> DataFrame:
     """query_id, item_id, score, rank for (query_id, query) among (item_id, text).
 
-    Each text is cut into words once; only words that queries hold leave the task, counted, together with the text's
+    With part, a column of items, each part is a corpus by itself, and it is a column of the hits. Each text is cut into words once; only words that queries hold leave the task, counted, together with the text's
     length. Document lengths and numbers cover all items. The queries' words are sent in blocks of SENT_TERMS.
     """
     scratch = Scratch(queries.sparkSession, "bm25")
     terms = scratch.save(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "terms")
-    kind, counted = dict(items.dtypes)["item_id"], None
+    kind, counted, more = dict(items.dtypes)["item_id"], None, [part] if part else []
+    kinds = "".join(f"{c} {dict(items.dtypes)[c]}, " for c in more)
     for at, block in enumerate(_blocks(terms.select("term").distinct(), SENT_TERMS)):
         wanted = frozenset(r["term"] for r in block)
 
@@ -145,21 +150,23 @@ def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float
                             dl.append(len(words))
                             term.append(w)
                             tf.append(n)
-                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(place, pa.int64())), pa.array(dl, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], ["item_id", "dl", "term", "tf"])
+                    given = [batch.column(c).take(pa.array(place, pa.int64())) for c in ["item_id", *more]]
+                    yield pa.RecordBatch.from_arrays([*given, pa.array(dl, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], ["item_id", *more, "dl", "term", "tf"])
 
-        one = items.select("item_id", F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(count, f"item_id {kind}, dl int, term string, tf long")
+        one = items.select("item_id", *more, F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(count, f"item_id {kind}, {kinds}dl int, term string, tf long")
         counted = one if counted is None else counted.unionAll(one)
     if counted is None:
-        counted = items.select("item_id", F.lit(0).alias("dl"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")).limit(0)
+        counted = items.select("item_id", *more, F.lit(0).alias("dl"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")).limit(0)
     counted = scratch.save(counted, "counted")
-    totals = counted.where("term IS NULL").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    totals = counted.where("term IS NULL").groupBy(*more).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     postings = counted.where("term IS NOT NULL")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = postings.groupBy(*more, "term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = terms.join(postings, "term").join(df, "term").join(F.broadcast(totals)).withColumn("w", weight)
-    scored = scored.groupBy("query_id", "item_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k)
+    scored = terms.join(postings, "term").join(df, [*more, "term"])
+    scored = (scored.join(F.broadcast(totals), more) if more else scored.join(F.broadcast(totals))).withColumn("w", weight)
+    scored = scored.groupBy(*more, "query_id", "item_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    return top_k(scored, k, [*more, "query_id"])
 
 
 def relative_fusion(dense: DataFrame, keyword: DataFrame, alpha: float, k: int) -> DataFrame:

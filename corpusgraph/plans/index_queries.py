@@ -267,3 +267,21 @@ def chk_run(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of each book by the registered chunkers, all books in one plan."""
     docs = table(spark, d, "documents")
     return chunking.run(docs, "source", ["section", "lines"], most=200)
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp, date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS elapsed, date_trunc('day', ts)::DATE AS day, (extract(hour FROM ts))::INT AS hour FROM events")
+def fn_time(spark: SparkSession, d: str) -> DataFrame:
+    """Time stamps of logs: written as ISO strings, read again, and told as elapsed seconds, day and hour."""
+    e = table(spark, d, "events").select("event_id", keys.stamp(F.col("ts")).alias("stamp"))
+    ts = keys.stamped(F.col("stamp"))
+    return e.select("event_id", "stamp", keys.elapsed_seconds(F.lit("2024-01-01T00:00:00"), F.col("stamp")).alias("elapsed"), F.to_date(ts).alias("day"), F.hour(ts).alias("hour"))
+
+
+@query("SELECT lang, string_agg(source || '=' || n, ',' ORDER BY source) AS counts, max(n) FILTER (source = 'src3') AS of_src3, count(*)::INT AS size, sum(n)::BIGINT AS total FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL) GROUP BY lang")
+def fn_map(spark: SparkSession, d: str) -> DataFrame:
+    """Counters as maps: built, merged over parts, looked up and listed."""
+    parts = table(spark, d, "documents").groupBy("lang", (F.col("doc_id") % 3).alias("part"), "source").agg(F.count("*").alias("n"))
+    maps = parts.groupBy("lang", "part").agg(F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("m"))
+    whole = keys.merged_counts(maps, "lang", "m")
+    ordered = F.array_join(F.transform(F.array_sort(F.map_entries("m")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return whole.select("lang", ordered.alias("counts"), F.try_element_at("m", F.lit("src3")).alias("of_src3"), F.size("m").alias("size"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))

@@ -24,7 +24,7 @@ def vector_sql(text: str) -> str:
 def dense_sql(queries: str, items: str, k: int, by: str = "query_id") -> str:
     """Vector hits (query_id, item_id, score, rank) of queries (query_id, v) among items (item_id, v)."""
     cos = f"round({_DOT % ('q.v', 'e.v')} / CASE WHEN sqrt({_DOT % ('q.v', 'q.v')}) * sqrt({_DOT % ('e.v', 'e.v')}) = 0 THEN 1 ELSE sqrt({_DOT % ('q.v', 'q.v')}) * sqrt({_DOT % ('e.v', 'e.v')}) END, 6)"
-    return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, item_id)::INT AS rank FROM (SELECT q.*, e.item_id, {cos} AS score FROM {queries} q, {items} e) QUALIFY rank <= {k}"
+    return f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, item_id)::INT AS rank FROM (SELECT q.* EXCLUDE (v), e.* EXCLUDE (v), {cos} AS score FROM {queries} q, {items} e) QUALIFY rank <= {k}"
 
 
 _Q = f"SELECT item_id AS query_id, {vector_sql('text')} AS v FROM benchmark"
@@ -177,6 +177,19 @@ def top_rerank(spark: SparkSession, d: str) -> DataFrame:
     return strategies.reranked(_bm25(spark, d), queries, items, 3)
 
 
+_EV = "ev AS MATERIALIZED (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v FROM embeddings), qe AS MATERIALIZED (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0)"
+
+
+@query(f"""WITH {_EV}, x AS ({dense_sql('qe', 'ev', 4)}),
+m AS MATERIALIZED (SELECT query_id, list(m ORDER BY i) AS v FROM (SELECT query_id, i, avg(x) AS m FROM (SELECT query_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM (SELECT query_id, v FROM qe UNION ALL SELECT query_id, ev.v FROM x JOIN ev USING (item_id))) GROUP BY ALL) GROUP BY query_id)
+SELECT query_id, item_id, score, rank FROM ({dense_sql('m', 'ev', 10)})""")
+def st_hyde(spark: SparkSession, d: str) -> DataFrame:
+    """The query's vector averaged with those of its best hits, which stand for written passages."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return strategies.get("hyde")(queries, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10)
+
+
 _MEAN = f"""SELECT query_id, list(m ORDER BY i) AS v FROM (SELECT query_id, i, avg(x) AS m FROM (SELECT query_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM (SELECT query_id, v FROM qv UNION ALL SELECT query_id, {vector_sql('passage')} FROM ({_HYPO}))) GROUP BY ALL) GROUP BY query_id"""
 _HYDE = f"m AS MATERIALIZED ({_MEAN}), x AS ({dense_sql('m', 'ev', 50)})"
 

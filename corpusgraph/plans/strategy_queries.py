@@ -102,13 +102,6 @@ def st_decomp(spark: SparkSession, d: str) -> DataFrame:
     return strategies.get("decomposition")(*_asked(spark, d), 10)
 
 
-@query()
-def st_hyde(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings")
-    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    return strategies.get("hyde")(queries, e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 10)
-
-
 @query("""WITH e AS (SELECT n_nationkey::BIGINT AS src, -n_regionkey::BIGINT - 1 AS dst FROM nation), a AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), g AS (SELECT src AS id, count(*) AS degree FROM a GROUP BY src),
 p AS (SELECT DISTINCT src AS start, src AS id FROM e UNION SELECT e.src, dst FROM e UNION SELECT e.src, b.src FROM e JOIN e b ON b.dst = e.dst),
 h AS (SELECT start AS query_id, s_suppkey AS item_id, max(x.degree + y.degree)::BIGINT AS score FROM p JOIN g x ON x.id = p.start JOIN g y ON y.id = p.id JOIN supplier ON s_nationkey = p.id GROUP BY ALL)

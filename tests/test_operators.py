@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusgraph.functions import keys
-from corpusgraph.operators import chunking, cleaning, evaluation, graph, search
+from corpusgraph.operators import chunking, cleaning, evaluation, graph, search, tree
 
 
 def _one(spark, make, *values):
@@ -248,3 +250,128 @@ def test_mixture_counts_all_rows_and_every_k(spark):
     best = tree.fit(spark.createDataFrame([("r", i, v.tolist()) for i, v in enumerate(rising)], "grp string, id long, vector array<double>"), dims=2, most_k=20).first()
     y = rising - rising.mean(0)
     assert best.bic == pytest.approx(min(_bic(y @ np.linalg.svd(y, full_matrices=False)[2].T, k) for k in range(2, 21)), rel=1e-6)
+
+
+def test_collection_versions(spark, tmp_path):
+    from corpusgraph.sources.collections import Collection
+
+    c = Collection(spark, str(tmp_path), "c", "uuid string, n long, vector array<double>")
+    with pytest.raises(ValueError, match="no collection"):
+        c.rows()
+    rows = lambda *x: spark.createDataFrame([(k, n, s) for k, n, s in x], "uuid string, n long, seq long")
+    c.upsert(rows(("a", 1, 1), ("a", 2, 2), ("b", 3, 1)))
+    c.upsert(rows(("b", 4, 0), ("c", 5, 0)))
+    assert {(r["uuid"], r["n"]) for r in c.rows().collect()} == {("a", 2), ("b", 4), ("c", 5)} and len(c.versions()) == 1
+    c.insert(spark.createDataFrame([("a", 9, [1.0]), ("d", 6, [1.0]), ("e", 7, None)], "uuid string, n long, vector array<double>"))
+    assert {(r["uuid"], r["n"]) for r in c.rows().collect()} == {("a", 2), ("b", 4), ("c", 5), ("d", 6)}
+    assert c.clear() == 4 and c.rows().count() == 0 and c.drop() and not c.drop()
+
+
+def test_retries_wait_longer_each_time_and_raise_what_lasts():
+    from corpusgraph.operators import models
+
+    waits, left = [], [2]
+
+    def call():
+        left[0] -= 1
+        if left[0] >= 0:
+            raise models.ModelError("503 from server")
+        return "done"
+
+    assert models.with_retries(call, sleep=waits.append) == ("done", 3) and waits == [1.5, 2.25]
+    for message in ("bad key", "timeout"):
+        with pytest.raises(models.ModelError, match=message):
+            models.with_retries(lambda m=message: (_ for _ in ()).throw(models.ModelError(m)), sleep=lambda s: None)
+
+
+def test_prompts_need_all_marks():
+    from corpusgraph.operators import models
+
+    with pytest.raises(ValueError, match="context"):
+        models.render("answer", query=None)
+
+
+def test_containment_reads_each_text_once(spark):
+    from corpusgraph.operators import search
+
+    passages = spark.createDataFrame([(1, "ab"), (2, "b c"), (3, ""), (4, None), (5, "ab"), (6, "zz")], "query_id long, passage string")
+    items = spark.createDataFrame([(1, "xab c"), (2, None), (3, "abab"), (4, "")], "item_id long, text string")
+    for size in (search.SENT_BYTES, 64 * 3):
+        search_bytes, search.SENT_BYTES = search.SENT_BYTES, size
+        try:
+            got = sorted(map(tuple, search.containing(passages, items).collect()))
+        finally:
+            search.SENT_BYTES = search_bytes
+        assert got == [(1, 1), (1, 3), (2, 1), (5, 1), (5, 3)]
+
+
+def test_vector_search_in_blocks_and_parts(spark, monkeypatch):
+    from corpusgraph.operators import search
+
+    r = np.random.default_rng(4)
+    vectors = r.integers(-2, 3, (60, 4)).astype(float)
+    items = spark.createDataFrame([(i, "pq"[i % 2], v.tolist() if i % 11 else None) for i, v in enumerate(vectors)], "item_id long, part string, vector array<double>")
+    queries = spark.createDataFrame([(i, vectors[i].tolist()) for i in range(5)] + [(9, [0.0] * 4), (10, None)], "query_id long, query_vector array<double>")
+    cos = lambda a, b: round(float(a @ b) / (np.sqrt(a @ a) * np.sqrt(b @ b) or 1.0), 6)
+    want = set()
+    for q, v in [*enumerate(vectors[:5]), (9, np.zeros(4))]:
+        for part in (0, 1):
+            best = sorted((-cos(v, w), i) for i, w in enumerate(vectors) if i % 2 == part and i % 11)[:3]
+            want |= {(q, "pq"[part], i, -s, n + 1) for n, (s, i) in enumerate(best)}
+    for size in (1 << 20, 64):
+        monkeypatch.setattr(search, "SENT_BYTES", size)
+        got = {(x["query_id"], x["part"], x["item_id"], x["score"] + 0.0, x["rank"]) for x in search.vector_search(queries, items, 3, "part").collect()}
+        assert got == {(a, b, c, s + 0.0, n) for a, b, c, s, n in want}
+
+
+def test_bm25_terms_in_blocks(spark, monkeypatch):
+    from corpusgraph.operators import search
+
+    items = spark.createDataFrame([(1, "red fox, red hen"), (2, "blue fox"), (3, None), (4, "grey")], "item_id long, text string")
+    queries = spark.createDataFrame([(1, "Red fox"), (2, "blue grey owl"), (3, "")], "query_id long, query string")
+    whole = sorted(map(tuple, search.bm25(queries, items, 5).collect()))
+    monkeypatch.setattr(search, "SENT_TERMS", 2)
+    assert sorted(map(tuple, search.bm25(queries, items, 5).collect())) == whole and {x[:2] for x in whole} == {(1, 1), (1, 2), (2, 2), (2, 4)}
+
+
+def test_reduced_vectors_match_brute_force(spark):
+    r = np.random.default_rng(6)
+    x = {g: r.normal(size=(n, 5)) * [5, 3, 1, 0.5, 0.1] for g, n in ((1, 30), (2, 3))}
+    rows = spark.createDataFrame([(g, i, v.tolist()) for g in x for i, v in enumerate(x[g])], "grp int, id long, vector array<double>")
+    got = {(y["grp"], y["id"]): y["coordinates"] for y in tree.reduced(rows, 3).collect()}
+    for g, v in x.items():
+        _, _, axes = np.linalg.svd(v - v.mean(0))
+        for k in range(min(3, len(v) - 1)):
+            a = axes[k] * np.sign(axes[k][np.abs(axes[k]).argmax()])
+            assert np.allclose([got[g, i][k] for i in range(len(v))], (v - v.mean(0)) @ a)
+        assert len(got[g, 0]) == min(3, len(v) - 1)
+
+
+def test_hierarchical_context_takes_the_longest_children_first(spark):
+    from corpusgraph.operators import communities
+
+    children = spark.createDataFrame([(1, 1, "a" * 100, "short"), (1, 2, "b" * 300, "brief"), (1, 3, "c" * 50, None), (2, 4, "d" * 10, "x")], "parent int, child int, raw string, summary string")
+    cross = spark.createDataFrame([(1, f"{i:02} to") for i in range(30)], "parent int, line string")
+    out = {r["parent"]: r for r in communities.hierarchical_context(children, cross, 120).collect()}
+    assert out[2]["substituted"] == 0 and out[2]["context"] == "[Community 4]\n" + "d" * 10
+    assert out[1]["substituted"] == 1 and "brief" in out[1]["context"] and "a" * 100 in out[1]["context"] and "19 to" in out[1]["context"] and "20 to" not in out[1]["context"]
+    tight = {r["parent"]: r for r in communities.hierarchical_context(children, cross, 30).collect()}[1]
+    assert tight["substituted"] == 3 and tight["context"].endswith("truncated]")
+
+
+def test_scores_of_folds(spark):
+    from corpusgraph.operators import communities
+
+    texts = ["[Score: 7/10]\n[Answer]\nfoo", "foo", "[Score: 7.5/10] bar"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(communities.scored(F.col("t")).alias("s")).select("s.*").collect()
+    assert [tuple(r) for r in rows] == [("foo", 7.0), ("foo", 5.0), ("bar", 7.5)]
+
+
+def test_scratch_needs_a_shared_folder_off_local_masters():
+    from types import SimpleNamespace
+
+    from corpusgraph.plans import scratch
+
+    sc = SimpleNamespace(master="spark://h:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="share"):
+        scratch.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=sc))

@@ -17,19 +17,3 @@ def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).columns
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
     assert DATA
-
-
-def test_grid_rows_are_those_of_their_strategies(spark):
-    from corpusgraph.operators import strategies
-    from corpusgraph.plans import extraction_queries, search_queries, strategy_queries
-
-    d = "/root/testdata/sf0.001"
-    relevant: dict = {}
-    for r in search_queries._relevant(spark, d).collect():
-        relevant.setdefault(r["query_id"], set()).add(r["item_id"])
-    got = {r["strategy"]: (r["hits"], r["configurations"]) for r in extraction_queries.ev_grid(spark, d).collect()}
-    want = {}
-    for name, configurations in (("none", 30), ("decomposition", 5)):
-        hits = {(r["query_id"], r["item_id"]) for r in strategies.get(name)(*strategy_queries._asked(spark, d), 10).collect()}
-        want[name] = (round(sum(any((q, i) in hits for i in items) for q, items in relevant.items()) / len(relevant), 6), configurations)
-    assert got == want
