@@ -38,16 +38,18 @@ def degrees(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(counts, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, keep_every: int = 5) -> DataFrame:
+def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, keep_every: int = 10) -> DataFrame:
     """id, pagerank: (1 - d) + d * sum(rank / degree) over undirected edges, parallel ones counted, without scaling."""
     scratch = Scratch(vertices.sparkSession, "pagerank")
     degree = degrees(vertices, edges)
     arcs = both_ways(edges).groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree.withColumnRenamed("id", "src"), "src")
     arcs = scratch.save(arcs.select("src", "dst", (F.col("n") / F.col("degree")).alias("w")), "arcs")
     ranks = vertices.select("id", F.lit(1.0 - damping).alias("pagerank"))
+    nothing = vertices.select("id", F.lit(0.0).alias("s"))
     for i in range(1, rounds + 1):
-        sums = arcs.join(ranks, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("to")).agg(F.sum(F.col("pagerank") * F.col("w")).alias("s"))
-        ranks = vertices.select("id").join(sums, F.col("id") == F.col("to"), "left").select("id", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("pagerank"))
+        # Vertices without a neighbour come in as rows of 0, so a round is one join and one aggregate.
+        shares = arcs.join(ranks, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), (F.col("pagerank") * F.col("w")).alias("s"))
+        ranks = nothing.unionAll(shares).groupBy("id").agg((F.lit(1 - damping) + F.lit(damping) * F.sum("s")).alias("pagerank"))
         if i % keep_every == 0:
             ranks = scratch.save(ranks, f"ranks{i}")
     return ranks
