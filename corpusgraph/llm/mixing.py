@@ -18,9 +18,9 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def random_key(key: Column, seed: int) -> Column:
-    """60 bits of MD5 over the key and the seed; the same on every run."""
-    told = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null")))
+def random_key(key: Column, text: Column, seed: int) -> Column:
+    """60 bits of MD5 over the seed and the key, or where the key is null the text; the same on every run."""
+    told = F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(text, F.lit(""))))))
     return F.conv(F.substring(F.md5(told), 1, 15), 16, 10).cast("long")
 
 
@@ -59,12 +59,20 @@ def mix_sources(docs: DataFrame, weights: Sequence[int], share: float = 1.0, mos
     The random keys are uniform, so equal ranges of them are equal shares of a source: a source is sorted in
     as many ranges as its rows need, and a running sum over the ranges' totals gives each its offset.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mix")
-    sized = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"))
-    sized = scratch.save(sized.withColumn("random", random_key(F.col("doc_id"), seed)), "sized")
+    scratch = Scratch(docs.sparkSession, "mix")
+    sized = scratch.save(_sized(docs, seed, key, text, source), "sized")
+    rows = _placed(sized, sized, scratch, weights, share, most)
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("cut")).cast("long").alias("taken"))
+
+
+def _sized(docs: DataFrame, seed: int, key: str, text: str, source: str) -> DataFrame:
+    return docs.select(*_columns(docs, seed, key, text, source))
+
+
+def _placed(rows: DataFrame, sized: DataFrame, scratch: Scratch, weights: Sequence[int], share: float, most: int) -> DataFrame:
+    """rows (which have sized's columns, and may have more) with source_size, target, epochs, and cut: the words taken after whole epochs."""
     n = sized.count()
-    held = bucket_rows(n, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    held = bucket_rows(n, int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(sources, weights, share, most)
     whole = F.floor("target").cast("long")
@@ -73,23 +81,43 @@ def mix_sources(docs: DataFrame, weights: Sequence[int], share: float = 1.0, mos
         F.col("source").alias("name"), "source_size", "target", epochs.alias("epochs"), (whole - epochs * F.col("source_size")).alias("rest"), F.ceil(F.col("n") / held).cast("long").alias("ranges")
     )
     sources = scratch.save(sources, "sources")
-    rows = sized.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name")
-    rows = rows.withColumn("range", F.shiftright(F.shiftright("random", 28) * F.col("ranges"), 32))
-    group = [F.coalesce("source", F.lit("")).alias("g"), F.col("source").isNull().alias("g0"), "range"]
-    sums = rows.groupBy(*group).agg(F.sum("size").alias("held"))
+    group = {"g": F.coalesce("source", F.lit("")), "g0": F.col("source").isNull(), "range": F.shiftright(F.shiftright("random", 28) * F.col("ranges"), 32)}
+
+    def ranged(df: DataFrame) -> DataFrame:
+        return df.join(sources, F.col("source").eqNullSafe(F.col("name"))).drop("name").withColumns(group)
+
+    sums = ranged(sized).groupBy(*group).agg(F.sum("size").alias("held"))
     offsets = sums.withColumn("offset", F.coalesce(F.sum("held").over(W.partitionBy("g", "g0").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("held")
-    rows = rows.withColumns({"g": group[0], "g0": group[1]})
     inner = W.partitionBy("g", "g0", "range").orderBy("random", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(inner)).join(offsets, ["g", "g0", "range"])
+    placed = ranged(rows).withColumn("upto", F.sum("size").over(inner)).join(offsets, ["g", "g0", "range"])
     start = F.col("offset") + F.col("upto") - F.col("size")
-    cut = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + cut).cast("long").alias("taken"))
+    return placed.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start)))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """text up to the end of its n-th word."""
+    ends = F.split(text, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", (n + 1).cast("int"))
+    return F.array_join(F.slice(ends, F.lit(1), n.cast("int")), "")
 
 
-def mixed_rows(docs: DataFrame, weights: Sequence[int], key: str = "doc_id", **how: object) -> DataFrame:
-    """The rows of docs as often as the mix takes them, taken / size rounded to whole documents, with all their columns."""
-    mixed = mix_sources(docs, weights, key=key, **how).where("taken > 0")
-    mixed = mixed.select(F.col("doc_id").alias("_mixed_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    copies = mixed.where("_copies > 0").groupBy("_mixed_id").agg(F.max("_copies").alias("_copies"))
-    out = docs.join(copies, F.col(key).eqNullSafe(F.col("_mixed_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+def mixed_rows(docs: DataFrame, weights: Sequence[int], share: float = 1.0, most: int = 3, seed: int = 1, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns, whatever their names.
+
+    A row comes once for each whole epoch of its source. In the last epoch each source is cut at its exact budget:
+    the one document in which that ends comes with its text up to that word, so the words of a source's rows
+    are its budget, rounded down. Its other columns are those of the whole document. Rows without words are taken by no
+    mix and go. Nulls and repeated rows are as in mix_sources(); an empty table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    sized = scratch.save(_sized(docs, seed, key, text, source), "sized")
+    rows = docs.select(F.struct("*").alias("row"), *_columns(docs, seed, key, text, source))
+    placed = _placed(rows, sized, scratch, weights, share, most).where("size > 0")
+    size, cut, whole = F.col("size"), F.col("cut"), F.col(f"row.{text}")
+    takes = F.concat(F.when(F.col("epochs") > 0, F.array_repeat(size, F.col("epochs").cast("int"))).otherwise(F.array().cast("array<bigint>")), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<bigint>")))
+    each = placed.select("row", "size", F.explode(takes).alias("take"))
+    return each.select(*[F.when(F.col("take") < size, first_words(whole, F.col("take"))).otherwise(whole).alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+def _columns(docs: DataFrame, seed: int, key: str, text: str, source: str) -> list[Column]:
+    doc, body = F.col(key).cast("long"), F.col(text)
+    return [doc.alias("doc_id"), F.col(source).alias("source"), words(body).alias("size"), random_key(doc, body, seed).alias("random")]

@@ -51,7 +51,7 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5 = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-        ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS random FROM documents),
+        ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))), 1, 15))::BIGINT AS random FROM documents),
 s AS (SELECT source, sum(size)::HUGEINT AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS rank FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][(rank % 3 + 1)::INT]::HUGEINT AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS budget FROM s),
 o AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS used, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS rest_weight FROM w
