@@ -93,8 +93,15 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", finger
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup() keeps, with all their columns, one row for each group of equal texts."""
-    kept = exact_dedup(docs, key, text).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"), F.col("n_chars").alias("_kept_chars"))
-    mine = docs.withColumns({"_own_sha": F.sha2(normalised(F.col(text)), 256), "_own_chars": F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long")})
-    same = F.col(key).eqNullSafe(F.col("_kept_id")) & (F.col("_own_sha") == F.col("_kept_sha")) & (F.col("_own_chars") == F.col("_kept_chars"))
-    return mine.join(kept, same, "left_semi").dropDuplicates([key, "_own_sha"]).select(*docs.columns)
+    """The rows of docs that exact_dedup() keeps, with all their columns, one row for each group of equal texts.
+
+    Of rows alike in key, text without blanks and length one stays, whichever. Columns of any names come through
+    unchanged. Nulls and empty tables are as in exact_dedup(). Whole rows cross the network once, dealt by key, digest and length,
+    so copies under different keys don't meet in one task.
+    """
+    there = [F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNull().alias("none"), "sha", "chars"]
+    kept = exact_dedup(docs, key, text).where("kept").select(F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("sha"), F.col("n_chars").alias("chars"))
+    body = F.col(f"row.{key}").cast("long").alias("id"), F.unhex(F.sha2(normalised(F.col(f"row.{text}")), 256)).alias("sha"), F.char_length(F.coalesce(F.col(f"row.{text}"), F.lit(""))).cast("long").alias("chars")
+    mine = docs.select(F.struct("*").alias("row")).select("row", *body).select("row", *there)
+    on = ["id", "none", "sha", "chars"]
+    return mine.join(kept.select(*there), on, "left_semi").dropDuplicates(on).select("row.*")
