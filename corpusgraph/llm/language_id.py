@@ -184,7 +184,9 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", int
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **how: float) -> DataFrame:
     """One row per row of docs: doc_id, held_out (fold 1 of crc32(key) mod 3, never learnt from), lang_pred, score.
 
-    A null key is in fold 0. Other columns are ignored; an empty table gives no rows.
+    A null key is in fold 0. Other columns are ignored; an empty table gives no rows. Repeated rows are predicted one by
+    one, and alike texts alike. Texts of any length count whole. The kernel's n-grams are hashed to SLOTS numbers, so
+    two n-grams may count as one; a text's distinct n-grams are far fewer than the slots.
     """
     plain = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     out = with_language(plain.drop("lang"), train(plain, "doc_id", "text", "lang", **how))
@@ -192,11 +194,12 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def drop_unknown(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **how: float) -> DataFrame:
-    """The rows of docs whose text has a language, with all their columns; texts without a letter and nulls go.
+    """The rows of docs whose text has a language, with all their columns, whatever their names; texts without a letter and nulls go.
 
-    If no label could be learnt, texts with a letter stay all the same.
+    If no label could be learnt, texts with a letter stay all the same. Repeated rows are judged one by one; an empty table gives no rows.
     """
-    mark, model = "_language", train(docs, key, text, lang, **how)
+    model = train(docs, key, text, lang, **how)
     if not model.classes:
         return docs.where(F.col(text).rlike(r"\p{L}"))
-    return with_language(docs, model, text, mark).where(F.col(f"{mark}.lang") != UNKNOWN).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return with_language(rows, model, "text", "language").where(F.col("language.lang") != UNKNOWN).select("row.*")
