@@ -306,6 +306,23 @@ def test_jaccard_of_repeated_ids(spark):
     assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in out.collect()) == Counter(_near_rows(rows)[0])
 
 
+def test_dropped_near_copies_lose_no_text(spark):
+    """One row of each component of rows; those without words or key all stay, and columns of any names come through."""
+    rows = _repeated_rows()
+    docs = spark.createDataFrame([(*x, i, "r") for i, x in enumerate(rows)], "doc_id long, text string, row int, text_hash string")
+    out = jaccard_join.drop_near_copies(docs)
+    assert out.columns == docs.columns
+    told, find = _near_rows(rows)
+    got = [x["row"] for x in out.collect()]
+    groups = {}
+    for i, (d, n, _) in enumerate(told):
+        groups.setdefault(find(i) if n and d is not None else ("alone", i), []).append(i)
+    assert len(got) == len(set(got)) == len(groups)
+    for g in groups.values():
+        stay = [i for i in g if i in got]
+        assert len(stay) == 1 and (rows[stay[0]][0] is None or rows[stay[0]][0] == min(rows[i][0] for i in g))
+
+
 def test_jaccard_edges(edge):
     out = jaccard_join.near_classes(edge).collect()
     assert len(out) == len(EDGE)
@@ -326,6 +343,36 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs.select("doc_id", "text", "lang").unionAll(junk)).where("score = 0").collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark):
+    """Dense kernel ridge regression on true sets of n-grams, with repeated rows, nulls, a long text and clashing column names."""
+    r = random.Random(21)
+    letters = {"aa": "abcdefghij", "bb": "fghijklmno", "cc": "klmnopqrst"}
+    text = lambda c, n: "".join(r.choice(letters[c] + " ") for _ in range(n))
+    rows = [(i, text(c, r.randint(5, 60)), c if i % 10 else None) for i, c in enumerate([*letters] * 40)]
+    rows += [(500, text("aa", 50_000), "aa"), (501, None, "bb"), (502, "12 ..", "cc"), (None, text("bb", 40), None), rows[1], rows[1], (1, text("cc", 30), "cc")]
+    docs = spark.createDataFrame([(*x, 1, "a", "b", "c") for x in rows], "doc_id long, text string, lang string, d int, k string, t string, language string")
+    grams = lambda t: {x[i : i + n] for x in [t.encode().lower()] for n in (1, 2, 3, 4) for i in range(len(x) - n + 1)}
+    fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 3
+    learnt = [(c, zlib.crc32(f"sample:{t if d is None else d}".encode()), t) for d, t, c in rows if c and t is not None and fold(d) != 1]
+    marks = [t for c in letters for _, _, t in sorted(x for x in learnt if x[0] == c)[:8]]
+    kernel = lambda texts: np.array([[len(x & y) / math.sqrt(max(len(x), 1) * max(len(y), 1)) for y in sets] for x in map(grams, texts)])
+    sets = [grams(m) for m in marks]
+    value, vector = np.linalg.eigh(kernel(marks))
+    good = value > value[-1] * 1e-6
+    whiten = vector[:, good] / np.sqrt(value[good])
+    x = np.c_[kernel([t for _, _, t in learnt]) @ whiten, np.ones(len(learnt))]
+    y = np.array([[1.0 if c == k else -1.0 for k in letters] for c, _, _ in learnt])
+    beta = np.linalg.solve(x.T @ x + 0.1 * np.diag([1.0] * (x.shape[1] - 1) + [1e-6]), x.T @ y)
+    want = Counter()
+    for d, t, _ in rows:
+        v = (np.r_[kernel([t])[0] @ whiten, 1] @ beta) if t and any(z.isalpha() for z in t) else None
+        want[d, fold(d) == 1, "und" if v is None else [*letters][int(v.argmax())], 0.0 if v is None else round(float(np.clip((v.max() + 1) / 2, 0, 1)), 2)] += 1
+    got = Counter((z["doc_id"], z["held_out"], z["lang_pred"], round(z["score"], 2)) for z in language_id.identify(docs, landmarks=24).collect())
+    near = lambda c: sorted((str(k[0]), k[1], k[2]) for k in c.elements())
+    assert near(got) == near(want)
+    assert sum((got - want).values()) <= 4  # scores that fall on either side of a rounding step
+
+
 def test_language_of_long_texts(spark):
     r = random.Random(5)
     letters = {"aa": "abcdefghijklmnopqrst", "zz": "ghijklmnopqrstuvwxyz"}
@@ -500,6 +547,53 @@ def test_pipeline_columns(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").where("lossless").count() > 0
 
 
+CLASHES = "doc_id long, text string, lang string, source string, row int, _copies int, _stays string, _language string, _own_sha string, sha string, size int, cut int, take int, body string, id int"
+
+
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abcdefghijkl") for _ in range(30)) for _ in range(12)]
+    rows = [(i % 15 if i % 9 else None, [*texts, None, "", "12"][i % 15], "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, i) for i in range(45)]
+    names = [x.split()[0] for x in CLASHES.split(", ")][5:]
+    kinds = dict(x.split() for x in CLASHES.split(", "))
+    rows = [(*x, *[-x[4] if kinds[c] == "int" else f"{c} {x[4]}" for c in names]) for x in rows]
+    docs = spark.createDataFrame(rows, CLASHES)
+    whole = {x[4]: x for x in rows}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        for x in out.collect():
+            mine = whole[x["row"]]
+            assert tuple(x)[5:] == mine[5:] and (x["doc_id"], x["source"]) == (mine[0], mine[3]), name
+            assert x["text"] == mine[1] or name == "source_mixing" and mine[1].startswith(x["text"]), name
+        assert out.count() > 0 and stage(spark, docs.limit(0), "").count() == 0, name
+
+
+def test_copies_dropped_of_repeated_rows(spark):
+    rows = [(1, "a b", 0), (1, "ab", 1), (1, "ab", 2), (1, "cd", 3), (2, "cd", 4), (None, "ab  ", 5), (None, None, 6), (3, "", 7), (None, "ef", 8), (None, "e f", 9), (None, "gh", 10)]
+    out = [x["at"] for x in drop_copies(spark.createDataFrame(rows, "doc_id long, text string, at int")).collect()]
+    assert sorted(out) == [3, 5, 7, 9, 10] or sorted(out) == [3, 5, 6, 9, 10]
+    texts = Counter("".join((t or "").split()) for d, t, i in rows if i in out)
+    assert set(texts.values()) == {1} and len(texts) == 5
+
+
+def test_mixed_rows_hold_the_exact_budgets(spark):
+    r = random.Random(13)
+    rows = [(i % 20 if i % 5 else None, " ".join(["w"] * r.randint(0, 30)) + "\n é  ü"[: r.randint(0, 6)], f"s{i % 4}" if i % 4 else None, i) for i in range(60)] + [(1, None, "s1", 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, at int")
+    out, count = mixing.mixed_rows(docs, (5, 2, 1)).collect(), lambda t: len((t or "").split())
+    want = {x["source"]: math.floor(x["target"]) for x in mixing.mix_sources(docs, (5, 2, 1)).collect()}
+    got = Counter()
+    for x in out:
+        got[x["source"]] += count(x["text"])
+        assert rows[x["at"]][1].startswith(x["text"])
+    assert dict(got) == want
+    cut = Counter(x["source"] for x in out if count(x["text"]) < count(rows[x["at"]][1]))
+    assert max(cut.values(), default=0) <= 1
+
+
 def test_unlearnt_language_drops_no_letters(spark):
     rows = [(i, t, None) for i, t in enumerate(["some words", "123 ..", None, "é"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -537,7 +631,9 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
         con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
         con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", docs)
         taken = {d: (t, n) for d, n, t in con.execute(f"SELECT doc_id, size, taken FROM ({queries.ORACLES['op5_source_mixing']})").fetchall()}
-        return [x for x in docs for _ in range(math.floor(taken[x[0]][0] / taken[x[0]][1] + 0.5))]
+        out = [x for x in docs for _ in range(taken[x[0]][0] // taken[x[0]][1])]
+        rest = [(x, taken[x[0]][0] % taken[x[0]][1]) for x in docs]
+        return out + [(x[0], re.match(rf"(?:\s*\S+){{{n}}}", x[1])[0], *x[2:]) for x, n in rest if n]
 
     docs = rows
     for (name, stage), brute in zip(corpus_pipeline.STAGES[:-1], (known, single, apart, mixed), strict=True):
