@@ -166,10 +166,10 @@ def jn_zip(spark: SparkSession, d: str) -> DataFrame:
     return q.join(a, ["conv_id", "turn"])
 
 
-@query("SELECT source, round(b.m - a.m, 6) AS change FROM (SELECT source, avg(n_chars) AS m FROM documents WHERE doc_id % 2 = 0 GROUP BY source) a JOIN (SELECT source, avg(n_chars) AS m FROM documents WHERE doc_id % 2 = 1 GROUP BY source) b USING (source)")
+@query("SELECT source, round(b.m - a.m, 6) AS change FROM (SELECT source, avg(n_chars) AS m FROM documents WHERE doc_id // 32 % 2 = 0 GROUP BY source) a JOIN (SELECT source, avg(n_chars) AS m FROM documents WHERE doc_id // 32 % 2 = 1 GROUP BY source) b USING (source)")
 def jn_crossrun(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs compared by configuration: documents of even ids are one run's rows, those of odd ids the other's; all rows take part."""
-    mean = lambda run: F.avg(F.when(F.col("doc_id") % 2 == run, F.col("n_chars")))
+    """Two runs compared by configuration: blocks of 32 ids go to the runs in turn, so that sources occur in both; all rows take part."""
+    mean = lambda run: F.avg(F.when(F.floor(F.col("doc_id") / 32) % 2 == run, F.col("n_chars")))
     rows = table(spark, d, "documents").groupBy("source").agg(mean(0).alias("a"), mean(1).alias("b"))
     return rows.where("a IS NOT NULL AND b IS NOT NULL").select("source", F.round(F.col("b") - F.col("a"), 6).alias("change"))
 
