@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from corpusgraph.llm import language_id, pieces, quality, secrets, warc
 from corpusgraph.llm.exact_dedup import exact_dedup
+from corpusgraph.llm.filter_audit import audit
+from corpusgraph.llm.hard_negatives import mine
 from corpusgraph.llm.jaccard_join import near_classes
+from corpusgraph.llm.line_dedup import line_dedup
 from corpusgraph.llm.mixing import mix_sources
 from corpusgraph.llm.sharding import assign_shards
 from corpusgraph.llm.substring_dedup import substring_digests
@@ -151,6 +154,59 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's labels change where vec_id is divisible by 7, and its components are scaled to whole numbers, before mining."""
+    items = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(items.withColumn("label", label), anchors=F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=5, percent=80)
+
+
+OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER w::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP12 = r"""
+WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+    FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+k AS (SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT l.*, coalesce(doc_id < last, false) AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+      || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+      || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails,
+      doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic FROM d),
+c AS (SELECT part, fails, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step, 1) AS it, substr(filter_order, 1, step - 1) AS before FROM o, range(1, 6) AS r(step)),
+e AS (SELECT part, filter_order, step, it, n, good, toxic, fails, contains(fails, it) AS failing, translate(fails, before, '') <> fails AS early FROM c, s),
+r AS (SELECT part, filter_order, step, it, sum(n) FILTER (NOT failing AND NOT early) AS kept, sum(n) FILTER (failing AND NOT early) AS removed, sum(n) FILTER (failing AND early) AS redundant,
+      sum(n) FILTER (fails = it) AS unique_fails, sum(good) FILTER (failing AND NOT early) AS good_lost, sum(toxic) FILTER (failing AND NOT early) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, it), 0)::BIGINT AS shapley FROM r
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -164,6 +220,9 @@ QUERIES = {
         op8_quality_rules,
         op9_warc_round_trip,
         op10_piece_sampling,
+        op11_hard_negatives,
+        op12_line_dedup,
+        op13_filter_audit,
     )
 }
-ORACLES = {"op1_exact_dedup": OP1, "op3_substring_dedup": OP3, "op5_source_mixing": OP5, "op6_jaccard_join": OP6, "op8_quality_rules": _op8(), "op9_warc_round_trip": OP9}
+ORACLES = {"op1_exact_dedup": OP1, "op3_substring_dedup": OP3, "op5_source_mixing": OP5, "op6_jaccard_join": OP6, "op8_quality_rules": _op8(), "op9_warc_round_trip": OP9, "op11_hard_negatives": OP11, "op12_line_dedup": OP12, "op13_filter_audit": OP13}
