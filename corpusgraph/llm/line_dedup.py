@@ -22,8 +22,11 @@ UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 
 
 def line_keys(body: Column) -> Column:
-    """The lines of a text without blanks at both ends, A-Z lower-cased. lower() is quicker than translate(), and the same where no other letter is a capital."""
-    other = r"[\p{IsUppercase}\p{Lt}&&[^A-Z]]"
+    """The lines of a text without blanks at both ends, A-Z lower-cased.
+
+    lower() is quicker than translate(), and does the same to lines of ASCII and of signs that surely have no lower case.
+    """
+    other = r"[^\x00-\x7F\p{Ll}\p{Lo}\p{M}\p{P}\p{Z}]"
     fold = lambda x: F.when((F.octet_length(x) != F.char_length(x)) & x.rlike(other), F.translate(x, UPPER, LOWER)).otherwise(F.lower(x))
     return F.transform(F.transform(F.split(body, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS))), fold)
 
