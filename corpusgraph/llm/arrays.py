@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -54,10 +54,78 @@ def pieces(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, n
         lo = hi
 
 
+#: The starting state of SipHash.
+_SIP = (0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 512
+
+
+def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _sip_round(v: list[np.ndarray]) -> None:
+    v[0] = v[0] + v[1]
+    v[2] = v[2] + v[3]
+    v[1] = _turn(v[1], 13) ^ v[0]
+    v[3] = _turn(v[3], 16) ^ v[2]
+    v[0] = _turn(v[0], 32)
+    v[2] = v[2] + v[1]
+    v[0] = v[0] + v[3]
+    v[1] = _turn(v[1], 17) ^ v[2]
+    v[3] = _turn(v[3], 21) ^ v[0]
+    v[2] = _turn(v[2], 32)
+
+
+def _sip_block(v: list[np.ndarray], block: np.ndarray) -> None:
+    v[3] = v[3] ^ block
+    _sip_round(v)
+    v[0] = v[0] ^ block
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """64-bit hashes of data[start:end] under a key of 64 bits: SipHash-1-3, or BLAKE2b for words of more than LONG_WORD bytes.
+
+    Who doesn't know the key can't choose words that share a hash more often than by chance, 2**-64 a pair.
+    """
+    out = np.empty(len(start), np.uint64)
+    for lo in range(0, len(start), 1 << 16):
+        hi = min(lo + (1 << 16), len(start))
+        at, size = start[lo:hi], end[lo:hi] - start[lo:hi]
+        base = int(at[0])
+        raw = np.concatenate([data[base : int(end[hi - 1])], np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))
+        at = at - base
+        full = np.where(size <= LONG_WORD, size >> 3, 0)
+        state = [np.full(hi - lo, np.uint64(k ^ x)) for k, x in zip((key, ~key & (1 << 64) - 1, key, ~key & (1 << 64) - 1), _SIP, strict=True)]
+        here, c = np.flatnonzero(full), 0
+        while len(here):
+            mine = [x[here] for x in state]
+            _sip_block(mine, eight[at[here] + 8 * c])
+            for x, new in zip(state, mine, strict=True):
+                x[here] = new
+            c += 1
+            here = here[full[here] > c]
+        rest = (size & 7).astype(np.uint64)
+        tail = eight[at + 8 * full] & ((np.uint64(1) << (rest << np.uint64(3))) - np.uint64(1))
+        _sip_block(state, tail | (size.astype(np.uint64) << np.uint64(56)))
+        state[2] = state[2] ^ np.uint64(0xFF)
+        for _ in range(3):
+            _sip_round(state)
+        out[lo:hi] = state[0] ^ state[1] ^ state[2] ^ state[3]
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            body = data[start[lo + i] : end[lo + i]].tobytes()
+            out[lo + i] = int.from_bytes(hashlib.blake2b(body, digest_size=8, key=key.to_bytes(8, "little")).digest(), "little")
+    return out
+
+
 class Words:
-    """The words of consecutive texts: 64-bit hashes and, for text r, the range first[r]:first[r + 1]."""
+    """The words of consecutive texts: 64-bit hashes under a key and, for text r, the range first[r]:first[r + 1].
+
+    A key is drawn for each run of an operator and is the same for all its tasks.
+    """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> None:
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, key: int, lower: bool = False) -> None:
         if lower:
             data = _LOWER[data]
         solid = ~_SPACE[data]
@@ -69,11 +137,7 @@ class Words:
         last[:-1] &= ~solid[1:] | edge[1:-1]
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(last) + 1
         self.first = np.searchsorted(self.start, offsets)
-        up, down = powers(_BASE, len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-        length = (self.end - self.start).astype(np.uint64)
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start] + length * _STEP)
+        self.hash = word_hashes(data, self.start, self.end, key)
 
     def rows(self) -> np.ndarray:
         """The text of each word."""

@@ -16,6 +16,7 @@ decides, so that both sides of a pair decide alike:
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -101,20 +102,20 @@ def node_of(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
-def _described(batch: pa.RecordBatch, gram: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+def _described(batch: pa.RecordBatch, gram: int, key: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
     """Row, set and digest of the words of each text."""
     for lo, _, data, offsets in pieces(batch.column("text")):
-        for i, s in enumerate(shingle_sets(Words(data, offsets, lower=True), gram)):
+        for i, s in enumerate(shingle_sets(Words(data, offsets, key, lower=True), gram)):
             yield lo + i, s, words_digest(data[offsets[i] : offsets[i + 1]].tobytes())
 
 
-def _describe(gram: int):  # noqa: ANN202
+def _describe(gram: int, key: int):  # noqa: ANN202
     """doc_id, text_hash, size of the set, digest of the words, its node and the set's parity sketch of SKETCH_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, sketch = [], [], []
-            for _, s, d in _described(batch, gram):
+            for _, s, d in _described(batch, gram, key):
                 n.append(len(s))
                 digest.append(d)
                 sketch.append(np.packbits((np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes())
@@ -127,7 +128,7 @@ def _describe(gram: int):  # noqa: ANN202
 _KINDS = [("node", "<i8"), ("own", "u1")]
 
 
-def _index(gram: int, num: int, den: int, owners: int):  # noqa: ANN202
+def _index(gram: int, num: int, den: int, owners: int, key: int):  # noqa: ANN202
     """Blocks of (key, node): each set under its own band's keys, and under those of the band below, where it only seeks.
 
     A task files texts of the same words once.
@@ -136,7 +137,7 @@ def _index(gram: int, num: int, den: int, owners: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, seen = exchange.Sender(owners, _KINDS), set()
         for batch in batches:
-            for _, s, d in _described(batch, gram):
+            for _, s, d in _described(batch, gram, key):
                 if not len(s) or d in seen:
                     continue
                 seen.add(d)
@@ -297,8 +298,8 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
     Rows without a key take no part and have no component. Rows of one key with unlike texts are judged each by its
     own text, and so may have unlike components. Other columns are ignored; an empty table gives no rows.
 
-    Candidates and n_shingles go by 64-bit hashes of shingles (two of a text's n shingles share one with a chance of
-    n * n / 2**65); classes go by a digest of the words, and every link is verified on the words themselves.
+    Candidates and n_shingles go by 64-bit hashes of shingles under a key drawn for each run (two of a text's n shingles share one
+    with a chance of about n * n / 2**65, and nobody can choose texts that do so more often); classes go by a digest of the words, and every link is verified on the words themselves.
 
     Groups under one key give pairs only up to SMALL_GROUP members. Larger ones give each member's pair with the
     least member first; groups that this leaves in several components (all, if links are counted) are compared in tiles by sketch, which
@@ -314,17 +315,17 @@ def near_classes(docs: DataFrame, gram: int = GRAM, num: int = NUM, den: int = D
 def _near(docs: DataFrame, gram: int, num: int, den: int, key: str, text: str, count_links: bool) -> DataFrame:
     """Rows (doc_id, text_hash, n_shingles, root, n_links): root is the least (doc_id, text_hash) of the component; null without words or key."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
+    scratch, salt = Scratch(spark, "jaccard"), secrets.randbits(64)
     every = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     plain = every.where("doc_id IS NOT NULL")
-    rows = scratch.save(every.mapInArrow(_describe(gram), "doc_id long, text_hash long, n_shingles long, digest binary, node long, sketch binary"), "rows")
+    rows = scratch.save(every.mapInArrow(_describe(gram, salt), "doc_id long, text_hash long, n_shingles long, digest binary, node long, sketch binary"), "rows")
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count("*").alias("copies"), F.first("node").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = scratch.save(classes, "classes")
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     owners = exchange.owners_for(total * 6 // 10, exchange.partitions_of(docs))
-    blocks = plain.select("text").mapInArrow(_index(gram, num, den, owners), exchange.BLOCKS).drop("sender", "many")
+    blocks = plain.select("text").mapInArrow(_index(gram, num, den, owners, salt), exchange.BLOCKS).drop("sender", "many")
     found = scratch.save(blocks.groupBy("owner").applyInArrow(_gather, _FOUND), "found")
 
     def ordered(pairs: DataFrame, *more: str) -> DataFrame:

@@ -14,6 +14,7 @@ really share, once for each task, however many documents share them and whatever
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -243,7 +244,7 @@ def _narrowed(window: int):  # noqa: ANN202
     return run
 
 
-def _windows(window: int, owners: int):  # noqa: ANN202
+def _windows(window: int, owners: int, key: int):  # noqa: ANN202
     """Blocks of the hashes of all windows of segments, with their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +252,7 @@ def _windows(window: int, owners: int):  # noqa: ANN202
         for batch in batches:
             rid, doc = np.asarray(batch.column("id")), np.asarray(batch.column("doc_id"))
             for lo, _, data, offsets in pieces(batch.column("body")):
-                words = Words(data, offsets)
+                words = Words(data, offsets, key)
                 h, whole = words.grams(window)
                 on = np.flatnonzero(whole)
                 row = words.rows()[on]
@@ -267,7 +268,7 @@ def _plain(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
 
 
-def _shared_segments(plain: DataFrame, scratch: Scratch, window: int, partitions: int) -> DataFrame:
+def _shared_segments(plain: DataFrame, scratch: Scratch, window: int, partitions: int, key: int) -> DataFrame:
     """Segments under anchors of several documents: which have copies, and which are to be narrowed (each once, if its anchor has another)."""
     owners = exchange.owners_for(plain.count() * 32, partitions)
 
@@ -276,7 +277,7 @@ def _shared_segments(plain: DataFrame, scratch: Scratch, window: int, partitions
         for batch in batches:
             doc, text_hash = np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_hash"))
             for lo, hi, data, offsets in pieces(batch.column("text")):
-                anchor, row, at, n, seg = _segments(Words(data, offsets), window)
+                anchor, row, at, n, seg = _segments(Words(data, offsets, key), window)
                 mine = doc[lo:hi][row]
                 for block in out.add(anchor, mine, doc_id=mine, text_hash=text_hash[lo:hi][row], at=at, n=n, seg=seg):
                     yield exchange.batch_of(block)
@@ -321,10 +322,10 @@ def duplicate_spans(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
 def _spans(docs: DataFrame, window: int, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """duplicate_spans(), and the rows (doc_id, text_hash, text) that may have any."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "substring")
+    scratch, salt = Scratch(spark, "substring"), secrets.randbits(64)
     plain = _plain(docs, key, text).where("doc_id IS NOT NULL")
     partitions = exchange.partitions_of(docs)
-    told = _shared_segments(plain, scratch, window, partitions)
+    told = _shared_segments(plain, scratch, window, partitions, salt)
     lists = told.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n", "anchor", "copies", "narrow")).alias("picks"))
     texts = scratch.save(plain.join(lists, ["doc_id", "text_hash"]), "texts")
     scratch.free("shared", "ranked", "told")
@@ -339,7 +340,7 @@ def _spans(docs: DataFrame, window: int, key: str, text: str) -> tuple[DataFrame
 
     segments = picked.where(f"kind = {SEGMENT}")
     owners = exchange.owners_for(segments.agg(F.sum("n")).first()[0] or 0, partitions)
-    blocks = scratch.save(segments.select("id", "doc_id", "body").mapInArrow(_windows(window, owners), exchange.BLOCKS), "windows")
+    blocks = scratch.save(segments.select("id", "doc_id", "body").mapInArrow(_windows(window, owners, salt), exchange.BLOCKS), "windows")
 
     def make(keys: np.ndarray, on: np.ndarray, f: dict[str, np.ndarray]) -> pa.Table:
         return pa.table({"id": f["rid"][on], "at": f["at"][on]})

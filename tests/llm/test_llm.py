@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusgraph.llm import exchange, jaccard_join, language_id, mixing, pieces, quality, queries, secrets, sharding, substring_dedup, warc
+from corpusgraph.llm import arrays, exchange, jaccard_join, language_id, mixing, pieces, quality, queries, secrets, sharding, substring_dedup, warc
 from corpusgraph.llm.components import components
 from corpusgraph.llm.exact_dedup import drop_copies, exact_dedup
 
@@ -643,3 +643,78 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
         docs = want
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(x["doc_id"] for x in out) == Counter(x[0] for x in docs) and all(x["lossless"] for x in out)
+
+
+def _thue_morse(n, a="a", b="b"):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def _sip13(body, key):
+    m = (1 << 64) - 1
+    turn = lambda x, b: ((x << b) | (x >> (64 - b))) & m
+    v = [(key if i % 2 == 0 else ~key & m) ^ x for i, x in enumerate((0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573))]
+
+    def step():
+        v[0] = (v[0] + v[1]) & m
+        v[1] = turn(v[1], 13) ^ v[0]
+        v[0] = turn(v[0], 32)
+        v[2] = (v[2] + v[3]) & m
+        v[3] = turn(v[3], 16) ^ v[2]
+        v[0] = (v[0] + v[3]) & m
+        v[3] = turn(v[3], 21) ^ v[0]
+        v[2] = (v[2] + v[1]) & m
+        v[1] = turn(v[1], 17) ^ v[2]
+        v[2] = turn(v[2], 32)
+
+    cut = len(body) & ~7
+    for at in range(0, cut + 8, 8):
+        block = int.from_bytes(body[at : at + 8], "little") if at < cut else int.from_bytes(body[cut:], "little") | (len(body) & 255) << 56
+        v[3] ^= block
+        step()
+        v[0] ^= block
+    v[2] ^= 0xFF
+    for _ in range(3):
+        step()
+    return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+def test_word_hashes():
+    """Hashes are keyed SipHash-1-3, wherever a word stands; long words have one too."""
+    r = random.Random(4)
+    words = [bytes(r.randrange(33, 256) for _ in range(n)) for n in [*range(1, 40), 255, 256, 257, 511, 512, 513, 5000] * 2]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    for key in (0, 2**64 - 1, r.randrange(2**64)):
+        got = arrays.Words(data, np.array([0, len(data)]), key).hash.tolist()
+        assert [x for x, w in zip(got, words, strict=True) if len(w) <= 512] == [_sip13(w, key) for w in words if len(w) <= 512]
+        assert len(set(got)) == len(set(words))
+        assert arrays.Words(np.frombuffer(words[-1], np.uint8), np.array([0, len(words[-1])]), key).hash[0] == got[-1]
+    many = np.frombuffer(b"ab cd " * 100_000, np.uint8)
+    assert len(set(arrays.Words(many, np.array([0, len(many)]), 7).hash.tolist())) == 2
+
+
+def test_chosen_words(spark):
+    """Words on which sums of powers collide are told apart by both operators that hash words."""
+    one, two = _thue_morse(1024), _thue_morse(1024, "b", "a")
+    near = jaccard_join.near_classes(spark.createDataFrame([(1, f"{one} b c d e {two} b c d e")], "doc_id long, text string"), count_links=False).collect()
+    assert near[0]["n_shingles"] == 6
+    fill = [" ".join(f"{x}{i}" for i in range(60)) for x in "pqr"]
+    rows = [(1, f"{fill[0]} {one}"), (2, f"{fill[1]} {two} tail"), (3, f"{fill[1]} {two} tail"), (4, f"{fill[0]} {two} {fill[2]}"), (5, f"{fill[2]} {one}")]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: sum(x) for d, x in _removed(rows, 50).items()}
+    assert got == want
+
+
+def _removed(rows, size):
+    first, out = {}, {}
+    for doc, text in rows:
+        words = text.split()
+        for i in range(len(words) - size + 1):
+            first.setdefault(tuple(words[i : i + size]), doc)
+    for doc, text in rows:
+        words = text.split()
+        gone = [False] * len(words)
+        for i in range(len(words) - size + 1):
+            if first[tuple(words[i : i + size])] < doc:
+                gone[i : i + size] = [True] * size
+        out[doc] = gone
+    return out
