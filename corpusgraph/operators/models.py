@@ -167,17 +167,22 @@ def answer(queries: DataFrame, hits: DataFrame, items: DataFrame, most: int = 3)
     return out.select("query_id", F.coalesce("answer", F.lit(NO_CONTEXT)).alias("answer"), F.coalesce(F.array_join(cited, ","), F.lit("")).alias("sources"))
 
 
-def graph_background(themes: Column, entities: Column, longest: int = 2000) -> Column:
-    """The background text of the first two themes (array<string>) and ten entities (array<struct<name, entity_type, description>>), cut at longest characters."""
+#: The headings of the background text, and how many themes, entities and characters it holds.
+THEMES_HEAD, ENTITIES_HEAD = "## Relevant Themes (from document corpus)", "## Related Concepts (from knowledge graph)"
+THEMES, ENTITIES, BACKGROUND = 2, 10, 2000
+
+
+def graph_background(themes: Column, entities: Column, longest: int = BACKGROUND) -> Column:
+    """The background text of the first THEMES themes (array<string>) and ENTITIES entities (array<struct<name, entity_type, description>>), cut at longest characters."""
     told = F.transform(
-        F.slice(entities, 1, 10),
+        F.slice(entities, 1, ENTITIES),
         lambda e: F.when(F.coalesce(e["description"], F.lit("")) != "", F.concat(F.lit("- "), e["name"], F.lit(": "), e["description"]))
         .otherwise(F.concat(F.lit("- "), e["name"], F.lit(" ("), F.coalesce(e["entity_type"], F.lit("concept")), F.lit(")"))),
     )
     part = lambda head, lines, some: F.when(F.size(some) > 0, F.concat(F.array(F.lit(head)), lines)).otherwise(F.array().cast("array<string>"))
     lines = F.concat(
-        part("## Relevant Themes (from document corpus)", F.transform(F.slice(themes, 1, 2), lambda t: F.concat(F.lit("\n"), t)), themes),
-        part("\n## Related Concepts (from knowledge graph)", told, entities),
+        part(THEMES_HEAD, F.transform(F.slice(themes, 1, THEMES), lambda t: F.concat(F.lit("\n"), t)), themes),
+        part("\n" + ENTITIES_HEAD, told, entities),
     )
     whole = F.array_join(lines, "\n")
     return F.when(F.char_length(whole) > longest, F.concat(F.left(whole, F.lit(longest)), F.lit(CUT))).otherwise(whole)

@@ -2,26 +2,19 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusgraph.operators.chunking import cosine
+from corpusgraph.operators.inverted_index import InvertedIndex, tokens
 from corpusgraph.plans.scratch import Scratch
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-
 
 def top_k(hits: DataFrame, k: int, query: str | Sequence[str] = "query_id", item: str = "item_id", score: str = "score") -> DataFrame:
     """hits with rank up to k; ties go to the smaller item. Spark limits each group before the shuffle."""
@@ -29,8 +22,8 @@ def top_k(hits: DataFrame, k: int, query: str | Sequence[str] = "query_id", item
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-#: Bytes of query vectors, or number of query terms, that are sent to the tasks at once; more go in several passes over the items.
-SENT_BYTES, SENT_TERMS = 64 << 20, 1 << 20
+#: Bytes of query vectors that are sent to the tasks at once; more go in several passes over the items.
+SENT_BYTES = 64 << 20
 
 
 def _blocks(rows: DataFrame, per_block: int) -> Iterator[list[Row]]:
@@ -126,47 +119,12 @@ def containing(passages: DataFrame, items: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, items: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, part: str | None = None) -> DataFrame:
     """query_id, item_id, score, rank for (query_id, query) among (item_id, text).
 
-    With part, a column of items, each part is a corpus by itself, and it is a column of the hits. Each text is cut into words once; only words that queries hold leave the task, counted, together with the text's
-    length. Document lengths and numbers cover all items. The queries' words are sent in blocks of SENT_TERMS.
+    With part, a string column of items, each part is a corpus by itself, and it is a column of the hits. Items are indexed for
+    this one search; whoever searches them again keeps an InvertedIndex.
     """
     scratch = Scratch(queries.sparkSession, "bm25")
-    terms = scratch.save(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")), "terms")
-    kind, counted, more = dict(items.dtypes)["item_id"], None, [part] if part else []
-    kinds = "".join(f"{c} {dict(items.dtypes)[c]}, " for c in more)
-    for at, block in enumerate(_blocks(terms.select("term").distinct(), SENT_TERMS)):
-        wanted = frozenset(r["term"] for r in block)
-
-        def count(batches: Iterator[pa.RecordBatch], wanted: frozenset = wanted, at: int = at) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for lo in range(0, whole.num_rows, 512):
-                    batch = whole.slice(lo, 512)
-                    place, dl, term, tf = [], [], [], []
-                    for i, text in enumerate(batch.column("text").to_pylist()):
-                        words = _WORD.findall(text)
-                        mine = Counter(w for w in words if w in wanted)
-                        # A text's length comes once, in a row without a term.
-                        for w, n in ([(None, None)] if at == 0 else []) + sorted(mine.items()):
-                            place.append(i)
-                            dl.append(len(words))
-                            term.append(w)
-                            tf.append(n)
-                    given = [batch.column(c).take(pa.array(place, pa.int64())) for c in ["item_id", *more]]
-                    yield pa.RecordBatch.from_arrays([*given, pa.array(dl, pa.int32()), pa.array(term, pa.string()), pa.array(tf, pa.int64())], ["item_id", *more, "dl", "term", "tf"])
-
-        one = items.select("item_id", *more, F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(count, f"item_id {kind}, {kinds}dl int, term string, tf long")
-        counted = one if counted is None else counted.unionAll(one)
-    if counted is None:
-        counted = items.select("item_id", *more, F.lit(0).alias("dl"), F.lit(None).cast("string").alias("term"), F.lit(None).cast("long").alias("tf")).limit(0)
-    counted = scratch.save(counted, "counted")
-    totals = counted.where("term IS NULL").groupBy(*more).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = counted.where("term IS NOT NULL")
-    df = postings.groupBy(*more, "term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = terms.join(postings, "term").join(df, [*more, "term"])
-    scored = (scored.join(F.broadcast(totals), more) if more else scored.join(F.broadcast(totals))).withColumn("w", weight)
-    scored = scored.groupBy(*more, "query_id", "item_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scored, k, [*more, "query_id"])
+    hits = InvertedIndex.build(items, scratch.path("index"), part).search(queries, k, k1, b)
+    return hits.select(*([F.col("part").alias(part)] if part else []), "query_id", "item_id", "score", "rank")
 
 
 def relative_fusion(dense: DataFrame, keyword: DataFrame, alpha: float, k: int) -> DataFrame:

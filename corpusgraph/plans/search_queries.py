@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 
 from corpusgraph.functions import keys
 from corpusgraph.operators import evaluation, search
+from corpusgraph.operators.vector_index import VectorIndex
 from corpusgraph.plans.registry import query
+from corpusgraph.plans.scratch import Scratch
 from corpusgraph.plans.session import table
 
 _DOT = "list_sum(list_transform(list_zip(%s, %s), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
@@ -66,6 +68,26 @@ def vec_search(spark: SparkSession, d: str) -> DataFrame:
     return _vector(spark, d)
 
 
+def _index(spark: SparkSession, d: str) -> tuple[VectorIndex, DataFrame]:
+    e = table(spark, d, "embeddings")
+    items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"))
+    return VectorIndex.build(items, Scratch(spark, "index").path("vectors")), e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(f"SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM ({_VECTOR}) QUALIFY rank <= 10")
+def vec_index_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The exact mode of the stored index: lists are visited by bounds."""
+    index, queries = _index(spark, d)
+    return index.exact(queries, 10)
+
+
+@query()
+def vec_index(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the stored index; which items are found depends on the fitted model, so tests measure recall."""
+    index, queries = _index(spark, d)
+    return index.search(queries, 10)
+
+
 @query(f"WITH h AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM ({_VECTOR}) QUALIFY rank <= 10) SELECT * FROM h WHERE score >= 0.3")
 def vec_entities(spark: SparkSession, d: str) -> DataFrame:
     return _vector(spark, d).where("score >= 0.3")

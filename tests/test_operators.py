@@ -324,16 +324,6 @@ def test_vector_search_in_blocks_and_parts(spark, monkeypatch):
         assert got == {(a, b, c, s + 0.0, n) for a, b, c, s, n in want}
 
 
-def test_bm25_terms_in_blocks(spark, monkeypatch):
-    from corpusgraph.operators import search
-
-    items = spark.createDataFrame([(1, "red fox, red hen"), (2, "blue fox"), (3, None), (4, "grey")], "item_id long, text string")
-    queries = spark.createDataFrame([(1, "Red fox"), (2, "blue grey owl"), (3, "")], "query_id long, query string")
-    whole = sorted(map(tuple, search.bm25(queries, items, 5).collect()))
-    monkeypatch.setattr(search, "SENT_TERMS", 2)
-    assert sorted(map(tuple, search.bm25(queries, items, 5).collect())) == whole and {x[:2] for x in whole} == {(1, 1), (1, 2), (2, 2), (2, 4)}
-
-
 def test_reduced_vectors_match_brute_force(spark):
     r = np.random.default_rng(6)
     x = {g: r.normal(size=(n, 5)) * [5, 3, 1, 0.5, 0.1] for g, n in ((1, 30), (2, 3))}
