@@ -20,6 +20,9 @@ from corpusgraph.llm.arrays import mix, powers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _G, _K = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Stretches of more bytes are walked one by one; shorter ones side by side. Edges that a walk takes up at once.
+LONG, EDGES = 1024, 1 << 15
+
 
 class Vocabulary:
     """Pieces as bytes, a space standing for the word mark; byte pieces write what no other piece can.
@@ -141,8 +144,10 @@ class Lattice:
     def _filter(self, target: np.ndarray, home: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """For each edge, its end plus the running share of the ways into that end that it and those before it carry."""
         far = target - home[target - 1]
-        order = np.argsort(far, kind="stable")
-        cuts = np.r_[0, np.flatnonzero(np.diff(far[order])) + 1, len(order)]
+        long = (self.end - self.begin) > LONG
+        side = np.flatnonzero(~np.repeat(long, self.end - self.begin)[target - 1])
+        order = side[np.argsort(far[side], kind="stable")]
+        cuts = np.r_[0, np.flatnonzero(np.diff(far[order])) + 1, len(order)] if len(order) else np.zeros(1, np.int64)
         forward = np.zeros(len(home) + 1)
         inner = self.source != home[self.source]
         total = np.empty(len(target))
@@ -160,14 +165,45 @@ class Lattice:
             run = (run - (run[first] - share[first])[group]) / whole[group]
             run[np.r_[first[1:], len(e)] - 1] = 1.0
             total[e] = ends + np.minimum(run, 1.0)
+        for begin, end in zip(self.begin[long].tolist(), self.end[long].tolist(), strict=True):
+            self._walk(begin, end, target, weight, total)
         return total
 
+    def _walk(self, begin: int, end: int, target: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+        """_filter() for one stretch, end by end; a step of arrays for each of its bytes would take far longer."""
+        forward = [0.0] * (end - begin + 1)
+        lo, last = np.searchsorted(target, [begin + 1, end + 1]).tolist()
+        while lo < last:
+            hi = min(lo + EDGES, last)
+            if hi < last:
+                hi = int(np.searchsorted(target, target[hi]))  # edges into one end stay together; there are fewer than EDGES
+            into, back, by = target[lo:hi].tolist(), (self.source[lo:hi] - begin).tolist(), weight[lo:hi].tolist()
+            out, i = [], 0
+            while i < len(into):
+                at, j = into[i], i + 1
+                while j < len(into) and into[j] == at:
+                    j += 1
+                logs = [by[x] + forward[back[x]] for x in range(i, j)]
+                most = max(logs)
+                shares = [math.exp(x - most) for x in logs]
+                whole, run = sum(shares), 0.0
+                forward[at - begin] = most + math.log(whole)
+                for share in shares:
+                    run += share
+                    out.append(at + min(run / whole, 1.0))
+                out[-1] = at + 1.0
+                i = j
+            total[lo:hi] = out
+            lo = hi
+
     def sample(self, kinds: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all stretches (kinds, each with a seed) one after the other, and the number of ids of each."""
         order = np.argsort(kinds, kind="stable")
         kinds, seeds = kinds[order], seeds[order]
         begin, state = self.begin[kinds], self.end[kinds].copy()
-        live, drawn, count = np.arange(len(kinds)), [], np.zeros(len(kinds), np.int64)
+        drawn, count = [], np.zeros(len(kinds), np.int64)
+        walked = {i: self._drawn(int(begin[i]), int(state[i]), int(seeds[i])) for i in np.flatnonzero(state - begin > LONG).tolist()}
+        live = np.flatnonzero(state - begin <= LONG)
         while len(live):
             u = (mix(seeds[live] + count[live].astype(np.uint64) * _K) >> np.uint64(40)).astype(float) * 2.0**-24 + 2.0**-25
             edge = np.searchsorted(self.total, state[live] + u, "right")
@@ -175,14 +211,30 @@ class Lattice:
             state[live] = self.source[edge]
             count[live] += 1
             live = live[state[live] > begin[live]]
+        for i, ids in walked.items():
+            count[i] = len(ids)
         sizes = np.empty(len(count), np.int64)
         sizes[order] = count
         last = np.cumsum(sizes)[order]
         out = np.empty(int(sizes.sum()), np.int32)
         for step, (who, ids) in enumerate(drawn):
             out[last[who] - 1 - step] = ids
+        for i, ids in walked.items():
+            out[last[i] - len(ids) : last[i]] = ids[::-1]
         return out, sizes
 
+    def _drawn(self, begin: int, end: int, seed: int) -> np.ndarray:
+        """The ids of one long stretch from its end on; draws as in sample(), all made before the walk."""
+        u = (mix(np.uint64(seed) + np.arange(end - begin, dtype=np.uint64) * _K) >> np.uint64(40)).astype(float) * 2.0**-24 + 2.0**-25
+        ids, total, source = [], self.total, self.source
+        for draw in u.tolist():
+            edge = int(total.searchsorted(end + draw, "right"))
+            ids.append(edge)
+            end = int(source[edge])
+            if end <= begin:
+                break
+        return self.piece[np.array(ids)]
+
 
 def _distinct(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stretches to keep, one of each content, and for each stretch the place of its like among them."""
