@@ -13,8 +13,10 @@ from corpusgraph.plans.scratch import Scratch
 
 #: Lengths of the n-grams (of UTF-8 bytes, A-Z lowered), the number of hashed n-grams and the bytes hashed at once.
 SPECTRUM, SLOTS, CUT = (1, 2, 3, 4), 1 << 22, 1 << 20
-#: The most weights (n-grams times classes) that are kept multiplied out, and the steps of a feature, so that sums are exact.
-DIRECT, STEPS = 1 << 25, 1 << 16
+#: The most weights (n-grams times classes) that are kept multiplied out, the steps of a feature, so that sums are exact, and the digits of a decision value.
+DIRECT, STEPS, DIGITS = 1 << 24, 1 << 16, 9
+#: A product of matrices is made once so many weights take part.
+PRODUCT = 1 << 21
 UNKNOWN = "und"
 _last = np.zeros(SLOTS, np.int32)
 
@@ -70,8 +72,10 @@ class Landmarks:
 class LanguageModel:
     """classes and, for each landmark and class, its weight in the class's decision value.
 
-    Kernel values and weights are both linear in a text's n-grams, so up to DIRECT numbers their product is kept
-    as one matrix (a row of the classes' weights for each n-gram); above, texts meet the landmarks.
+    Texts are scored in batches by a product of matrices. Kernel values and weights are both linear in a text's n-grams, so up to
+    DIRECT numbers the weights are kept multiplied out (a row of the classes' weights for each n-gram), and a batch's sparse
+    matrix of n-grams is multiplied with them; above, its matrix of kernel values with the weights. Both are sums of the same
+    products in double precision; values are rounded to DIGITS digits, far above what their order can change.
     """
 
     def __init__(self, classes: list[str], marks: Landmarks, weights: np.ndarray, offset: np.ndarray) -> None:
@@ -80,17 +84,32 @@ class LanguageModel:
         if len(marks.slots) * len(classes) <= DIRECT:
             each = np.repeat(np.arange(len(marks.slots)), np.diff(marks.start))
             scaled = marks.scale[:, None] * weights
-            self.direct = np.stack([np.bincount(each, scaled[marks.mark, c], len(marks.slots)) for c in range(len(classes))], 1).astype(np.float32) if len(classes) else None
+            self.direct = np.stack([np.bincount(each, scaled[marks.mark, c], len(marks.slots)) for c in range(len(classes))], 1) if len(classes) else None
 
-    def values(self, slots: np.ndarray) -> np.ndarray:
+    def values(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Decision values, a row for each text (its n-grams' slots) and a column for each class."""
         if self.direct is None:
-            return self.marks.kernel(slots) @ self.weights + self.offset
-        return self.direct[self.marks.hits(slots)].sum(0, dtype=float) / np.sqrt(max(len(slots), 1)) + self.offset
-
-    def decide(self, slots: np.ndarray) -> tuple[int, float]:
-        value = self.values(slots)
-        best = int(value.argmax())
-        return best, float(np.clip((value[best] + 1) / 2, 0, 1))
+            raw = np.stack([self.marks.kernel(x) for x in texts]) @ self.weights
+        else:
+            raw, lo = np.zeros((len(texts), len(self.classes))), 0
+            while lo < len(texts):
+                hits, size = [], 0
+                while lo + len(hits) < len(texts) and size * len(self.classes) <= PRODUCT:
+                    hits.append(self.marks.hits(texts[lo + len(hits)]))
+                    size += len(hits[-1])
+                sizes = np.array([len(x) for x in hits])
+                some = np.flatnonzero(sizes)
+                if len(some):
+                    raw[lo + some] = np.add.reduceat(self.direct[np.concatenate(hits)], np.r_[0, np.cumsum(sizes[some])[:-1]], axis=0)
+                lo += len(hits)
+            raw /= np.sqrt(np.maximum([len(x) for x in texts], 1))[:, None]
+        return np.round(raw + self.offset, DIGITS)
+
+    def decide(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The class of the greatest value and the score of each text."""
+        value = self.values(texts)
+        best = value.argmax(1)
+        return best, np.clip((value[np.arange(len(best)), best] + 1) / 2, 0, 1)
 
 
 def whitening(marks: Landmarks, texts: list[np.ndarray]) -> np.ndarray:
@@ -171,8 +190,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text: str = "text", int
         m = sent.value
         best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for lo, hi, data, offsets in pieces(texts, 1 << 20):
-            for i in range(hi - lo):
-                best[lo + i], score[lo + i] = m.decide(grams(data[offsets[i] : offsets[i + 1]]))
+            best[lo:hi], score[lo:hi] = m.decide([grams(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
         return pa.StructArray.from_arrays([pa.array(m.classes, pa.string()).take(pa.array(best)), pa.array(score)], ["lang", "score"])
 
     none = F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
