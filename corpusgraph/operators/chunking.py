@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusgraph.operators import cleaning
+from corpusgraph.operators import cleaning, subwords
 
 
 def token_count(text: Column) -> Column:
@@ -30,20 +30,21 @@ def pack(sizes: list[int], most: int, overlap: int) -> Iterator[tuple[int, int]]
         yield begin, len(sizes) - 1
 
 
-def pack_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 800, overlap: int = 2) -> DataFrame:
-    """key, chunk, first, last, tokens, text: sentences packed greedily up to most tokens.
+def pack_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 800, overlap: int = 2, counter: subwords.TokenCounter | None = None) -> DataFrame:
+    """key, chunk, first, last, tokens, text: sentences packed greedily up to most tokens, which counter counts (words between blanks by default).
 
     A sentence that doesn't fit ends the chunk; the next starts with the last overlap sentences, or without
     them if they leave no room. A sentence of over most tokens makes a chunk of its own. The fold is
     sequential within a document, so it runs over Arrow batches; nothing is shuffled.
     """
     kind = dict(docs.dtypes)[key]
+    sent = docs.sparkSession.sparkContext.broadcast(counter or subwords.Words())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             source, rows = [], []
             for i, s in enumerate(batch.column("s").to_pylist()):
-                sizes = [len(x.split()) for x in s]
+                sizes = sent.value.sizes(s)
                 for n, (lo, hi) in enumerate(pack(sizes, most, overlap)):
                     source.append(i)
                     rows.append((n, lo, hi, sum(sizes[lo : hi + 1]), " ".join(s[lo : hi + 1])))

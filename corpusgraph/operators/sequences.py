@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusgraph.operators import subwords
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos (from 0), line: the lines of each text; null text is one empty line."""
@@ -38,13 +39,13 @@ def tail_of_previous(rows: DataFrame, items: str, n: int, key: str = "doc_id", o
     return rows.withColumn("overlap", F.coalesce(tail, F.array().cast("array<string>")))
 
 
-def within_budget(rows: DataFrame, text: str, budget: int, least: int = 50, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """rows that fit in a budget of tokens (4 code points each), with kept.
+def within_budget(rows: DataFrame, text: str, budget: int, least: int = 50, key: str = "conv_id", order: str = "turn", counter: subwords.TokenCounter | None = None) -> DataFrame:
+    """rows that fit in a budget of tokens, with kept. Tokens are counted by counter; by default, and where a text is cut, one is 4 code points.
 
     The row that crosses the budget is cut to what is left and marked by '...', if over least tokens are left;
     later rows go.
     """
-    rows = rows.withColumn("tokens", F.floor(F.char_length(text) / 4).cast("long"))
+    rows = subwords.count_tokens(rows, counter, text) if counter else rows.withColumn("tokens", F.floor(F.char_length(text) / 4).cast("long"))
     run = W.partitionBy(key).orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     left = F.lit(budget) - (F.sum("tokens").over(run) - F.col("tokens"))
     rows = rows.withColumn("left", left).where((F.col("left") >= F.col("tokens")) | (F.col("left") > least))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusgraph.operators import search, sequences
+from corpusgraph.operators import search, sequences, subwords
 from corpusgraph.plans.registry import query
 from corpusgraph.plans.session import table
 
@@ -82,6 +82,13 @@ def win_budget(spark: SparkSession, d: str) -> DataFrame:
     return sequences.within_budget(table(spark, d, "conversations"), "text", 150).select("conv_id", "turn", "kept")
 
 
+@query()
+def win_budget_subwords(spark: SparkSession, d: str) -> DataFrame:
+    """win_budget by tokens of a byte-pair vocabulary; held against a plain loop in tests."""
+    kept = sequences.within_budget(table(spark, d, "conversations"), "text", 150, counter=subwords.BytePairs.read(spark))
+    return kept.select("conv_id", "turn", "kept")
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE label = 2 ORDER BY vec_id LIMIT 1000")
 def flt_level(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").where("label = 2").select("vec_id", "label").orderBy("vec_id").limit(1000)

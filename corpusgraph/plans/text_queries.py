@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import chunking, cleaning
+from corpusgraph.operators import chunking, cleaning, subwords
 from corpusgraph.plans.registry import query
 from corpusgraph.plans.session import table
 
@@ -144,6 +144,18 @@ def chk_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", chunking.token_count(F.col("text")).alias("tokens"))
 
 
+@query()
+def chk_subwords(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of a byte-pair vocabulary; held against a plain merge loop in tests."""
+    return subwords.count_tokens(_docs(spark, d), subwords.BytePairs.read(spark)).select("doc_id", "tokens")
+
+
+@query()
+def chk_section_subwords(spark: SparkSession, d: str) -> DataFrame:
+    """chk_section by tokens of a byte-pair vocabulary."""
+    return chunking.pack_sentences(_docs(spark, d), most=400, counter=subwords.BytePairs.read(spark))
+
+
 _PACK = rf"""WITH RECURSIVE d AS (SELECT doc_id, {_SENTENCES} AS s FROM documents),
 t AS (SELECT doc_id, s, list_transform(s, lambda x: len(regexp_split_to_array(x, '\s+'))) AS t FROM d WHERE len(s) > 0),
 p AS (SELECT doc_id, s, list_transform(range(0, len(t) + 1), lambda i: coalesce(list_sum(t[1:i]), 0)::INT) AS p FROM t),
