@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import chunking, cleaning, subwords
+from corpusgraph.operators import boundaries, chunking, cleaning, subwords
 from corpusgraph.plans.registry import query
 from corpusgraph.plans.session import table
 
@@ -102,6 +102,29 @@ def seg_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.posexplode(cleaning.sentences(F.col("text"))).alias("at", "sentence")).withColumn("at", F.col("at").cast("long"))
 
 
+_CORE = rf"regexp_replace(regexp_replace(%s, {_quoted(boundaries.CLOSERS)}, ''), {_quoted(boundaries.QUOTES)}, '')"
+_LIKE = "(%s * ln(greatest(1e-12, least(%s, 1 - 1e-12))) + (%s - %s) * ln(1 - greatest(1e-12, least(%s, 1 - 1e-12))))"
+
+
+@query(rf"""WITH w AS (SELECT {_CORE % 'w'} AS c FROM (SELECT unnest(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS w FROM documents)),
+t AS (SELECT regexp_replace(lower(c), '[.,;:!?…]+$', '') AS type, regexp_matches(c, '\.$') AND NOT regexp_matches(c, '([!?…]|\.\.)$') AS dot FROM w),
+c AS (SELECT type, count(*) AS n, count_if(dot)::BIGINT AS dotted, length(regexp_replace(type, '[^\p{{L}}]', '', 'g'))::DOUBLE AS letters, length(type) - length(replace(type, '.', '')) AS inside FROM t GROUP BY type),
+p AS (SELECT sum(dotted)::DOUBLE / sum(n) AS p FROM c),
+s AS (SELECT type, n, dotted, -2 * ({_LIKE % ('dotted', 'p', 'n', 'dotted', 'p')} - {_LIKE % ('dotted', '0.99::DOUBLE', 'n', 'dotted', '0.99::DOUBLE')}) * exp(-letters) * (inside + 1) * pow(letters, -(n - dotted)) AS x FROM c, p WHERE dotted > 0 AND letters > 0)
+SELECT type, n, dotted, CASE WHEN x > 0 THEN round(x, 6) ELSE 0 END AS score, x >= 0.3 AS abbreviation FROM s""")
+def seg_abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    """Types that stand before a period, and which of them counts tell to be abbreviations."""
+    rows = boundaries.explode_words(_docs(spark, d), "doc_id", "text")
+    return boundaries.abbreviations(boundaries.type_counts(rows))
+
+
+@query()
+def seg_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences by boundaries learnt from the same texts; held against texts of known boundaries in tests."""
+    docs = _docs(spark, d)
+    return boundaries.Boundaries.learn(docs).split(docs).select("doc_id", F.posexplode("sentences").alias("at", "sentence"))
+
+
 @query(rf"""SELECT doc_id, coalesce(CASE WHEN len(regexp_split_to_array(x, '\s+')) < 2 THEN 'Too short' WHEN regexp_matches(x, '^\p{{Ll}}') THEN 'Starts lowercase'
 WHEN NOT regexp_matches(x, '[.?!")\]]$') THEN 'No terminal punctuation' END, 'kept') AS reason, count(*) AS n FROM (SELECT doc_id, unnest({_SENTENCES}) AS x FROM documents) GROUP BY ALL""")
 def seg_filter(spark: SparkSession, d: str) -> DataFrame:
