@@ -46,6 +46,12 @@ def overlap_sql(hits: str) -> str:
     return _OVER.replace("FROM h JOIN", f"FROM {hits} h JOIN").removeprefix("o AS (").removesuffix(")")
 
 
+def small_kept_sql(hits: str, scored: str, k: int) -> str:
+    """The k best by new scores; the hits as they are of queries that have no more than k."""
+    many = f"query_id IN (SELECT query_id FROM {hits} GROUP BY query_id HAVING count(*) > {k})"
+    return f"SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM {scored} WHERE {many} QUALIFY rank <= {k} UNION ALL SELECT query_id, item_id, score, rank FROM {hits} WHERE NOT {many}"
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Passages (query_id, query, query_vector) and documents (item_id, text, vector)."""
     queries, items = _asked(spark, d)
@@ -120,7 +126,7 @@ def llm_hyde(spark: SparkSession, d: str) -> DataFrame:
     return models.hypothetical(_asked(spark, d)[0])
 
 
-@query(f"SELECT item_id // 10 AS query_id, (item_id % 10)::INT AS part, text AS query FROM ({_SUB})")
+@query(f"SELECT item_id // 1000 AS query_id, (item_id % 1000)::INT AS part, text AS query FROM ({_SUB})")
 def llm_decompose(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d)[0].select("query_id", F.posexplode(strategies.sub_queries(F.col("query"))).alias("part", "query"))
 
@@ -154,14 +160,14 @@ def _dense(k: int) -> str:
 
 
 @query(_hits(10) + f""", {_V}, x AS ({_dense(10)}), fu AS ({fused_sql('x', 'h', 0.25, 10)})
-SELECT 'hybrid' AS kind, query_id, item_id, score, rank FROM fu UNION ALL SELECT 'vector', query_id, item_id, score, rank FROM x""")
+SELECT 'hybrid' AS kind, query_id, item_id, score, rank FROM fu UNION ALL SELECT 'vector', query_id, item_id, score, rank FROM x UNION ALL SELECT 'keyword', query_id, item_id, score, rank FROM h""")
 def hyb_dispatch(spark: SparkSession, d: str) -> DataFrame:
     queries, items = _vectors(spark, d)
-    out = [strategies.execute_search(queries, items, 10, kind, 0.25).select(F.lit(kind).alias("kind"), "query_id", "item_id", "score", "rank") for kind in ("hybrid", "vector")]
-    return out[0].unionAll(out[1])
+    out = [strategies.execute_search(queries, items, 10, kind, 0.25).select(F.lit(kind).alias("kind"), "query_id", "item_id", "score", "rank") for kind in ("hybrid", "vector", "keyword")]
+    return out[0].unionAll(out[1]).unionAll(out[2])
 
 
-@query(_hits(10) + f""", o AS ({overlap_sql('h')}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM o QUALIFY rank <= 4)
+@query(_hits(10) + f""", o AS ({overlap_sql('h')}), r AS ({small_kept_sql('h', 'o', 4)})
 SELECT true AS enabled, query_id, item_id, score, rank FROM r UNION ALL SELECT false, query_id, item_id, score, rank FROM h""")
 def rr_apply(spark: SparkSession, d: str) -> DataFrame:
     queries, items = _asked(spark, d)
@@ -170,7 +176,7 @@ def rr_apply(spark: SparkSession, d: str) -> DataFrame:
     return out[0].unionAll(out[1])
 
 
-@query(_hits(10) + f", o AS ({overlap_sql('h')}) SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM o QUALIFY rank <= 3")
+@query(_hits(10) + f", o AS ({overlap_sql('h')}) {small_kept_sql('h', 'o', 3)}")
 def top_rerank(spark: SparkSession, d: str) -> DataFrame:
     """The three best of each query's hits by a new score; ties go to the smaller id."""
     queries, items = _asked(spark, d)
@@ -194,7 +200,7 @@ _MEAN = f"""SELECT query_id, list(m ORDER BY i) AS v FROM (SELECT query_id, i, a
 _HYDE = f"m AS MATERIALIZED ({_MEAN}), x AS ({dense_sql('m', 'ev', 50)})"
 
 
-@query(f"WITH {_V}, {_HYDE}, o AS ({overlap_sql('x')}) SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM o QUALIFY rank <= 10")
+@query(f"WITH {_V}, {_HYDE}, o AS ({overlap_sql('x')}) {small_kept_sql('x', 'o', 10)}")
 def hyde_search(spark: SparkSession, d: str) -> DataFrame:
     """Hypothetical passages' vectors averaged with the query's, the first hits reranked."""
     queries, items = _asked(spark, d)
@@ -208,7 +214,7 @@ def _chunk_rows(items: DataFrame) -> DataFrame:
 
 
 @query(_hits(50) + f""", {_V}, x AS ({_dense(50)}), fu AS ({fused_sql('x', 'h', 0.5, 50)}), o AS ({overlap_sql('fu')}),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM o QUALIFY rank <= 10)
+r AS ({small_kept_sql('fu', 'o', 10)})
 SELECT query_id, rank, item_id AS chunk_id, source AS book_id, lang AS section, md5(coalesce(text, '')) AS text, score AS similarity FROM r JOIN documents ON doc_id = item_id""")
 def svc_search(spark: SparkSession, d: str) -> DataFrame:
     """The search service: hybrid, 50 hits first, reranked to 10."""

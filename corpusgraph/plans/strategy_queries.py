@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusgraph.operators import chunking, cleaning, evaluation, strategies
 from corpusgraph.plans.registry import query
 from corpusgraph.plans.scratch import Scratch
-from corpusgraph.plans.search_queries import _BM25
+from corpusgraph.plans.search_queries import _BM25, _OVER
 from corpusgraph.plans.session import table
 from corpusgraph.plans.text_queries import _COS, _SENTENCES
 from corpusgraph.sources import files
@@ -93,11 +93,25 @@ def st_none(spark: SparkSession, d: str) -> DataFrame:
     return strategies.get("none")(*_asked(spark, d), 10)
 
 
-_SUB = r"""SELECT item_id * 10 + part AS item_id, text FROM (SELECT item_id, unnest(CASE WHEN len(w) >= 4 THEN [text, array_to_string(w[1:(len(w) + 1) // 2], ' '), array_to_string(w[(len(w) + 1) // 2 + 1:], ' ')] ELSE [text] END) AS text, unnest(range(0, CASE WHEN len(w) >= 4 THEN 3 ELSE 1 END)) AS part FROM (SELECT item_id, text, regexp_split_to_array(trim(text), '\s+') AS w FROM benchmark))"""
+_PARTS = r"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '(?i)\s+(?:and|or|but)\s+|[?;]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+#: Sub-queries: item_id * 1000 + part.
+_SUB = f"SELECT item_id * 1000 + part AS item_id, text FROM (SELECT item_id, unnest(p) AS text, unnest(range(0, len(p))) AS part FROM (SELECT item_id, CASE WHEN len({_PARTS}) > 1 THEN {_PARTS} ELSE [text] END AS p FROM benchmark))"
 
 
-@query(_BM25.replace("FROM benchmark", f"FROM ({_SUB})") + """, m AS (SELECT query_id // 10 AS query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, string_agg((query_id % 10)::VARCHAR, ',' ORDER BY query_id % 10) AS contributions FROM h GROUP BY query_id // 10, item_id)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM m QUALIFY rank <= 10""")
+def pooled_sql(hits: str, by: str = "query_id") -> str:
+    """Hits of sub-queries (query_id * 1000 + part) as one list a query: items where they first occur, in the order of parts and ranks."""
+    own = by.replace("query_id", "query_id // 1000")
+    named = by.replace("query_id", "query_id // 1000 AS query_id")
+    first = f"SELECT {named}, query_id % 1000 AS part, item_id, score, rank AS place FROM {hits} QUALIFY row_number() OVER (PARTITION BY {own}, item_id ORDER BY query_id % 1000, rank) = 1"
+    return f"SELECT {by}, item_id, score, row_number() OVER (PARTITION BY {by} ORDER BY part, place)::INT AS rank, count(*) OVER (PARTITION BY {by}) AS size FROM ({first})"
+
+
+#: After the hits of all sub-queries (h, 50 each): pl, the pool, and de, the 10 best of it by shared words.
+_DECOMPOSED = f"""pl AS MATERIALIZED ({pooled_sql('h')}), {_OVER.replace("o AS (", "ol AS (").replace("FROM h JOIN", "FROM pl h JOIN").replace("h.item_id, round", "h.item_id, size, round")},
+de AS (SELECT query_id, item_id, score, rank FROM pl WHERE size <= 10 UNION ALL SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::INT AS rank FROM ol WHERE size > 10 QUALIFY rank <= 10)"""
+
+
+@query(_BM25.replace("FROM benchmark", f"FROM ({_SUB})").replace("QUALIFY rank <= 10", "QUALIFY rank <= 50") + f", {_DECOMPOSED} SELECT query_id, item_id, score, rank FROM de")
 def st_decomp(spark: SparkSession, d: str) -> DataFrame:
     return strategies.get("decomposition")(*_asked(spark, d), 10)
 
