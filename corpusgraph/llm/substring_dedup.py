@@ -300,8 +300,7 @@ def _shared_segments(plain: DataFrame, scratch: Scratch, window: int, partitions
     told = ranked.join(several, "anchor", "left").select(
         *pick, ((F.col("last") > F.col("first")) | (F.col("most") == 2)).alias("copies"), ((F.col("doc_id") == F.col("first")) & F.col("several").isNotNull()).alias("narrow")
     )
-    told = told.where("copies OR narrow").unionAll(rows.where("copy = 1").select(*pick, F.lit(True), F.lit(False)))
-    return scratch.save(told, "told")
+    return told.where("copies OR narrow").unionAll(rows.where("copy = 1").select(*pick, F.lit(True), F.lit(False)))
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -328,7 +327,7 @@ def _spans(docs: DataFrame, window: int, key: str, text: str) -> tuple[DataFrame
     told = _shared_segments(plain, scratch, window, partitions, salt)
     lists = told.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("at", "n", "anchor", "copies", "narrow")).alias("picks"))
     texts = scratch.save(plain.join(lists, ["doc_id", "text_hash"]), "texts")
-    scratch.free("shared", "ranked", "told")
+    scratch.free("shared", "ranked")
     picked = scratch.save(texts.mapInArrow(_picker(window), _PICKED), "picked")
     texts = texts.drop("picks")
 
@@ -351,13 +350,13 @@ def _spans(docs: DataFrame, window: int, key: str, text: str) -> tuple[DataFrame
     scratch.free("windows")
     dealt = runs.where(f"kind = {GROUP}").select("anchor", "doc_id", F.col("id").alias("bid"), "body")
     dealt = dealt.repartition(4 * partitions, "anchor").sortWithinPartitions("anchor", "doc_id", "bid")
-    found = scratch.save(dealt.mapInArrow(_parsed(window), "bid long, owner long, lo array<int>, hi array<int>"), "found")
+    found = dealt.mapInArrow(_parsed(window), "bid long, owner long, lo array<int>, hi array<int>")
     members = runs.where(f"kind = {MEMBER}").join(found, F.col("id") == F.col("bid"))
     whole = F.array(F.struct(F.col("at").alias("lo"), (F.col("at") + F.col("n")).alias("hi")))
     parts = F.transform(F.arrays_zip("lo", "hi"), lambda x: F.struct((F.col("at") + x["lo"]).alias("lo"), (F.col("at") + x["hi"]).alias("hi")))
     parsed = members.select("doc_id", "text_hash", F.explode(F.when(F.col("doc_id") > F.col("owner"), whole).otherwise(parts)).alias("span"))
     spans = scratch.save(copies.unionAll(parsed).groupBy("doc_id", "text_hash").agg(F.collect_set("span").alias("spans")), "spans")
-    scratch.free("picked", "runs", "found")
+    scratch.free("picked", "runs")
     return spans, texts
 
 
