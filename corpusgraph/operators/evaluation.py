@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from corpusgraph.functions import keys
 from corpusgraph.operators import chunking, search
 from corpusgraph.plans.scratch import Scratch
 
@@ -63,6 +64,15 @@ def factor_stats(rows: DataFrame, factors: Sequence[str], score: str) -> DataFra
     )
 
 
+def difficulty(rows: DataFrame, by: str, metrics: Sequence[str]) -> DataFrame:
+    """difficulty ('unknown' for null), the means of the metrics' valid scores (numbers) to four digits, 0 where a group has none, and n."""
+    means = []
+    for m in metrics:
+        number = F.col(m).cast("string").try_cast("double")
+        means.append(F.coalesce(F.round(F.avg(F.when(keys.valid_score(F.col(m).cast("string")), number)), 4), F.lit(0.0)).alias(m))
+    return rows.groupBy(F.coalesce(F.col(by), F.lit("unknown")).alias("difficulty")).agg(*means, F.count("*").alias("n"))
+
+
 def effect_size(rows: DataFrame, factor: str, score: str) -> DataFrame:
     """effect: sample variance of the levels' means over that of all scores; 0 where either is missing or 0."""
     means = rows.groupBy(factor).agg(F.avg(score).alias("m")).agg(F.var_samp("m").alias("between"))

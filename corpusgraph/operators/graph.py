@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
 from corpusgraph.plans.scratch import Scratch
 
@@ -12,10 +16,18 @@ from corpusgraph.plans.scratch import Scratch
 EDGE_WORDS = ("the", "a", "an", "of", "in", "on", "for", "to", "and")
 
 
+@F.arrow_udf(StringType())
+def _compatible(names: pa.Array) -> pa.Array:
+    """Unicode NFKC. A batch of ASCII alone comes back as it is."""
+    if pa.compute.all(pa.compute.string_is_ascii(names), min_count=0).as_py() is not False:
+        return names.cast(pa.string())
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in names.to_pylist()], pa.string())
+
+
 def normalised_name(name: Column) -> Column:
-    """Lower case, without edge words, punctuation and doubled blanks; '' if nothing is left."""
+    """NFKC, lower case, without edge words, punctuation and doubled blanks; '' if nothing is left."""
     words = "|".join(EDGE_WORDS)
-    text = F.trim(F.lower(F.coalesce(name, F.lit(""))))
+    text = F.trim(F.lower(_compatible(F.coalesce(name, F.lit("")))))
     text = F.regexp_replace(F.regexp_replace(text, rf"^(({words})(\s+|$))+", ""), rf"((^|\s+)({words}))+$", "")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", ""), r"\s+", " "))
 
@@ -55,6 +67,33 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
     return ranks
 
 
+def pagerank_by_deltas(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> tuple[DataFrame, list[int]]:
+    """id, pagerank, as pagerank() would reach it, and the number of vertices that sent in each round.
+
+    A vertex holds back what its rank has gained since it last sent, and sends it on once that exceeds the tolerance; when nobody
+    does, or after `most` rounds, the ranks stand. What is held back is at most the tolerance a vertex. A round joins the arcs
+    with the senders alone: where these are few, Spark broadcasts them, by the size of their table, and arcs aren't shuffled; where they are many, both
+    sides are plain tables, so that Spark can split the arcs of a hub.
+    """
+    scratch = Scratch(vertices.sparkSession, "deltas")
+    degree = degrees(vertices, edges)
+    arcs = both_ways(edges).groupBy("src", "dst").agg(F.count("*").alias("n")).join(degree.withColumnRenamed("id", "src"), "src")
+    arcs = scratch.save(arcs.select("src", "dst", (F.col("n") / F.col("degree")).alias("w")), "arcs")
+    start = F.lit(1.0 - damping)
+    state, senders, sent = scratch.save(vertices.select("id", start.alias("pagerank"), start.alias("held")).distinct(), "0"), None, []
+    for i in range(1, most + 1):
+        senders = scratch.save(state.where(F.abs("held") > tolerance).select(F.col("id").alias("src"), F.col("held").alias("gain")), f"senders{i}")
+        if not (count := senders.count()):
+            break
+        sent.append(count)
+        gains = arcs.join(senders, "src").groupBy(F.col("dst").alias("id")).agg((F.lit(damping) * F.sum(F.col("gain") * F.col("w"))).alias("gain"))
+        kept = F.when(F.abs("held") > tolerance, 0.0).otherwise(F.col("held"))
+        gain = F.coalesce("gain", F.lit(0.0))
+        state = scratch.save(state.join(gains, "id", "left").select("id", (F.col("pagerank") + gain).alias("pagerank"), (kept + gain).alias("held")), f"{i}")
+        scratch.free(f"{i - 1}", f"senders{i}")
+    return state.select("id", "pagerank"), sent
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
     """id, component: the smallest id that a vertex is connected with, by least labels and pointer jumping."""
     scratch = Scratch(vertices.sparkSession, "labels")
@@ -133,12 +172,12 @@ def chunk_degrees(paths: DataFrame) -> DataFrame:
 def merge_nodes(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Merges rows (normalized_name, entity_type, name, chunk_ids, seq) by name and type.
 
-    A stored node keeps its name; chunk ids are appended in order, repeats kept. Among new rows the first creates the node.
+    A stored node keeps its name; chunk ids are appended in order, each once, so that merging again changes nothing. Among new rows the first creates the node.
     """
     rows = stored.withColumn("late", F.lit(0)).unionByName(new.withColumn("late", F.lit(1)))
     order = F.struct("late", "seq")
     parts = F.array_sort(F.collect_list(F.struct("late", "seq", "chunk_ids")))
-    return rows.groupBy("normalized_name", "entity_type").agg(F.min_by("name", order).alias("name"), F.flatten(F.transform(parts, lambda x: x["chunk_ids"])).alias("chunk_ids"))
+    return rows.groupBy("normalized_name", "entity_type").agg(F.min_by("name", order).alias("name"), F.array_distinct(F.flatten(F.transform(parts, lambda x: x["chunk_ids"]))).alias("chunk_ids"))
 
 
 def merge_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -177,7 +177,7 @@ def jn_crossrun(spark: SparkSession, d: str) -> DataFrame:
 _SEQ = f"SELECT *, {_NORM} AS normalized_name, {_TYPE} AS entity_type FROM ({_MENTIONS})"
 
 
-@query(f"""SELECT normalized_name, entity_type, arg_min(name, (source_id % 3 <> 0, seq)) AS name, string_agg(source_id, ',' ORDER BY source_id % 3 <> 0, seq) AS chunk_ids FROM ({_SEQ}) WHERE normalized_name <> '' GROUP BY ALL""")
+@query(f"""SELECT normalized_name, entity_type, arg_min(name, (source_id % 3 <> 0, seq)) AS name, string_agg(source_id, ',' ORDER BY source_id % 3 <> 0, seq) AS chunk_ids FROM (SELECT * FROM ({_SEQ}) WHERE normalized_name <> '' QUALIFY row_number() OVER (PARTITION BY normalized_name, entity_type, source_id ORDER BY seq) = 1) GROUP BY ALL""")
 def grf_nodes(spark: SparkSession, d: str) -> DataFrame:
     rows = _typed(spark, d).where("normalized_name <> ''").withColumn("chunk_ids", F.array("source_id"))
     rows = rows.select("normalized_name", "entity_type", "name", "chunk_ids", "seq", "source_id")

@@ -223,9 +223,17 @@ def agg_best(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).groupBy("source").agg(F.round(F.avg("quality"), 6).alias("score")).orderBy(F.desc("score"), "source").limit(3)
 
 
-@query("SELECT lang, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+_VALID = "CASE WHEN try_cast(%s AS DOUBLE) IS NOT NULL AND NOT isnan(try_cast(%s AS DOUBLE)) THEN try_cast(%s AS DOUBLE) END"
+_SCORE = "CASE WHEN doc_id % 5 = 0 THEN 'none' WHEN doc_id % 7 = 0 THEN 'NaN' WHEN lang = 'es' THEN NULL ELSE quality::VARCHAR END"
+
+
+@query(f"""SELECT coalesce(lang, 'unknown') AS difficulty, coalesce(round(avg({_VALID.replace('%s', 's')}), 4), 0) AS quality, coalesce(round(avg(toxic), 4), 0) AS toxic, count(*) AS n
+FROM (SELECT lang, toxic, {_SCORE} AS s FROM documents JOIN labels USING (doc_id)) GROUP BY ALL""")
 def agg_difficulty(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(spark, d).groupBy("lang").agg(F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"), F.count("*").alias("n"))
+    """Means by language; some scores are no numbers, and one language has none."""
+    i = F.col("doc_id")
+    score = F.when(i % 5 == 0, "none").when(i % 7 == 0, "NaN").when(F.col("lang") == "es", F.lit(None)).otherwise(F.col("quality").cast("string"))
+    return evaluation.difficulty(_scored(spark, d).withColumn("quality", score), "lang", ["quality", "toxic"])
 
 
 @query("WITH m AS (SELECT lang, avg(quality) AS q FROM documents JOIN labels USING (doc_id) GROUP BY lang), b AS (SELECT q AS base FROM m WHERE lang = 'en') SELECT lang, round(CASE WHEN base > 0 THEN (q - base) / base * 100 ELSE 0 END, 6) AS percent FROM m, b")
