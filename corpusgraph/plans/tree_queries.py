@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import tree
+from corpusgraph.operators import layout, tree
 from corpusgraph.plans.registry import query
 from corpusgraph.plans.session import table
 
@@ -49,6 +49,12 @@ def tree_reduce(spark: SparkSession, d: str) -> DataFrame:
     return tree.reduced(_leaves(spark, d)).select("grp", "id", F.transform("coordinates", lambda x: F.round(x, 6)).alias("coordinates"))
 
 
+@query()
+def tree_layout(spark: SparkSession, d: str) -> DataFrame:
+    """Coordinates by neighbour embedding; tests hold planted clusters, neighbourhoods and equal results over partitionings."""
+    return layout.embedded(_leaves(spark, d)).select("grp", "id", F.transform("coordinates", lambda x: F.round(x, 6)).alias("coordinates"))
+
+
 _CLUSTERED = "SELECT label AS grp, vec_id AS id, vec_id // 3 % 20 AS cluster, embedding, CASE WHEN vec_id % 4 <> 0 THEN 's' || (vec_id % 4 + vec_id // 60 % 3) ELSE '' END AS section FROM embeddings"
 
 
