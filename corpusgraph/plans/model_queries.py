@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import models, search, strategies
+from corpusgraph.operators import late, models, search, strategies
 from corpusgraph.plans.registry import query
 from corpusgraph.plans.scratch import Scratch
 from corpusgraph.plans.search_queries import _BM25, _DOT, _OVER, _TOKENS, _bm25
@@ -183,6 +183,23 @@ def top_rerank(spark: SparkSession, d: str) -> DataFrame:
     return strategies.reranked(_bm25(spark, d), queries, items, 3)
 
 
+_GRAMS = "list_distinct(list_transform(range(1, greatest(1, length(%s)) + 1), lambda i: substr('^' || %s || '$', i, 3)))"
+
+
+@query(_hits(10) + f""", qw AS MATERIALIZED (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS % 'text'})) AS u FROM benchmark),
+dw AS MATERIALIZED (SELECT item_id, unnest(list_distinct({_TOKENS % 'text'})) AS v FROM (SELECT doc_id AS item_id, text FROM documents WHERE doc_id IN (SELECT item_id FROM h))),
+dc AS (SELECT v AS u, count(*) AS df FROM (SELECT unnest(list_distinct({_TOKENS % 'text'})) AS v FROM documents) WHERE v IN (SELECT u FROM qw) GROUP BY v),
+qi AS MATERIALIZED (SELECT query_id, u, ln(1 + ((SELECT count(*) FROM documents) - coalesce(df, 0) + 0.5::DOUBLE) / (coalesce(df, 0) + 0.5::DOUBLE)) AS idf FROM qw LEFT JOIN dc USING (u)),
+gu AS (SELECT u, g, unnest(g) AS t FROM (SELECT DISTINCT u, {_GRAMS % ('u', 'u')} AS g FROM qw)), gv AS (SELECT v, g, unnest(g) AS t FROM (SELECT DISTINCT v, {_GRAMS % ('v', 'v')} AS g FROM dw)),
+si AS MATERIALIZED (SELECT u, v, count(*) / sqrt(any_value(len(gu.g)) * any_value(len(gv.g))::DOUBLE) AS sim FROM gu JOIN gv USING (t) GROUP BY u, v),
+be AS (SELECT query_id, item_id, u, max(sim) AS best FROM h JOIN qw USING (query_id) JOIN si USING (u) JOIN dw ON dw.item_id = h.item_id AND dw.v = si.v GROUP BY ALL),
+o AS (SELECT h.query_id, h.item_id, round(sum(idf * coalesce(best, 0)) / sum(idf), 6) AS score FROM h JOIN qi USING (query_id) LEFT JOIN be ON be.query_id = h.query_id AND be.item_id = h.item_id AND be.u = qi.u GROUP BY ALL) {small_kept_sql('h', 'o', 5)}""".replace("be AS (SELECT query_id, item_id, u, max(sim)", "be AS (SELECT h.query_id, h.item_id, u, max(sim)"))
+def rr_late(spark: SparkSession, d: str) -> DataFrame:
+    """The five best of each query's hits by late interaction."""
+    queries, items = _asked(spark, d)
+    return late.reranked(_bm25(spark, d), queries, items, 5)
+
+
 _EV = "ev AS MATERIALIZED (SELECT vec_id AS item_id, embedding::DOUBLE[] AS v FROM embeddings), qe AS MATERIALIZED (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0)"
 
 
