@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from corpusgraph.functions import keys
+from corpusgraph.functions import keys, structured
 from corpusgraph.operators import evaluation, search
 from corpusgraph.operators.vector_index import VectorIndex
 from corpusgraph.plans.registry import query
@@ -297,6 +297,23 @@ def api_struct(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json(keys.strip_fences(fenced), "k int").getField("k").alias("k"))
 
 
+_K = "(json_extract_string(props, '$.k'))::BIGINT"
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 2, 3, 7) THEN {_K} END AS k,
+CASE event_id % 8 WHEN 4 THEN '$.k: integer expected, not string' WHEN 5 THEN '$.k: missing' WHEN 6 THEN 'not an object' ELSE '' END AS fault FROM events""")
+def api_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Objects that are fenced, cut, with a comma too much, of a wrong type, without a key, missing, or amid prose: repaired or told what is wrong."""
+    i, k = F.col("event_id") % 8, F.get_json_object("props", "$.k")
+    text = (
+        F.when(i == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(i == 1, F.concat(F.lit('{"k": '), k, F.lit(', "why": "it was cut he')))
+        .when(i == 2, F.concat(F.lit('{"list": [1, 2,], "k": '), k, F.lit(",}"))).when(i == 3, F.concat(F.lit('Sure! Here: {"a": {"b": [{"c": "x, ]"}]}, "k": '), k, F.lit("} Hope it helps.")))
+        .when(i == 4, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).when(i == 5, F.lit('{"other": 1}')).when(i == 6, F.lit("I can't say.")).otherwise(F.concat(F.lit('{"k": '), k, F.lit(', "more')))
+    )
+    rows = table(spark, d, "events").select("event_id", structured.checked(text, {"k": "integer"}).alias("x"))
+    return rows.select("event_id", F.try_variant_get("x.value", "$.k", "bigint").alias("k"), "x.fault")
+
+
 @query("SELECT event_type, count(*) FILTER (value IS NOT NULL AND NOT isnan(value)) AS valid, round(avg(value) FILTER (NOT isnan(value)), 6) AS mean FROM events GROUP BY event_type")
 def flt_valid(spark: SparkSession, d: str) -> DataFrame:
     ok = keys.valid_score(F.col("value"))
