@@ -145,8 +145,8 @@ class Lattice:
         """For each edge, its end plus the running share of the ways into that end that it and those before it carry."""
         far = target - home[target - 1]
         long = (self.end - self.begin) > LONG
-        side = np.flatnonzero(~np.repeat(long, self.end - self.begin)[target - 1])
-        order = side[np.argsort(far[side], kind="stable")]
+        side = np.flatnonzero(~np.repeat(long, self.end - self.begin)[target - 1]) if long.any() else slice(None)
+        order = np.argsort(far[side], kind="stable") if isinstance(side, slice) else side[np.argsort(far[side], kind="stable")]
         cuts = np.r_[0, np.flatnonzero(np.diff(far[order])) + 1, len(order)] if len(order) else np.zeros(1, np.int64)
         forward = np.zeros(len(home) + 1)
         inner = self.source != home[self.source]
@@ -292,7 +292,7 @@ def encode(docs: DataFrame, model: str = MODEL, sharpness: float = 1.0, seed: in
     Segmentations are sampled; the key, the seed and a place in the text fix the draw, so equal rows agree on
     every run and over any partitioning. A null key counts as 0. Empty text gives the piece of the leading
     space. lossless tells that decoding the ids gave the text back (true for null text; null where check is
-    off). Whole texts are encoded, about 2 MB of them at a time. No piece crosses the borders of a stretch (a
+    off). Whole texts are encoded, about 512 KB of them at a time. No piece crosses the borders of a stretch (a
     word with the spaces before it), so stretches of one content share one lattice; only draws are made anew.
     Other columns are ignored; an empty table gives no rows.
     """
@@ -306,7 +306,7 @@ def encode(docs: DataFrame, model: str = MODEL, sharpness: float = 1.0, seed: in
             sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(whole.column("text")), 0)).astype(np.int64)
             lo = 0
             while lo < whole.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), 1 << 21, "right")) + lo)
+                hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), 1 << 19, "right")) + lo)
                 batch, lo = whole.slice(lo, hi - lo), hi
                 keys, _ = exchange.ids(batch.column("doc_id"))
                 texts = batch.column("text").to_pylist()
