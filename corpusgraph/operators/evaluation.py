@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from corpusgraph.functions import keys
-from corpusgraph.operators import chunking, search
+from corpusgraph.operators import chunking, cleaning, models, search
 from corpusgraph.plans.scratch import Scratch
 
 #: Collections, the alpha grid, and what each strategy allows (alphas, reranking, collections).
@@ -142,6 +142,60 @@ def correctness(answer: Column, reference: Column, a: Column, b: Column) -> Colu
     return F.round(F.lit(0.75) * f1 + F.lit(0.25) * chunking.cosine(a, b), 6)
 
 
+#: The share of a claim's words that one sentence of a context must hold, and of a reference's words that a context must hold to be of use.
+SUPPORTED, USEFUL = 0.8, 0.5
+#: Metrics that need a reference answer.
+REFERENCED = ("context_precision", "correctness")
+
+
+def faithfulness(answers: DataFrame, contexts: DataFrame) -> DataFrame:
+    """query_id, claims, faithfulness of answers (query_id, answer) by contexts (query_id, text): the share of an answer's sentences that a sentence of its contexts supports.
+
+    Citations don't count as words. Answers without a sentence of words have no row; a query without contexts has 0.
+    """
+    bare = F.regexp_replace("answer", r"\s*\[\d+\]", "")
+    claims = answers.select("query_id", F.posexplode(cleaning.sentences(bare)).alias("nth", "claim")).select("query_id", "nth", F.array_distinct(search.tokens(F.col("claim"))).alias("words")).where(F.size("words") > 0)
+    said = contexts.select("query_id", F.explode(cleaning.sentences(F.col("text"))).alias("sentence")).select("query_id", search.tokens(F.col("sentence")).alias("held"))
+    share = F.size(F.array_intersect("words", "held")) / F.size("words")
+    best = claims.join(said, "query_id", "left").groupBy("query_id", "nth").agg(F.max(share).alias("best"))
+    supported = F.when(F.coalesce("best", F.lit(0.0)) >= SUPPORTED, 1.0).otherwise(0.0)
+    return best.groupBy("query_id").agg(F.count("*").alias("claims"), F.round(F.avg(supported), 6).alias("faithfulness"))
+
+
+def context_precision(hits: DataFrame, references: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, context_precision of hits (query_id, item_id, rank): the mean precision at the ranks of contexts that are of use for the reference (query_id, reference); 0 where none is."""
+    pairs = hits.select("query_id", "item_id", "rank").join(references.where("reference IS NOT NULL"), "query_id").join(items.select("item_id", "text"), "item_id")
+    useful = pairs.select("query_id", "rank", (search.overlap_score(F.col("reference"), F.col("text")) >= USEFUL).cast("int").alias("v"))
+    upto = F.sum("v").over(W.partitionBy("query_id").orderBy("rank")) / F.count("*").over(W.partitionBy("query_id").orderBy("rank"))
+    each = useful.withColumn("p", upto * F.col("v"))
+    return each.groupBy("query_id").agg(F.round(F.when(F.sum("v") > 0, F.sum("p") / F.sum("v")).otherwise(0.0), 6).alias("context_precision"))
+
+
+def judged(questions: DataFrame, answers: DataFrame, hits: DataFrame, items: DataFrame, metrics: Sequence[str] = ("faithfulness", "relevancy", *REFERENCED)) -> DataFrame:
+    """query_id and the metrics of questions (query_id, query, reference): answers (query_id, answer) by hits (query_id, item_id, rank) among items.
+
+    Metrics that need a reference are left out unless every question has one. relevancy is the cosine of the answer's and the question's vectors.
+    """
+    if questions.where("reference IS NULL").take(1):
+        metrics = [m for m in metrics if m not in REFERENCED]
+    out = questions.select("query_id")
+    contexts = hits.join(items.select("item_id", "text"), "item_id").select("query_id", "text")
+    for name in metrics:
+        if name == "faithfulness":
+            one = faithfulness(answers, contexts).drop("claims")
+        elif name == "context_precision":
+            one = context_precision(hits, questions.select("query_id", "reference"), items)
+        elif name in ("relevancy", "correctness"):
+            other = "query" if name == "relevancy" else "reference"
+            rows = models.embed(models.embed(answers.join(questions, "query_id"), text="answer", into="a"), text=other, into="b")
+            score = F.round(chunking.cosine(F.col("a"), F.col("b")), 6) if name == "relevancy" else correctness(F.col("answer"), F.col("reference"), F.col("a"), F.col("b"))
+            one = rows.select("query_id", score.alias(name))
+        else:
+            raise ValueError(f"unknown metric {name}")
+        out = out.join(one, "query_id", "left")
+    return out.na.fill(0.0, list(metrics))
+
+
 def run(results: DataFrame, relevant: DataFrame, k: int, configs: DataFrame | None = None) -> DataFrame:
     """config, the means of all retrieval metrics, n: results is (config, query_id, item_id, rank); queries without a relevant item aren't scored.
 

@@ -1,7 +1,7 @@
 """Collections: named tables with fixed fields in a folder that all executors share, written version by version.
 
 A version is a Parquet folder; the newest complete one is what readers see, so a lost executor or a failed write leaves
-the version before in place. Upserts are one aggregation by key over the stored rows and the new ones.
+the version before in place. The KEPT versions before the newest stay, so that readers that have begun can end. Upserts are one aggregation by key over the stored rows and the new ones.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ KINDS = {
 }
 
 
+#: Versions that stay besides the newest one.
+KEPT = 2
+
+
 class Collection:
     """A table of one folder. fields is a DDL string or one of KINDS; key is what rows are told apart by."""
 
@@ -36,7 +40,7 @@ class Collection:
     def _write(self, rows: DataFrame, old: list[int]) -> None:
         names = [f.name for f in self.spark.createDataFrame([], self.fields).schema]
         rows.select(*names).write.mode("overwrite").parquet(f"{self.path}/v{old[-1] + 1 if old else 0}")
-        for v in old:
+        for v in old[:-KEPT]:
             self._fs.delete(self._at(f"{self.path}/v{v}"), True)
 
     def create(self) -> bool:

@@ -87,3 +87,18 @@ def test_ranks_by_deltas(spark, tolerance):
     # What is held back could add at most tolerance / (1 - d) a vertex, counted over all vertices.
     assert sum(abs(got[i] - dense[i]) for i in got) <= 135 * tolerance / 0.15 * 0.85 + 1e-9
     assert sent[0] == 135 and sent[-1] < 135 and len(sent) < 200
+
+
+def test_judges(spark):
+    questions = spark.createDataFrame([(1, "what is red", "the fox is red"), (2, "who runs", "hens run"), (3, "nothing", "none")], "query_id long, query string, reference string")
+    answers = spark.createDataFrame([(1, "The fox is red [1]. Pigs can fly [2]."), (2, "Hens run [1].")], "query_id long, answer string")
+    items = spark.createDataFrame([(1, "A fox. The fox is red!"), (2, "Snow falls."), (3, "Here hens run.")], "item_id long, text string")
+    hits = spark.createDataFrame([(1, 2, 1), (1, 1, 2), (2, 3, 1), (2, 2, 2)], "query_id long, item_id long, rank int")
+    got = {r["query_id"]: r for r in evaluation.judged(questions, answers, hits, items).collect()}
+    assert [got[q]["faithfulness"] for q in (1, 2, 3)] == [0.5, 1.0, 0.0]
+    assert [got[q]["context_precision"] for q in (1, 2, 3)] == [0.5, 1.0, 0.0]
+    assert 0.8 < got[2]["correctness"] < 1.0 and got[3]["correctness"] == 0.0 and 0 < got[1]["relevancy"] < 1
+    some = questions.withColumn("reference", F.when(F.col("query_id") > 1, F.col("reference")))
+    assert evaluation.judged(some, answers, hits, items).columns == ["query_id", "faithfulness", "relevancy"]
+    with pytest.raises(ValueError, match="unknown metric"):
+        evaluation.judged(questions, answers, hits, items, ["other"])
