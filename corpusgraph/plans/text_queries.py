@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusgraph.functions import surface
 from corpusgraph.operators import boundaries, chunking, cleaning, subwords
 from corpusgraph.plans.registry import query
+from corpusgraph.plans.scratch import Scratch
 from corpusgraph.plans.session import table
+from corpusgraph.sources.collections import Collection
+from corpusgraph.streaming import ingest
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -199,6 +203,30 @@ def chk_section(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d)
 
 
+@query(_PACK + "SELECT doc_id, chunk, first, last, tokens, text FROM x")
+def udtf_section(spark: SparkSession, d: str) -> DataFrame:
+    """chk_section from SQL text: a table function over the sentences of each document, with helpers by name."""
+    surface.register(spark)
+    return spark.sql(
+        "SELECT key AS doc_id, chunk, first, last, tokens, text FROM section_chunks(TABLE(SELECT doc_id, pos, sentence FROM (SELECT doc_id, text_sentences(text) AS every FROM {docs}) LATERAL VIEW posexplode(every) AS pos, sentence) PARTITION BY doc_id ORDER BY (pos), 200, 2)",
+        docs=_docs(spark, d),
+    )
+
+
+_INGESTED = rf"(SELECT doc_id, {_SPACE % (_HYPHEN % (_INLINE % "coalesce(text, '')"))} AS text FROM documents)"
+
+
+@query(_PACK.replace("FROM documents)", f"FROM {_INGESTED})", 1) + "SELECT doc_id, chunk, tokens, md5(text) AS text FROM x")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as a stream, each twice, cleaned and chunked into a stored collection."""
+    scratch = Scratch(spark, "ingest")
+    docs = _docs(spark, d).select("doc_id", "text", F.timestamp_seconds(F.lit(1_000_000)).alias("ts"))
+    docs.unionAll(docs).write.parquet(scratch.path("docs"))
+    stored = Collection(spark, scratch.path("stored"), "chunks", ingest.FIELDS)
+    ingest.ingest(spark.readStream.schema(docs.schema).parquet(scratch.path("docs")), stored, scratch.path("state"), most=200)
+    return stored.rows().select("doc_id", "chunk", "tokens", F.md5("text").alias("text"))
+
+
 @query(_PACK + "SELECT count(*) AS chunks, round(avg(tokens), 6) AS mean_tokens, median(tokens)::DOUBLE AS median_tokens, count(*) FILTER (chunk = 0) AS documents FROM x")
 def chk_stats(spark: SparkSession, d: str) -> DataFrame:
     c = _chunks(spark, d)
