@@ -104,13 +104,13 @@ def test_leiden_finds_planted_communities_and_agrees(spark):
     assert graph.leiden(edges.where("false")).collect() == []
 
 
-def test_merged_nodes_keep_their_name_and_append_ids(spark):
+def test_merged_nodes_keep_their_name_and_append_new_ids(spark):
     from corpusgraph.operators import graph
 
     kind = "normalized_name string, entity_type string, name string, chunk_ids array<long>, seq long"
     stored = spark.createDataFrame([("x", "T", "X", [1, 2], 9)], kind)
     new = spark.createDataFrame([("x", "T", "x!", [2], 2), ("x", "T", "x?", [3], 1), ("y", "T", "Y", [4], 0)], kind)
-    assert sorted((r.normalized_name, r.name, list(r.chunk_ids)) for r in graph.merge_nodes(stored, new).collect()) == [("x", "X", [1, 2, 3, 2]), ("y", "Y", [4])]
+    assert sorted((r.normalized_name, r.name, list(r.chunk_ids)) for r in graph.merge_nodes(stored, new).collect()) == [("x", "X", [1, 2, 3]), ("y", "Y", [4])]
 
 
 def test_budget_cuts_the_crossing_row(spark):
