@@ -165,7 +165,7 @@ class InvertedIndex:
         numbered, asked = self._asked(queries, scratch, k1, b)
         sums = asked.groupBy("number", "part", "shard").agg(F.sum("bound").alias("upper"))
         place = F.row_number().over(W.partitionBy("number", "part").orderBy(F.desc("upper"), "shard"))
-        sums = scratch.save(sums.withColumn("place", place), "sums")
+        sums = sums.withColumn("place", place)
         on = ["number", "part", "shard"]
         first = scratch.save(self._hits(asked.join(sums.where("place = 1").select(*on), on, "left_semi"), numbered, k, k1, b), "first")
         least = first.groupBy("number", "part").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0.0).alias("least"))
