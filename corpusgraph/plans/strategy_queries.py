@@ -14,11 +14,10 @@ from corpusgraph.plans.text_queries import _COS, _SENTENCES
 from corpusgraph.sources import files
 
 
-@query("SELECT page_id, regexp_replace(url, '^https?://', '/out/') || '.md' AS path FROM pages WHERE NOT regexp_matches(url, '\\.[^./]*$')")
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') THEN regexp_replace(regexp_replace(url, '^https?://', '/out/'), '\.[^./]*$', '') || '.md' END AS path FROM pages")
 def src_mirror(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "pages").where(~F.col("url").rlike(r"\.[^./]*$"))
     path = F.regexp_replace("url", "^https?://", "/in/")
-    return pages.select("page_id", files.mirrored(path, "/in", "/out", ".md").alias("path"))
+    return table(spark, d, "pages").select("page_id", files.mirrored(path, "/in", "/out", ".md").alias("path"))
 
 
 @query("SELECT doc_id, lang AS strategy, source AS book, text FROM documents")
