@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgraph.operators import models
+from corpusgraph.operators import models, search
+from corpusgraph.operators.inverted_index import InvertedIndex
+from corpusgraph.plans import scratch
 
 
 class _Limited:
@@ -28,3 +30,15 @@ def test_one_wait_for_all_failed_calls():
     waits.clear()
     lasting = models._completed(_Limited(), ["a"], 1, 1, 0.5, waits.append)
     assert not waits and lasting == [{"text": None, "tries": None, "error": "429: rate limit"}]
+
+
+def test_keyword_search_keeps_postings_of_asked_terms_alone(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"Common word{i % 7} rare{i}, {'common ' * (i % 3)}") for i in range(60)] + [(60, None), (61, "")], "item_id long, text string")
+    asked = spark.createDataFrame([(1, "common word3"), (2, "RARE5 nowhere"), (3, "")], "query_id long, query string")
+    kept = []
+    build = InvertedIndex.build.__func__
+    monkeypatch.setattr(InvertedIndex, "build", classmethod(lambda cls, *a, **b: kept.append(build(cls, *a, **b)) or kept[-1]))
+    got = {tuple(r) for r in search.bm25(asked, items, 5).select("query_id", "item_id", "score", "rank").collect()}
+    assert {r["term"] for r in kept[0].table.where("term IS NOT NULL").collect()} == {"common", "word3", "rare5"}
+    whole = build(InvertedIndex, items, scratch.Scratch(spark, "whole").path("index"))
+    assert len(got) == 6 and got == {tuple(r) for r in whole.search(asked, 5).select("query_id", "item_id", "score", "rank").collect()}
