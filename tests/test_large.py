@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusgraph.operators import models, search
+from corpusgraph.operators import models, phrases, search
 from corpusgraph.operators.inverted_index import InvertedIndex
 from corpusgraph.plans import scratch
 
@@ -42,3 +42,11 @@ def test_keyword_search_keeps_postings_of_asked_terms_alone(spark, monkeypatch):
     assert {r["term"] for r in kept[0].table.where("term IS NOT NULL").collect()} == {"common", "word3", "rare5"}
     whole = build(InvertedIndex, items, scratch.Scratch(spark, "whole").path("index"))
     assert len(got) == 6 and got == {tuple(r) for r in whole.search(asked, 5).select("query_id", "item_id", "score", "rank").collect()}
+
+
+def test_only_runs_that_may_be_known_leave_the_texts(spark):
+    known = spark.createDataFrame([("new york",), ("york city hall",)], "phrase string")
+    bits = phrases.known_filter(known)
+    rows = spark.createDataFrame([(1, 0, "the new york city hall new".split()), (2, 0, ["york"]), (2, 1, []), (3, 0, ["new"]), (3, 1, ["york", "city"])], "key long, pos int, words array<string>")
+    got = phrases.runs(rows.coalesce(1), (2, 3), lambda h, n: phrases._passes(bits, phrases._joined(h, n))).collect()
+    assert sorted((r["key"], r["pos"], r["at"], r["n"], r["phrase"]) for r in got) == [(1, 0, 1, 2, "new york"), (1, 0, 2, 3, "york city hall")]
