@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from corpusgraph.operators import models, phrases, search
+from pyspark.sql import functions as F
+
+from corpusgraph.operators import graph, models, phrases, search
 from corpusgraph.operators.inverted_index import InvertedIndex
 from corpusgraph.plans import scratch
 
@@ -50,3 +52,40 @@ def test_only_runs_that_may_be_known_leave_the_texts(spark):
     rows = spark.createDataFrame([(1, 0, "the new york city hall new".split()), (2, 0, ["york"]), (2, 1, []), (3, 0, ["new"]), (3, 1, ["york", "city"])], "key long, pos int, words array<string>")
     got = phrases.runs(rows.coalesce(1), (2, 3), lambda h, n: phrases._passes(bits, phrases._joined(h, n))).collect()
     assert sorted((r["key"], r["pos"], r["at"], r["n"], r["phrase"]) for r in got) == [(1, 0, 1, 2, "new york"), (1, 0, 2, 3, "york city hall")]
+
+
+def test_a_leiden_turn_shuffles_links_once(spark):
+    pairs = [(a, b) for a in range(12) for b in range(a) if (a * 7 + b * 3) % 4 == 0] + [(20, 20)]
+    arcs = graph.both_ways(spark.createDataFrame(pairs, "src long, dst long")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
+    labels = arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("degree")).withColumn("community", F.col("id") % 5)
+    total = arcs.agg(F.sum("w")).first()[0]
+    new = graph._moved(arcs, labels, total, 1.0, 3)
+    home = {r["id"]: r for r in labels.collect()}
+    links = {(r["src"], r["dst"]): r["w"] for r in arcs.collect()}
+    turns = {r["id"] for r in labels.where("pmod(xxhash64(id, 1), 2) = 1").collect()}
+    for row in new.collect():
+        i, was = row["id"], home[row["id"]]["community"]
+        gains = {}
+        for c in {was} | {home[b]["community"] for (a, b) in links if a == i and b != i}:
+            k = sum(w for (a, b), w in links.items() if a == i and b != i and home[b]["community"] == c)
+            others = sum(r["degree"] for r in home.values() if r["community"] == c) - (home[i]["degree"] if c == was else 0)
+            gains[c] = (round(k - home[i]["degree"] * others / total, 9), c == was, -c)
+        want = max(gains, key=gains.get) if i in turns else was
+        assert (row["community"], row["moved"]) == (want, want != was)
+    # Two rows cross for an arc at most: to its end's label, and on to its beginning; nothing is dealt anew for sums, gains and choices.
+    plan = new._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+
+
+def test_merged_edges_fan_out_without_an_aggregate(spark):
+    edges = spark.createDataFrame([("a", "b", "T", 2.0, 5), ("a", "b", "T", 1.0, 3), ("c", "b", "T", 9.0, 1), ("a", "x", "T", 1.0, 1), ("b", "b", None, None, 2)], "src_name string, dst_name string, type string, weight double, seq long")
+    nodes = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, "b"), (4, None), (5, "a"), (5, "c"), (None, "b")], "id long, normalized_name string")
+    got = sorted((tuple(r) for r in graph.merge_edges(edges, nodes).collect()), key=repr)
+    ends = [2, 3, None]
+    want = [(1, "T", b, 1.0) for b in ends] + [(5, "T", b, 9.0) for b in ends] + [(a, None, b, None) for a in ends for b in ends]
+    assert got == sorted(want, key=repr)
+    one_name = nodes.where("id < 4").distinct()
+    plain = graph.merge_edges(edges, one_name)._jdf.queryExecution().optimizedPlan().toString()
+    # Pairs of ends that have one name each are final: they come out of the last join as they are.
+    assert plain.splitlines()[0].startswith("Project") and plain.splitlines()[1].strip().startswith("+- Join")
+    assert len(graph.merge_edges(edges, one_name).collect()) == 6
