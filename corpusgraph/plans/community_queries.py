@@ -58,7 +58,11 @@ def grf_upload(spark: SparkSession, d: str) -> DataFrame:
     e = _entities(spark, d)
     links = _links(spark, d)
     names = e.select("id", "name")
-    named = links.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst").select("src_name", "dst_name", F.coalesce("type", F.lit("RELATED_TO")).alias("type"), "weight", F.xxhash64("src", "dst", "type", "weight").alias("seq"))
+    # Equal links are merged before their ends are named, and kept for both uploads.
+    links = links.select(F.col("src").alias("src_name"), F.col("dst").alias("dst_name"), F.coalesce("type", F.lit("RELATED_TO")).alias("type"), "weight", F.xxhash64("src", "dst", "type", "weight").alias("seq"))
+    links = graph.first_edges(links).withColumnsRenamed({"src_name": "src", "dst_name": "dst"})
+    named = links.join(names.toDF("src", "src_name"), "src").join(names.toDF("dst", "dst_name"), "dst").select("src_name", "dst_name", "type", "weight", "seq")
+    named = Scratch(spark, "links").save(named, "named")
     nodes = _store(spark, "nodes", _NODES, "name")
     nodes.create()
     arcs = _store(spark, "arcs", "arc string, src_id long, type string, dst_id long, weight double", "arc")
