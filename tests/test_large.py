@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import graph, models, phrases, search
+from corpusgraph.operators import boundaries, chunking, graph, models, phrases, search
 from corpusgraph.operators.inverted_index import InvertedIndex
 from corpusgraph.plans import scratch
 
@@ -89,3 +89,28 @@ def test_merged_edges_fan_out_without_an_aggregate(spark):
     # Pairs of ends that have one name each are final: they come out of the last join as they are.
     assert plain.splitlines()[0].startswith("Project") and plain.splitlines()[1].strip().startswith("+- Join")
     assert len(graph.merge_edges(edges, one_name).collect()) == 6
+
+
+def test_words_are_told_once_each(spark):
+    docs = spark.createDataFrame([(1, 'Dr. A (saw) "Dr." saw. Saw'), (2, None), (3, " A saw!) Dr. ")], "doc_id long, text string")
+    counts = boundaries.type_counts(boundaries.explode_words(docs, "doc_id", "text"))
+    got = {r["type"]: (r["n"], r["dotted"], r["small"], r["inside"]) for r in counts.collect()}
+    assert got == {"dr": (3, 3, 0, 1), "a": (2, 0, 0, 0), "saw": (4, 1, 3, 0)}
+    lone = boundaries.type_counts(boundaries.lone_words(docs, "text"))
+    assert {r["type"]: (r["n"], r["dotted"], r["small"]) for r in lone.collect()} == {k: v[:3] for k, v in got.items()}
+    # Types are made after words have been counted: the aggregate by word is below the expressions.
+    plan = lone._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2
+
+
+def test_sentences_are_packed_and_split_slice_by_slice(spark, monkeypatch):
+    seen = []
+    docs = [["a b. " * 3, "c d."] * 2] * (2 * chunking.SLICE + 1)
+    sizes = chunking.subwords.Words()
+    monkeypatch.setattr(sizes, "sizes", lambda texts: seen.append(len(texts)) or [len(t.split()) for t in texts], raising=False)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs))), pa.array(docs)], ["key", "s"])
+    out = list(chunking.packed(iter([batch]), sizes, 8, 1))
+    assert [b.num_rows for b in out] == [n * out[-1].num_rows for n in (chunking.SLICE, chunking.SLICE, 1)]
+    assert len(seen) == len(docs)
