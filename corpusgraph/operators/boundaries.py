@@ -6,6 +6,7 @@ ratios of a word and its period, of two words around a period, and of a word and
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,6 +17,10 @@ from corpusgraph.plans.scratch import Scratch
 
 #: The thresholds of abbreviations, collocations and openers, and the chance of a period after an abbreviation.
 ABBREVIATION, COLLOCATION, OPENER, DOTTED = 0.3, 7.88, 30.0, 0.99
+#: What words are judged by is told once for each different word, or pair of words; only MARKED is asked of every word.
+MARKED = r"""[.!?…]["'”’»)\]]*$"""
+#: Texts that are cut at once.
+SLICE = 256
 CLOSERS, QUOTES = r"""["'”’»)\]]+$""", r"""^["'“‘«(\[]+"""
 
 
@@ -30,13 +35,25 @@ def core(word: Column) -> Column:
 
 def word_type(word: Column) -> Column:
     """What a word is counted as: lower case, without quotes and brackets around it, the final period and other final marks."""
-    return F.regexp_replace(F.lower(core(word)), r"[.,;:!?…]+$", "")
+    return _type(core(word))
 
 
 def mark(word: Column) -> Column:
     """'.' for a word that ends in one period, '!' for one that ends in ! ? … or several periods, else ''."""
-    end = core(word)
-    return F.when(end.rlike(r"([!?…]|\.\.)$"), "!").when(end.rlike(r"\.$"), ".").otherwise("")
+    return _mark(core(word))
+
+
+def _type(bare: Column) -> Column:
+    return F.regexp_replace(F.lower(bare), r"[.,;:!?…]+$", "")
+
+
+def _mark(bare: Column) -> Column:
+    return F.when(bare.rlike(r"([!?…]|\.\.)$"), "!").when(bare.rlike(r"\.$"), ".").otherwise("")
+
+
+def _kind(bare: Column) -> Column:
+    """'u' for a word that begins with a capital, 'l' with a small letter, 'n' with a number, '' else."""
+    return F.when(bare.rlike(r"^\p{Lu}"), "u").when(bare.rlike(r"^\p{Ll}"), "l").when(bare.rlike(r"^\d"), "n").otherwise("")
 
 
 def likelihood(k: Column, n: Column, p: Column) -> Column:
@@ -52,26 +69,37 @@ def pair_ratio(a: Column, b: Column, ab: Column, n: Column) -> Column:
     return F.when(p1 > p, ratio).otherwise(0.0)
 
 
+def marked(word: Column) -> Column:
+    """Whether mark() isn't empty."""
+    return word.rlike(MARKED)
+
+
 def explode_words(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, mark of the text, at, type, mark, kind of the word ('u' capital, 'l' small, 'n' number, '' else), and those of the words before and after."""
+    """key, digest of the text, at, word, and the words before and after."""
     w, none = F.col("w"), F.array(F.lit(None).cast("string"))
     n = F.size(w)
     some = docs.select(F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
     zipped = F.arrays_zip(w.alias("word"), F.concat(none, F.slice(w, F.lit(1), n - 1)).alias("before"), F.concat(F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), none).alias("after"))
-    rows = some.select("key", "digest", F.posexplode(zipped).alias("at", "x")).select("key", "digest", "at", "x.*")
-    kind = lambda c: F.when(core(c).rlike(r"^\p{Lu}"), "u").when(core(c).rlike(r"^\p{Ll}"), "l").when(core(c).rlike(r"^\d"), "n").otherwise("")
-    return rows.select(
-        "key", "digest", "at", word_type(F.col("word")).alias("type"), mark(F.col("word")).alias("mark"), kind(F.col("word")).alias("kind"),
-        F.when(F.col("before").isNull(), "!").otherwise(mark(F.col("before"))).alias("mark_before"), word_type(F.col("after")).alias("type_after"), kind(F.col("after")).alias("kind_after"),
-    )
+    return some.select("key", "digest", F.posexplode(zipped).alias("at", "x")).select("key", "digest", "at", "x.*")
+
+
+def lone_words(docs: DataFrame, text: str) -> DataFrame:
+    """word, before (null) of each word: what abbreviations need of it."""
+    return docs.select(F.explode(F.split(F.col(text), r"\s+")).alias("word")).where("word <> ''").withColumn("before", F.lit(None).cast("string"))
 
 
 def type_counts(rows: DataFrame) -> DataFrame:
-    """type, n, dotted, small (in small letters), inside (capitalised after a word without a mark), for each type of word."""
-    return rows.groupBy("type").agg(
-        F.count("*").alias("n"), F.count_if(F.col("mark") == ".").alias("dotted"), F.count_if(F.col("kind") == "l").alias("small"),
-        F.count_if((F.col("kind") == "u") & (F.col("mark_before") == "")).alias("inside"),
-    )
+    """type, n, dotted, small (in small letters), inside (capitalised after a word without a mark), for each type of word of rows (word, before).
+
+    Words are counted as they are written first, so that types, marks and kinds are found once for each different word.
+    """
+    each = rows.groupBy("word").agg(F.count("*").alias("n"), F.count_if(F.col("before").isNotNull() & ~marked(F.col("before"))).alias("within"))
+    each = each.withColumn("bare", core(F.col("word")))  # cut once, and used three times
+    each = each.select(_type(F.col("bare")).alias("type"), _mark(F.col("bare")).alias("mark"), _kind(F.col("bare")).alias("kind"), "n", "within")
+    of = lambda test, n: F.sum(F.when(test, F.col(n)).otherwise(0))
+    return each.groupBy("type").agg(
+        F.sum("n").alias("n"), of(F.col("mark") == ".", "n").alias("dotted"), of(F.col("kind") == "l", "n").alias("small"), of(F.col("kind") == "u", "within").alias("inside")
+    )
 
 
 def abbreviations(counts: DataFrame) -> DataFrame:
@@ -86,6 +114,13 @@ def abbreviations(counts: DataFrame) -> DataFrame:
     return rows.select("type", "n", "dotted", F.when(score > 0, F.round(score, 6)).otherwise(0.0).alias("score")).withColumn("abbreviation", F.col("score") >= ABBREVIATION)
 
 
+def told(pairs: DataFrame) -> DataFrame:
+    """pairs (word, after) with type and mark of the word, type_after and kind_after."""
+    word, after = F.col("_word"), F.col("_after")
+    bare = pairs.withColumns({"_word": core(F.col("word")), "_after": core(F.col("after"))})
+    return bare.withColumns({"type": _type(word), "mark": _mark(word), "type_after": _type(after), "kind_after": _kind(after)}).drop("_word", "_after")
+
+
 @dataclass
 class Boundaries:
     """Tables that texts are cut by: types (type, short, opens, starter) and pairs (type, type_after) that belong together."""
@@ -100,7 +135,8 @@ class Boundaries:
         rows = explode_words(docs, key, text)
         counts = scratch.save(type_counts(rows), "counts")
         short = abbreviations(counts).where("abbreviation").select("type", F.lit(True).alias("short"))
-        around = rows.where("mark <> '' AND kind_after <> ''").groupBy("type", "mark", "type_after").agg(F.count("*").alias("both"), F.count_if(F.col("kind_after") == "u").alias("capital"))
+        around = told(rows.where(marked(F.col("word")) & F.col("after").isNotNull()).groupBy("word", "after").agg(F.count("*").alias("n"))).where("kind_after <> ''")
+        around = around.groupBy("type", "mark", "type_after").agg(F.sum("n").alias("both"), F.sum(F.when(F.col("kind_after") == "u", F.col("n")).otherwise(0)).alias("capital"))
         around = scratch.save(around.join(short, "type", "left").withColumn("short", F.coalesce("short", F.lit(False))), "around")
         total = counts.agg(F.sum("n").alias("words"))
         of = counts.select("type", F.col("dotted").alias("a"))
@@ -125,7 +161,11 @@ class Boundaries:
         - it is a number or a single letter, and a number, a small letter, or (after a letter) a name follows,
         - it and what follows are a pair that belongs together, and no opener follows.
         """
-        rows = explode_words(docs, key, text).where("mark <> '' AND type_after IS NOT NULL")
+        scratch = Scratch(docs.sparkSession, "marks")
+        marks = explode_words(docs, key, text).where(marked(F.col("word")) & F.col("after").isNotNull()).select("key", "digest", "at", "word", "after")
+        marks = scratch.save(marks, "marks")
+        # Each different pair of words is judged once.
+        rows = told(marks.select("word", "after").distinct())
         first = self.types.select("type", F.col("short"))
         after = self.types.select(F.col("type").alias("type_after"), "opens", "starter")
         rows = rows.join(first, "type", "left").join(after, "type_after", "left").join(self.pairs.withColumn("pair", F.lit(True)), ["type", "type_after"], "left")
@@ -142,20 +182,25 @@ class Boundaries:
             .otherwise(True)
         )
         ends = F.when(F.col("mark") == "!", ~small).otherwise(period)
-        return rows.where(ends).groupBy("key", "digest").agg(F.array_sort(F.collect_set("at")).alias("ends"))
+        found = marks.join(rows.where(ends).select("word", "after"), ["word", "after"], "left_semi")
+        return found.groupBy("key", "digest").agg(F.array_sort(F.collect_set("at")).alias("ends"))
 
     def split(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """key, sentences: the words of each sentence joined by one space; null and blank texts have none."""
 
         @F.arrow_udf("array<string>")
         def cut(of: pa.Array, ends: pa.Array) -> pa.Array:
-            out = []
-            for w, e in zip(of.to_pylist(), ends.to_pylist(), strict=True):
-                stops = [-1, *(e or []), len(w) - 1]
-                out.append([" ".join(w[a + 1 : b + 1]) for a, b in zip(stops, stops[1:], strict=False) if b > a])
-            return pa.array(out, pa.list_(pa.string()))
-
-        rows = docs.select(F.col(key).alias("key"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"), words(F.col(text)).alias("w"))
+            parts = [pa.array([], pa.list_(pa.string()))]
+            for lo in range(0, len(of), SLICE):
+                out = []
+                for t, e in zip(of.slice(lo, SLICE).to_pylist(), ends.slice(lo, SLICE).to_pylist(), strict=True):
+                    w = re.findall(r"[^ \t\n\x0b\f\r]+", t or "")
+                    stops = [-1, *(e or []), len(w) - 1]
+                    out.append([" ".join(w[a + 1 : b + 1]) for a, b in zip(stops, stops[1:], strict=False) if b > a])
+                parts.append(pa.array(out, pa.list_(pa.string())))
+            return pa.concat_arrays(parts)
+
+        rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("whole"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("digest"))
         found = self.ends(docs, key, text).select(F.col("key").alias("of"), F.col("digest").alias("text_digest"), "ends")
         both = rows.join(found, F.col("key").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("text_digest")), "left")
-        return both.select(F.col("key").alias(key), cut("w", "ends").alias("sentences"))
+        return both.select(F.col("key").alias(key), cut("whole", "ends").alias("sentences"))
