@@ -39,12 +39,22 @@ def pack_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", mos
     """
     kind = dict(docs.dtypes)[key]
     sent = docs.sparkSession.sparkContext.broadcast(counter or subwords.Words())
+    d = docs.select(F.col(key).alias("key"), cleaning.sentences(F.col(text)).alias("s"))
+    return d.mapInArrow(lambda batches: packed(batches, sent.value, most, overlap), f"key {kind}, chunk int, first int, last int, tokens int, text string").withColumnRenamed("key", key)
+
+
+#: Documents whose sentences a worker holds as Python strings at once, however many a batch has.
+SLICE = 64
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+
+def packed(batches: Iterator[pa.RecordBatch], counter: subwords.TokenCounter, most: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of batches (key, s), slice by slice."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(at, SLICE)
             source, rows = [], []
             for i, s in enumerate(batch.column("s").to_pylist()):
-                sizes = sent.value.sizes(s)
+                sizes = counter.sizes(s)
                 for n, (lo, hi) in enumerate(pack(sizes, most, overlap)):
                     source.append(i)
                     rows.append((n, lo, hi, sum(sizes[lo : hi + 1]), " ".join(s[lo : hi + 1])))
@@ -52,9 +62,6 @@ def pack_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", mos
             arrays = [pa.array(list(c), t) for c, t in zip(columns, [pa.int32()] * 4 + [pa.string()], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(source, pa.int64())), *arrays], ["key", "chunk", "first", "last", "tokens", "text"])
 
-    d = docs.select(F.col(key).alias("key"), cleaning.sentences(F.col(text)).alias("s"))
-    return d.mapInArrow(run, f"key {kind}, chunk int, first int, last int, tokens int, text string").withColumnRenamed("key", key)
-
 
 def similarity_breaks(rows: DataFrame, group: str, order: str, vector: str, k: float) -> DataFrame:
     """rows with similarity to the row before and breaks: true where it is under mean - k * population deviation of the group, and at its first row."""
@@ -107,7 +114,10 @@ def split_sentences(rows: DataFrame, most: int, key: str = "doc_id", sentences:
 
     @F.arrow_udf("array<string>")
     def parts(column: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else [p for s in x for p in split_oversized(s, most)] for x in column.to_pylist()], pa.list_(pa.string()))
+        out = [pa.array([], pa.list_(pa.string()))]
+        for at in range(0, len(column), SLICE):
+            out.append(pa.array([None if x is None else [p for s in x for p in split_oversized(s, most)] for x in column.slice(at, SLICE).to_pylist()], pa.list_(pa.string())))
+        return pa.concat_arrays(out)
 
     return rows.select(key, parts(F.col(sentences)).alias("parts"))
 
