@@ -75,18 +75,29 @@ def parsed(stored: DataFrame, parser: Callable[[bytes], str]) -> DataFrame:
     """key, text of stored (key, content): a parser plug-in applied to each file's bytes; what it can't parse is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for content in batch.column("content"):
-                try:
-                    texts.append(None if content.as_py() is None else parser(content.as_py()))
-                except ValueError:
-                    texts.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
+        return parsed_batches(batches, parser)
 
     return stored.select("key", "content").mapInArrow(run, f"key {dict(stored.dtypes)['key']}, text string")
 
 
+#: Texts of a batch that are held before they are handed on: so many files, or so many characters.
+SLICE, SLICE_CHARS = 64, 1 << 22
+
+
+def parsed_batches(batches: Iterator[pa.RecordBatch], parser: Callable[[bytes], str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        begin, texts, held = 0, [], 0
+        for i, content in enumerate(batch.column("content")):
+            try:
+                texts.append(None if content.as_py() is None else parser(content.as_py()))
+            except ValueError:
+                texts.append(None)
+            held += len(texts[-1] or "")
+            if len(texts) == SLICE or held >= SLICE_CHARS or i == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(begin, len(texts)), pa.array(texts, pa.string())], ["key", "text"])
+                begin, texts, held = i + 1, [], 0
+
+
 def html_parser(content: bytes) -> str:
     """Markdown lines of an HTML page, as cleaning.markdown_of_html() makes them, without blank ones."""
     import re

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusgraph.operators import boundaries, chunking, graph, models, phrases, search
 from corpusgraph.operators.inverted_index import InvertedIndex
 from corpusgraph.plans import scratch
+from corpusgraph.sources import files
 
 
 class _Limited:
@@ -114,3 +115,21 @@ def test_sentences_are_packed_and_split_slice_by_slice(spark, monkeypatch):
     out = list(chunking.packed(iter([batch]), sizes, 8, 1))
     assert [b.num_rows for b in out] == [n * out[-1].num_rows for n in (chunking.SLICE, chunking.SLICE, 1)]
     assert len(seen) == len(docs)
+
+
+def test_parsed_files_are_handed_on_slice_by_slice():
+    import pyarrow as pa
+
+    content = [b"a", None, b"\xff", b"x" * files.SLICE_CHARS, *[b"b"] * files.SLICE, b"c"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(content))), pa.array(content)], ["key", "content"])
+    out = list(files.parsed_batches(iter([batch]), bytes.decode))
+    assert [b.num_rows for b in out] == [4, files.SLICE, 1]
+    got = [r for b in out for r in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True)]
+    assert got == [(i, None if c is None or c == b"\xff" else c.decode()) for i, c in enumerate(content)]
+
+
+def test_ranks_are_hashed_not_sorted(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (2, 3)], "src long, dst long")
+    ranks = graph.pagerank(spark.range(1, 5), edges, rounds=3)
+    assert {r["id"]: round(r["pagerank"], 6) for r in ranks.collect()}[4] == 0.15
+    assert ranks._jdf.queryExecution().optimizedPlan().toString().count("strategy=shuffle_hash") == 3
