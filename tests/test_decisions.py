@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import evaluation, graph, strategies
+from corpusgraph.operators import evaluation, graph, models, strategies
 
 
 def test_names_in_compatible_forms(spark):
@@ -65,6 +65,27 @@ def test_search_types(spark):
         first("other")
 
 
+class _Counting(models.HashedEmbedder):
+    """Adds up the texts that it is given."""
+
+    def __init__(self, total) -> None:
+        super().__init__()
+        self.total = total
+
+    def embed(self, texts):
+        self.total.add(len(texts))
+        return super().embed(texts)
+
+
+@pytest.mark.parametrize("name", ["none", "hyde"])
+def test_vectors_are_computed_once(spark, name):
+    total = spark.sparkContext.accumulator(0)
+    docs = spark.createDataFrame([(i, f"red fox {i}") for i in range(60)], "item_id long, text string")
+    chunks = models.embed(docs, _Counting(total)).select(F.col("item_id").alias("chunk_id"), F.lit("b").alias("book_id"), F.lit("s").alias("section"), "text", F.when(F.col("item_id") != 7, F.col("vector")).alias("vector"))
+    found = strategies.search_chunks(spark.createDataFrame([(1, "red fox 9")], "query_id long, query string"), chunks, 3, rerank=True, name=name)
+    assert found.count() == 3 and total.value == 60
+
+
 def test_difficulty(spark):
     rows = spark.createDataFrame([("a", "1", 0.5), ("a", "nan", 1.0), ("a", "x", None), (None, None, 1 / 3), ("b", None, float("nan"))], "d string, m string, n double")
     got = evaluation.difficulty(rows.drop("n"), "d", ["m"]).collect()
