@@ -76,3 +76,32 @@ def test_sections_and_budgets(spark, pairs):
         if left >= size or left > 5:
             want[r["conv_id"], r["turn"]] = r["text"] if size <= left else r["text"][: left * 4] + "..."
     assert kept == want
+
+
+def test_words_merged_together(pairs):
+    """New words of a block are merged at once, as each would be by itself; long ones aren't remembered."""
+    r = random.Random(8)
+    words = ["".join(r.choice("aabcdeéß日 \n0'xyz") for _ in range(r.randrange(1, 22))).encode() for _ in range(3000)] + [b"a" * 64, b"ab" * 32, b"aaa", b"\xff\x00"]
+    for ranks in (pairs.ranks, {b"a": 0, b"b": 1, b"ab": 2, b"aba": 3, b"bab": 4}):
+        assert subwords._Merges(ranks).counts(words).tolist() == [len(subwords.merged(w, ranks)) for w in words]
+    texts = ["".join(r.choice("abc日 ") for _ in range(300)) for _ in range(50)] + ["q" * 500]
+    fresh = subwords.BytePairs(pairs.ranks)
+    assert fresh.sizes(texts) == [sum(len(subwords.merged(w.encode(), pairs.ranks)) for w in regex.findall(subwords.PATTERN, t)) for t in texts]
+    assert "q" * 500 not in fresh._memo and fresh._merges is not None
+
+
+def test_packing_asks_once_a_slice():
+    import pyarrow as pa
+
+    class Counting(subwords.Words):
+        calls = 0
+
+        def sizes(self, texts):
+            Counting.calls += 1
+            return super().sizes(texts)
+
+    rows = [["a b c", "d"] if i % 3 else [] for i in range(2 * chunking.SLICE)]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(rows))), "s": pa.array(rows, pa.list_(pa.string()))})
+    found = pa.Table.from_batches(chunking.packed(iter([batch]), Counting(), 3, 0)).to_pylist()
+    assert Counting.calls == 2
+    assert [(x["key"], x["text"]) for x in found] == [(i, t) for i, s in enumerate(rows) for t in s]
