@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from corpusgraph.operators import late
+from corpusgraph.operators import late, search
 
 
 def _plain(query, text, texts):
@@ -42,3 +42,15 @@ def test_short_lists_and_blocks(spark, monkeypatch):
     whole = late.best_matches(["abc", "xyz"], [f"ab{i}" for i in range(50)])
     monkeypatch.setattr(late, "BLOCK", 7)
     assert np.array_equal(whole, late.best_matches(["abc", "xyz"], [f"ab{i}" for i in range(50)]))
+
+
+def test_counts_from_an_index(spark):
+    """The words' counts come from the index of the search, as from the texts; what isn't a hit isn't read again."""
+    texts = ["red foxes run", "the fox is red", "blue hens", None, "", "a red hen"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    queries = spark.createDataFrame([(1, "Red fox"), (2, "hens zzz"), (3, "")], "query_id long, query string")
+    hits = queries.select("query_id").join(items.select("item_id"))
+    index = search.index_for(queries, items)
+    told = lambda found: sorted(map(tuple, found.collect()))
+    assert told(late.rarity(queries, items, index)) == told(late.rarity(queries, items))
+    assert told(late.scores(hits, queries, items.where("item_id < 4"), index)) == [x for x in told(late.scores(hits, queries, items)) if x[1] < 4]
