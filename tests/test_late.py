@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
-from corpusgraph.operators import late, search
+from corpusgraph.operators import inverted_index, late, search
 
 
 def _plain(query, text, texts):
@@ -54,3 +56,17 @@ def test_counts_from_an_index(spark):
     told = lambda found: sorted(map(tuple, found.collect()))
     assert told(late.rarity(queries, items, index)) == told(late.rarity(queries, items))
     assert told(late.scores(hits, queries, items.where("item_id < 4"), index)) == [x for x in told(late.scores(hits, queries, items)) if x[1] < 4]
+
+
+def test_small_batches(spark):
+    """Python gets few texts at once while an index is built; the session's setting is as before then, after a failure too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, most = spark.conf.get(name), inverted_index.BATCH_TEXTS
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches)
+    with pytest.raises(RuntimeError), inverted_index._small_batches(spark):
+        seen = {r["n"] for r in spark.range(3 * most, numPartitions=1).mapInArrow(sizes, "n long").collect()}
+        raise RuntimeError
+    assert seen == {most} and spark.conf.get(name) == before
+    items = spark.range(5000).selectExpr("id AS item_id", "concat('red fox', id) AS text").coalesce(1)
+    found = search.bm25(spark.createDataFrame([(1, "fox77 red")], "query_id long, query string"), items, 2).collect()
+    assert [(r["item_id"], r["rank"]) for r in found] == [(77, 1), (0, 2)] and spark.conf.get(name) == before
