@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
+import regex
 from pyspark.sql import functions as F
 
-from corpusgraph.operators import boundaries, chunking, graph, models, phrases, search
+from corpusgraph.operators import boundaries, chunking, graph, grid, models, phrases, search
 from corpusgraph.operators.inverted_index import InvertedIndex
 from corpusgraph.plans import scratch
 from corpusgraph.sources import files
@@ -133,3 +136,23 @@ def test_ranks_are_hashed_not_sorted(spark):
     ranks = graph.pagerank(spark.range(1, 5), edges, rounds=3)
     assert {r["id"]: round(r["pagerank"], 6) for r in ranks.collect()}[4] == 0.15
     assert ranks._jdf.queryExecution().optimizedPlan().toString().count("strategy=shuffle_hash") == 3
+
+
+def test_long_texts_are_cut_to_chunks_in_one_pass(spark):
+    texts = ["\n".join(f"line {i} of {i % 7}" for i in range(30_001)), "", "a", "a\n", "\n\nb\n\n\n", None]
+    docs = spark.createDataFrame([(i, f"s{i}", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    began = time.time()
+    got = {(r["collection"], r["item_id"]): r["text"] for r in grid.chunked(docs).collect()}
+    assert time.time() - began < 30  # splitting the first text for each of its chunks takes minutes
+    want = {}
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        for name, n in grid.LINES.items():
+            whole = f"[s{i}] {t or ''}" if name == "contextual" else t or ""
+            want |= {(name, i * grid.ROOM + at): x for at, x in enumerate(["\n".join(lines[j : j + n]) for j in range(0, len(lines), n)] if n else [whole])}
+    assert got == want
+
+
+def test_words_of_texts_by_blanking_other_signs():
+    for text in ["", "plain words, 2 of them", "naïve Ärzte½ x y z\x1cw", "日本語、テスト", "".join(map(chr, range(33, 0x2500)))]:
+        assert models.words(text) == regex.findall(r"[\p{L}\p{N}]+", text)
